@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import table
 
@@ -86,7 +87,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in MEASURES))
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in MEASURES]))
 def measurements(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(x) for x in texts], columns=list(MEASURES), dtype="int64")
 
