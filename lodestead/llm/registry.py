@@ -7,6 +7,7 @@ import importlib
 #: Query -> module of this subpackage that defines it.
 QUERIES = {
     "op5_quality_rules": "quality_rules",
+    "op9_bpe_automaton": "bpe_automaton",
 }
 
 
