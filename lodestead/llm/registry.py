@@ -6,7 +6,9 @@ import importlib
 
 #: Query -> module of this subpackage that defines it.
 QUERIES = {
+    "op2_sharding": "sharding",
     "op5_quality_rules": "quality_rules",
+    "op7_mixing": "mixing",
     "op9_bpe_automaton": "bpe_automaton",
 }
 
