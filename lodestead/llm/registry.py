@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": "quality_rules",
     "op7_mixing": "mixing",
     "op9_bpe_automaton": "bpe_automaton",
+    "op10_warc": "warc",
 }
 
 
