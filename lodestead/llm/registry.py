@@ -7,8 +7,10 @@ import importlib
 #: Query -> module of this subpackage that defines it.
 QUERIES = {
     "op2_sharding": "sharding",
+    "op4_token_counts": "token_files",
     "op5_quality_rules": "quality_rules",
     "op7_mixing": "mixing",
+    "op8_media_columns": "media",
     "op9_bpe_automaton": "bpe_automaton",
     "op10_warc": "warc",
 }
