@@ -7,6 +7,7 @@ import importlib
 #: Query -> module of this subpackage that defines it.
 QUERIES = {
     "op2_sharding": "sharding",
+    "op3_near_dedup": "near_dedup",
     "op4_token_counts": "token_files",
     "op5_quality_rules": "quality_rules",
     "op7_mixing": "mixing",
