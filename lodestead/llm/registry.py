@@ -6,6 +6,7 @@ import importlib
 
 #: Query -> module of this subpackage that defines it.
 QUERIES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_sharding": "sharding",
     "op3_near_dedup": "near_dedup",
     "op4_token_counts": "token_files",
