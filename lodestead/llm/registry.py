@@ -11,6 +11,7 @@ QUERIES = {
     "op3_near_dedup": "near_dedup",
     "op4_token_counts": "token_files",
     "op5_quality_rules": "quality_rules",
+    "op6_html_wrappers": "html_wrappers",
     "op7_mixing": "mixing",
     "op8_media_columns": "media",
     "op9_bpe_automaton": "bpe_automaton",
