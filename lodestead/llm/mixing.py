@@ -12,6 +12,7 @@ ignored. Order inside a stream, draws and permutations depend on the data and th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def draws(sources: DataFrame, seed: int = SEED) -> DataFrame:
-    """(rank, block, words): the blocks each source gives, the words taken of each (all but the last draw's are BLOCK)."""
+    """(rank, shard, block, words, turn): the blocks each source gives, the words of each (all but the last draw's are BLOCK)."""
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Per source: how many of its draws each output shard gets."""
@@ -124,10 +125,10 @@ def draws(sources: DataFrame, seed: int = SEED) -> DataFrame:
                 permute = Permutation(r.blocks, r.rank)
                 for at in range(r.first, r.first + r.n, SLOTS):
                     i = np.arange(at, min(at + SLOTS, r.first + r.n))
-                    yield pd.DataFrame({"rank": r.rank, "shard": r.shard, "block": permute(i % r.blocks), "words": np.where(i < r.full, BLOCK, r.rest)})
+                    yield pd.DataFrame({"rank": r.rank, "shard": r.shard, "block": permute(i % r.blocks), "words": np.where(i < r.full, BLOCK, r.rest), "turn": i // r.blocks})
 
     dealt = sources.select("rank", "source_size", "target").mapInPandas(deal, "rank long, blocks long, shard long, first long, n long, full long, rest long")
-    return dealt.repartition(64, "rank", "shard").mapInPandas(take, "rank long, shard long, block long, words long")
+    return dealt.repartition(64, "rank", "shard").mapInPandas(take, "rank long, shard long, block long, words long, turn long")
 
 
 def sized(docs: DataFrame, extra: list | None = None) -> DataFrame:
@@ -154,21 +155,73 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return located, sources
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    located, sources = mixed(docs)
-    row = ["rank", "bucket", "n"]
+ROW = ["rank", "bucket", "n"]
+
+
+def pieces(located: DataFrame, *extra: str) -> DataFrame:
+    """The stretch of each block that each document fills: words ``low`` to ``high`` of the block."""
     span = F.sequence(F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("size") - 1) / BLOCK))
-    pieces = located.where("size > 0").select(*row, "offset", "size", F.explode(span).alias("block"))
+    cut = located.where("size > 0").select(*ROW, *extra, "offset", "size", F.explode(span).alias("block"))
     low = F.greatest(F.col("offset") - F.col("block") * BLOCK, F.lit(0))
     high = F.least(F.col("offset") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK))
-    pieces = pieces.select(*row, "block", low.alias("low"), high.alias("high"))
+    return cut.select(*ROW, *extra, "offset", "block", low.alias("low"), high.alias("high"))
+
+
+def taken(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
+    located, sources = mixed(docs)
     drawn = draws(sources).groupBy("rank", "block").agg(F.collect_list("words").alias("words"))  # at most two draws a block
     part = F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.greatest(F.least(F.col("high"), w) - F.col("low"), F.lit(0)))
-    given = pieces.join(drawn, ["rank", "block"]).groupBy(*row).agg(F.sum(part).alias("taken"))
-    rows = located.join(given, row, "left")
+    # The planner takes the draws to be as small as the table of sources they come from; they grow with the words.
+    given = pieces(located).join(drawn.hint("merge"), ["rank", "block"]).groupBy(*ROW).agg(F.sum(part).alias("taken"))
+    rows = located.join(given.hint("merge"), ROW, "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+SPAN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+
+
+def cut_text(text: str, runs: list[tuple[int, int]]) -> str:
+    """The words of the given ranges; a text taken whole stays as it is."""
+    joined: list[list[int]] = []
+    for a, b in sorted(runs):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    words = [(m.start(), m.end()) for m in SPAN.finditer(text)]
+    if joined == [[0, len(words)]]:
+        return text
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in joined)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: a row per document and turn, with the words the turn takes; a second turn repeats the id."""
+    columns = docs.columns
+    key = [F.xxhash64("doc_id", "source", F.isnull("source").cast("int")).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text")]
+    located, sources = mixed(docs)
+    alike = Window.partitionBy("rank", "bucket", "doc_id", "text_hash").orderBy("n")
+    located = located.withColumn("copy", F.row_number().over(alike))
+    drawn = draws(sources).select("rank", "block", "words", "turn")
+    given = pieces(located, "doc_id", "source", "text_hash", "copy").join(drawn.hint("merge"), ["rank", "block"]).where("low < words")
+    first, last = (F.col("block") * BLOCK + x - F.col("offset") for x in (F.col("low"), F.least("high", "words")))
+    turns = given.groupBy("doc_id", "source", "text_hash", "copy", "turn").agg(F.collect_list(F.struct(first.alias("first"), last.alias("last"))).alias("runs"))
+    turns = turns.select(key[0], F.col("text_hash").alias("_text"), F.struct("copy", "turn", "runs").alias("t"))
+    turns = stored(turns.groupBy("_id", "_text").agg(F.collect_list("t").alias("_turns")), "mixing-turns")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([cut_text(x, [(r["first"], r["last"]) for r in some]) for x, some in zip(texts, runs, strict=True)], dtype=object)
+
+    numbered = docs.select(*columns, *key).withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id")))
+    mine = F.filter("_turns", lambda t: t.copy == F.col("_copy"))
+    rows = numbered.join(turns.hint("merge"), ["_id", "_text"]).select(*columns, F.explode(mine).alias("_t"))
+    rows = rows.withColumn("text", cut(F.col("text").cast("string"), F.col("_t.runs")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the production mix takes of each."""
     return taken(table(spark, sf_dir, "documents"))
