@@ -32,7 +32,7 @@ def rules(prefix: str = "") -> dict[str, Column]:
         "few_words": c("n_words") < 20,
         "repeated_words": 100 * c("n_repeat_words") > 30 * c("n_words"),
         "symbols": 10 * c("n_symbols") > c("n_words"),
-        "duplicate_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        "duplicate_lines": (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 25 * c("n_words"),
     }
@@ -154,7 +154,7 @@ m AS (SELECT doc_id, len(s.words)::BIGINT AS n_words, len(regexp_replace(t, '[\x
  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
  FROM d JOIN s USING (r) LEFT JOIN n USING (r) LEFT JOIN k USING (r)),
 b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
- + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+ + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
  + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits::BIGINT AS fail_bits, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept FROM b
 """
