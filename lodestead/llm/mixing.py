@@ -172,7 +172,8 @@ def taken(docs: DataFrame) -> DataFrame:
     located, sources = mixed(docs)
     drawn = draws(sources).groupBy("rank", "block").agg(F.collect_list("words").alias("words"))  # at most two draws a block
     part = F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.greatest(F.least(F.col("high"), w) - F.col("low"), F.lit(0)))
-    # The planner takes the draws to be as small as the table of sources they come from; they grow with the words.
+    # The planner takes the draws to be as small as the table of sources they come from, and would broadcast them; they
+    # grow with the words, hence the hints.
     given = pieces(located).join(drawn.hint("merge"), ["rank", "block"]).groupBy(*ROW).agg(F.sum(part).alias("taken"))
     rows = located.join(given.hint("merge"), ROW, "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
