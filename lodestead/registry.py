@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import dedup, lifecycle, markers, scalars, search, watchdogs
+
+TABLE = {**search.QUERIES, **dedup.QUERIES, **markers.QUERIES, **watchdogs.QUERIES, **lifecycle.QUERIES, **scalars.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in TABLE.items() if sql}
