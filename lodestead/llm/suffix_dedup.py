@@ -58,6 +58,13 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(x)] if len(x) else []
+    yield from zip(bounds[:-1], bounds[1:], strict=True)
+
+
 # -- suffix arrays -------------------------------------------------------------------------------------------------------
 
 
@@ -316,8 +323,7 @@ class Part:
     def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
         bucket = np.array(self.bucket, np.int64)
         order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else order
-        for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
+        for a, b in stretches(bucket[order]):
             yield int(bucket[order[a]]), order[a:b]
 
 
@@ -347,9 +353,8 @@ def _collect_anchors(buckets: int):
         several = (size > 1) | np.logical_or.reduceat(many, head) if len(head) else np.zeros(0, bool)
         prints = prints[head]
         bucket = (prints >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else head
         rows = []
-        for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+        for a, b in stretches(bucket):
             low = (prints[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             rows.append((int(bucket[a]), key[0], low[~several[a:b]].tobytes(), low[several[a:b]].tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "shard", "once", "more"])
