@@ -1 +1,104 @@
-QUERIES: dict = {}
+"""State transitions, queues, run logs, samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import lifecycle as L
+from ..operators import metrics as M
+from ..sources import files
+from ..sources.adapter import listings, now, table
+from .oracle import LISTINGS
+
+NOW = "TIMESTAMP '2001-09-01 00:00:00'"
+#: An earlier present, at which horizons cut through the data.
+THEN = "1998-06-15 00:00:00"
+
+
+def then():
+    return F.lit(THEN).cast("timestamp_ntz")
+
+
+def incoming(spark, sf):
+    """A scan: changed prices of every third listing, some of them twice, and new listings."""
+    rows = listings(spark, sf).where("id % 3 = 0")
+    again = rows.where("id % 6 = 0").withColumns({"price": F.col("price") + 2, "arrival": F.lit(2)})
+    new = rows.withColumns({"external_id": F.concat(F.lit("new_"), F.col("id").cast("string")), "arrival": F.lit(1)})
+    return rows.withColumns({"price": F.col("price") + 1, "arrival": F.lit(1)}).unionByName(again).unionByName(new)
+
+
+def upserted(spark, sf):
+    found = L.upsert(listings(spark, sf), L.last_of_batch(incoming(spark, sf)), now())
+    return found.select("external_id", "price", "is_active", F.col("id").isNotNull().alias("numbered"), (F.col("created_at") == now()).alias("fresh"))
+
+
+def verdicts(spark, sf):
+    i = F.col("id")
+    return listings(spark, sf).where("id % 2 = 0").select("id", F.when(i % 6 == 0, "dead").when(i % 6 == 2, "alive").otherwise("unknown").alias("verdict"), F.when(i % 12 == 0, "404").otherwise("net").alias("reason"))
+
+
+def state(rows):
+    return rows.select("id", "is_active", "deactivation_reason", F.col("deactivated_at").isNotNull().alias("stamped"))
+
+
+def events(spark, sf):
+    return table(spark, sf, "events")
+
+
+def classified(spark, sf):
+    i = F.col("id")
+    status = F.get(F.array(*[F.lit(x) for x in (200, 301, 404, 410, 500, 302, 200)]), (i % 7).cast("int"))
+    to = F.when(i % 2 == 0, "https://example.org/Detail/1").otherwise("https://example.org/")
+    body = F.when(i % 5 == 0, "nabídka byla ukončena").otherwise("")
+    return listings(spark, sf).select("id", L.verdict(status, to, "/detail/", body, ("nabídka byla ukončena",)).alias("verdict"))
+
+
+STATUS = "(CASE id % 7 WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 410 WHEN 4 THEN 500 WHEN 5 THEN 302 ELSE 200 END)"
+VERDICT = f"CASE WHEN {STATUS} IN (404, 410) THEN 'dead' WHEN {STATUS} IN (301, 302) THEN CASE WHEN id % 2 = 0 THEN 'alive' ELSE 'dead' END WHEN {STATUS} = 200 THEN CASE WHEN id % 5 = 0 THEN 'dead' ELSE 'alive' END ELSE 'unknown' END"
+
+
+def queue_sql(stamp, nulls="FIRST", where="TRUE", n=50):
+    return f"{LISTINGS} SELECT source, id, CAST(k AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {stamp} ASC NULLS {nulls}, id) AS k FROM listings WHERE is_active AND {where}) WHERE k <= {n}"
+
+
+ENRICHED = "(description IS NOT NULL OR seller_name IS NOT NULL OR seller_phone IS NOT NULL OR floor IS NOT NULL OR energy_rating IS NOT NULL OR condition IS NOT NULL OR construction IS NOT NULL OR furnishing IS NOT NULL OR ownership IS NOT NULL OR n_images > 1)"
+BACK = f"(NOT is_active AND id % 6 = 2 AND deactivation_reason ILIKE 'liveness\\_%' ESCAPE '\\' AND deactivated_at >= TIMESTAMP '{THEN}' - INTERVAL 7 DAY)"
+DEAD = "(is_active AND id % 6 = 0)"
+WINDOW = "floor(epoch_us(ts) / 1000000 / 60)::BIGINT * 60"
+
+QUERIES = {
+    "lifecycle_upsert": (upserted, f"{LISTINGS} SELECT external_id, price + CASE WHEN id % 6 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS price, CASE WHEN id % 3 = 0 THEN TRUE ELSE is_active END AS is_active, TRUE AS numbered, FALSE AS fresh FROM listings UNION ALL SELECT 'new_' || id, price, TRUE, TRUE, TRUE FROM listings WHERE id % 3 = 0"),
+    "lifecycle_batch_counts": (lambda spark, sf: L.batch_counts(listings(spark, sf), incoming(spark, sf)), f"{LISTINGS} SELECT count(*) AS new_rows, count(*) AS updated_rows FROM listings WHERE id % 3 = 0"),
+    "lifecycle_deactivate_missing": (lambda spark, sf: state(L.deactivate_missing(listings(spark, sf), "low", listings(spark, sf).where("id % 2 = 0").select("external_id"), now())), f"{LISTINGS} SELECT id, is_active AND NOT (source = 'low' AND id % 2 <> 0) AS is_active, deactivation_reason, deactivated_at IS NOT NULL OR (source = 'low' AND id % 2 <> 0 AND is_active) AS stamped FROM listings"),
+    "lifecycle_missing_guard": (lambda spark, sf: state(L.deactivate_missing(listings(spark, sf), "low", listings(spark, sf).where("false").select("external_id"), now())), f"{LISTINGS} SELECT id, is_active, deactivation_reason, deactivated_at IS NOT NULL AS stamped FROM listings"),
+    "lifecycle_ttl": (lambda spark, sf: state(L.expire(listings(spark, sf), then())), f"{LISTINGS}, t AS (SELECT *, is_active AND scraped_at <= TIMESTAMP '{THEN}' - INTERVAL 14 DAY AS old FROM listings) SELECT id, is_active AND NOT old AS is_active, CASE WHEN old THEN 'ttl' ELSE deactivation_reason END AS deactivation_reason, deactivated_at IS NOT NULL OR old AS stamped FROM t"),
+    "lifecycle_liveness_apply": (lambda spark, sf: state(L.apply_verdicts(listings(spark, sf), verdicts(spark, sf), then())), f"{LISTINGS} SELECT id, (is_active AND NOT {DEAD}) OR coalesce({BACK}, FALSE) AS is_active, CASE WHEN {DEAD} THEN 'liveness_' || CASE WHEN id % 12 = 0 THEN '404' ELSE 'net' END WHEN coalesce({BACK}, FALSE) THEN NULL ELSE deactivation_reason END AS deactivation_reason, ({DEAD} OR deactivated_at IS NOT NULL) AND NOT coalesce({BACK}, FALSE) AS stamped FROM listings"),
+    "lifecycle_verdicts": (classified, f"{LISTINGS} SELECT id, {VERDICT} AS verdict FROM listings"),
+    "lifecycle_queue_liveness": (lambda spark, sf: L.queue(listings(spark, sf), "last_checked_at", 50), queue_sql("last_checked_at")),
+    "lifecycle_queue_liveness_nulls_last": (lambda spark, sf: L.queue(listings(spark, sf), "last_checked_at", 50, "last"), queue_sql("last_checked_at", "LAST")),
+    "lifecycle_queue_images": (lambda spark, sf: L.queue(listings(spark, sf), "last_image_checked_at", 50), queue_sql("last_image_checked_at")),
+    "lifecycle_queue_reenrich": (lambda spark, sf: L.reenrich_queue(listings(spark, sf), then(), 50), queue_sql("enriched_at", where=f"enriched_at <= TIMESTAMP '{THEN}' - INTERVAL 7 DAY")),
+    "lifecycle_known_split": (lambda spark, sf: L.known_split(listings(spark, sf), incoming(spark, sf)), f"{LISTINGS} SELECT TRUE AS known, count(*) + count(*) FILTER (WHERE id % 6 = 0) AS n FROM listings WHERE id % 3 = 0 UNION ALL SELECT FALSE, count(*) FROM listings WHERE id % 3 = 0"),
+    "lifecycle_enrichment_done": (lambda spark, sf: L.enrichment_done(listings(spark, sf), then()), f"{LISTINGS} SELECT external_id FROM listings WHERE enriched_at IS NOT NULL OR created_at <= TIMESTAMP '{THEN}' - INTERVAL 3 DAY"),
+    "lifecycle_recently_enriched": (lambda spark, sf: L.recently_enriched(listings(spark, sf), then(), 48), f"{LISTINGS} SELECT external_id FROM listings WHERE enriched_at >= TIMESTAMP '{THEN}' - INTERVAL 48 HOUR OR (enriched_at IS NULL AND created_at <= TIMESTAMP '{THEN}' - INTERVAL 3 DAY)"),
+    "lifecycle_recently_scraped": (lambda spark, sf: L.recently_scraped(listings(spark, sf), then(), 24), f"{LISTINGS} SELECT external_id FROM listings WHERE scraped_at >= TIMESTAMP '{THEN}' - INTERVAL 24 HOUR"),
+    "lifecycle_stamp_enriched": (lambda spark, sf: L.stamped_enriched(listings(spark, sf), now()).select("id", F.coalesce(F.col("enriched_at") == now(), F.lit(False)).alias("now")), f"{LISTINGS} SELECT id, {ENRICHED} AS now FROM listings"),
+    "lifecycle_cleaned": (lambda spark, sf: L.cleaned(listings(spark, sf).withColumns({"price": F.col("price") - 20000, "city": F.when(F.col("id") % 5 == 0, " Spain ").otherwise(F.col("city")), "latitude": F.when(F.col("id") % 9 != 0, F.col("latitude") + 0.5)})).select("id", "price", "city", "latitude", "longitude"), f"{LISTINGS}, x AS (SELECT id, price - 20000 AS price, city, CASE WHEN id % 9 <> 0 THEN latitude + CAST(0.5 AS DOUBLE) END AS la, longitude AS lo FROM listings) SELECT id, CASE WHEN price >= 0 THEN price END AS price, CASE WHEN id % 5 <> 0 THEN city END AS city, CASE WHEN la BETWEEN 48.5 AND CAST(51.1 AS DOUBLE) AND lo BETWEEN 12.0 AND CAST(18.9 AS DOUBLE) THEN la END AS latitude, CASE WHEN la BETWEEN 48.5 AND CAST(51.1 AS DOUBLE) AND lo BETWEEN 12.0 AND CAST(18.9 AS DOUBLE) THEN lo END AS longitude FROM x"),
+    "backfill_enriched": (lambda spark, sf: L.backfilled_enriched(listings(spark, sf)).select("id", F.date_format("enriched_at", "yyyy-MM-dd").alias("day")), f"{LISTINGS} SELECT id, strftime(CASE WHEN enriched_at IS NULL AND {ENRICHED} THEN scraped_at ELSE enriched_at END, '%Y-%m-%d') AS day FROM listings"),
+    "backfill_thumbnails": (lambda spark, sf: L.fixed_thumbnails(listings(spark, sf)).select("id", "thumbnail_url"), f"{LISTINGS} SELECT id, CASE WHEN thumbnail_url LIKE '//%' AND coalesce(first_image LIKE 'http%', FALSE) THEN first_image WHEN thumbnail_url LIKE '//%' THEN 'https:' || thumbnail_url ELSE thumbnail_url END AS thumbnail_url FROM listings"),
+    "backfill_size_bug": (lambda spark, sf: L.fixed_sizes(listings(spark, sf).withColumn("size_m2", F.col("size_m2") + F.when(F.col("id") % 4 == 0, 3000.0).when(F.col("id") % 4 == 1, 50.0).otherwise(0.0)), (20 + F.get(F.split("title", " "), F.lit(3)).try_cast("double") - 20)).select("id", "fixed_size"), f"{LISTINGS} SELECT id, CASE WHEN id % 4 = 1 THEN size_m2 + 50 ELSE size_m2 END AS fixed_size FROM listings"),
+    "backfill_district": (lambda spark, sf: L.fixed_districts(listings(spark, sf).withColumn("city", F.when(F.col("id") % 3 == 0, F.concat(F.lit("Okres  "), F.col("city"))).otherwise(F.col("city")))).select("id", "city", "district"), f"{LISTINGS} SELECT id, CASE WHEN id % 3 <> 0 THEN city END AS city, CASE WHEN id % 3 = 0 THEN city ELSE district END AS district FROM listings"),
+    "sitemap_rows": (lambda spark, sf: files.sitemap_rows(listings(spark, sf), "https://example.org"), f"{LISTINGS} SELECT 'https://example.org/listing/' || id AS loc, strftime(coalesce(enriched_at, scraped_at, created_at), '%Y-%m-%d') AS lastmod FROM listings WHERE is_active AND is_canonical ORDER BY id LIMIT 50000"),
+    "latency_percentiles": (lambda spark, sf: M.latency(events(spark, sf), "value", "event_type"), "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1"),
+    "run_counters": (lambda spark, sf: M.run_counters(events(spark, sf)), "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS new_count, count(*) FILTER (WHERE event_type = 'click') AS updated_count, count(*) FILTER (WHERE event_type = 'error') AS error_count, (array_agg(event_type ORDER BY ts DESC, event_id DESC))[1] AS last_status FROM events GROUP BY 1"),
+    "high_error_alert": (lambda spark, sf: M.high_errors(M.run_counters(events(spark, sf))).select("user_id", "error_count"), "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS error_count FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'error') > 10 AND count(*) FILTER (WHERE event_type = 'error') > count(*) FILTER (WHERE event_type = 'view')"),
+    "run_dashboard": (lambda spark, sf: M.dashboard(events(spark, sf)), "SELECT user_id, round(sum(t), 4) AS total, count(*) AS categories FROM (SELECT user_id, event_type, (array_agg(value ORDER BY ts DESC, event_id DESC))[1] AS t FROM events GROUP BY 1, 2) GROUP BY 1"),
+    "liveness_buckets": (lambda spark, sf: M.buckets(listings(spark, sf).select("source", "id").join(classified(spark, sf), "id").drop("id").withColumnRenamed("verdict", "v"), F.col("v"), ["alive", "dead", "unknown"]), f"{LISTINGS}, v AS (SELECT source, {VERDICT} AS v FROM listings) SELECT source, count(*) FILTER (WHERE v = 'alive') AS alive, count(*) FILTER (WHERE v = 'dead') AS dead, count(*) FILTER (WHERE v = 'unknown') AS unknown FROM v GROUP BY 1"),
+    "rate_limit_tumbling": (lambda spark, sf: M.tumbling(events(spark, sf), 3600, 2), "SELECT user_id, floor(epoch_us(ts) / 1000000 / 3600)::BIGINT * 3600 AS window_start, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM events GROUP BY 1, 2"),
+    "rate_limit_windows": (lambda spark, sf: M.restarting(events(spark, sf), 36000, 2), """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+w AS (SELECT user_id, k, t AS start, 1 AS n, 0 AS refused, 1 AS windows FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t > w.start + 36000000000 THEN e.t ELSE w.start END, CASE WHEN e.t > w.start + 36000000000 THEN 1 ELSE w.n + 1 END, w.refused + CASE WHEN e.t <= w.start + 36000000000 AND w.n + 1 > 2 THEN 1 ELSE 0 END, w.windows + CASE WHEN e.t > w.start + 36000000000 THEN 1 ELSE 0 END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+SELECT user_id, max(windows)::BIGINT AS windows, max(refused)::BIGINT AS refused FROM w GROUP BY 1"""),
+    "sample_stratified": (lambda spark, sf: M.stratified(listings(spark, sf), "source", 20, "x"), f"{LISTINGS} SELECT source, id, CAST(k AS INTEGER) AS position FROM (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY md5(id || 'x'), id) AS k FROM listings) WHERE k <= 20"),
+    "sample_random": (lambda spark, sf: M.sample(listings(spark, sf), 100, "x").select("id"), f"{LISTINGS} SELECT id FROM listings ORDER BY md5(id || 'x'), id LIMIT 100"),
+    "sample_block": (lambda spark, sf: M.sample_blocks(listings(spark, sf), 0.01, 7).select("id"), None),
+}
