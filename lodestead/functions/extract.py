@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SPACES = r"[\s\u00A0]"
 
@@ -143,7 +144,7 @@ def keyword_size_of(title: str | None) -> float | None:
     return (near or [x for x, _ in found] or [None])[0]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def keyword_size(titles: pd.Series) -> pd.Series:
     return titles.map(keyword_size_of, na_action=None).astype("float64")
 
