@@ -294,6 +294,7 @@ class Part:
     def __init__(self) -> None:
         self.index: dict[bytes, int] = {}
         self.bucket: list[int] = []
+        self.anchor: list[int] = []
         self.low: list[int] = []
         self.high: list[int] = []
         self.bytes = 0
@@ -304,12 +305,14 @@ class Part:
         keep = holds(shared, brief(prints, buckets))
         first, last, prints, doc = first[keep], last[keep], prints[keep], doc[keep]
         where = ((prints >> np.uint64(7)) % np.uint64(dealt)).tolist()
+        anchor = (prints & np.uint64(0xFFFFFFFF)).tolist()
         buffer, index, found = chunk.buffer, self.index, []
-        for a, b, w, d in zip(first.tolist(), (last + LENGTH).tolist(), where, chunk.ids[doc].tolist(), strict=True):
+        for a, b, w, p, d in zip(first.tolist(), (last + LENGTH).tolist(), where, anchor, chunk.ids[doc].tolist(), strict=True):
             context = buffer[a:b]
             k = index.setdefault(context, len(index))
             if k == len(self.low):
                 self.bucket.append(w)
+                self.anchor.append(p)
                 self.low.append(d)
                 self.high.append(d)
             elif d < self.low[k]:
@@ -381,10 +384,11 @@ def _collect_contexts(buckets: int, dealt: int):
 
         def send() -> None:
             texts, low, high = list(part.index), np.array(part.low, np.int64), np.array(part.high, np.int64)
+            anchor = np.array(part.anchor, np.uint32)
             for bucket, at in part.by_bucket():
                 some = [texts[k] for k in at.tolist()]
                 lengths = np.fromiter(map(len, some), np.uint8, len(some))
-                rows.append((bucket, key[0], number, b"".join(some), lengths.tobytes(), low[at].tobytes(), high[at].tobytes()))
+                rows.append((bucket, key[0], number, b"".join(some), lengths.tobytes(), anchor[at].tobytes(), low[at].tobytes(), high[at].tobytes()))
 
         for row in left.itertuples():
             for chunk in chunks(row.path, copies):
@@ -393,7 +397,7 @@ def _collect_contexts(buckets: int, dealt: int):
                     send()
                     number, part = number + 1, Part()
         send()
-        return pd.DataFrame(rows, columns=["bucket", "shard", "part", "texts", "lengths", "low", "high"])
+        return pd.DataFrame(rows, columns=["bucket", "shard", "part", "texts", "lengths", "anchors", "low", "high"])
 
     return run
 
@@ -402,21 +406,28 @@ def _settle(key, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket of contexts: for each part of a shard, the smallest ids of the windows that some document loses."""
     index: dict[bytes, int] = {}
     least: list[int] = []
+    anchor: list[int] = []
     members = []
     for row in rows.itertuples():
         lengths, low = np.frombuffer(row.lengths, np.uint8).astype(np.int64), np.frombuffer(row.low, np.int64).tolist()
         stops, mine = np.cumsum(lengths).tolist(), []
-        for a, b, d in zip([0, *stops[:-1]], stops, low, strict=True):
+        for a, b, p, d in zip([0, *stops[:-1]], stops, np.frombuffer(row.anchors, np.uint32).tolist(), low, strict=True):
             k = index.setdefault(row.texts[a:b], len(index))
             if k == len(least):
                 least.append(d)
+                anchor.append(p)
             elif d < least[k]:
                 least[k] = d
             mine.append(k)
         members.append(np.array(mine, np.int64))
-    pieces = list(index)
+    pieces, ids = list(index), np.array(least, np.int64)
     counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - LENGTH + 1
-    each = least_ids(pieces, np.array(least, np.int64))
+    each = np.repeat(ids, counts)
+    # Equal windows have equal anchors: a context that is the only one of its anchor shares no window with another.
+    _, same, often = np.unique(np.array(anchor, np.uint32), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(often[same] > 1)
+    if len(several):
+        each[np.repeat(often[same] > 1, counts)] = least_ids([pieces[k] for k in several.tolist()], ids[several])
     starts = np.cumsum(counts) - counts
     lowest = np.minimum.reduceat(each, starts)
     owner = np.repeat(np.arange(len(pieces)), counts)
@@ -546,7 +557,7 @@ def repeated_passages(docs: DataFrame, make=_digests, schema: str | StructType =
     # About a shard's worth of contexts, of some 70 bytes, in a bucket.
     dealt = max(64, -(-n_shared * 70 // POSITIONS))
     side = copies.unionByName(shared)
-    contexts = over(side, _collect_contexts(buckets, dealt), "bucket long, shard long, part long, texts binary, lengths binary, low binary, high binary")
+    contexts = over(side, _collect_contexts(buckets, dealt), "bucket long, shard long, part long, texts binary, lengths binary, anchors binary, low binary, high binary")
     lost = stored(contexts.groupBy("bucket").applyInPandas(_settle, SIDE), "suffix-lost")
     return over(side.unionByName(lost), _apply(buckets, dealt, make), schema)
 
