@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import table, unused
 
 #: Fixed value: the pattern of the byte-level pre-tokeniser. ``\\s`` is spelled out as the Unicode White_Space property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -227,6 +227,7 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids; decoding the ids gives the text back."""
-    encode = encoder(spark)
-    return docs.withColumn("_e", encode(F.col("text").cast("string"))).select(*docs.columns, F.col("_e.n_tokens").alias("n_tokens"), F.col("_e.ids").alias("ids"))
+    """The documents with their token ids, which replace columns of these names; decoding them gives the text back."""
+    encode, name = encoder(spark), unused("_tokens", docs.columns)
+    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "ids")]
+    return docs.withColumn(name, encode(F.col("text").cast("string"))).select(*kept, F.col(f"{name}.n_tokens").alias("n_tokens"), F.col(f"{name}.ids").alias("ids"))

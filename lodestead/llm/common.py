@@ -50,5 +50,9 @@ def spread(rows: int, per_bucket: int = 50_000, least: int = 64) -> int:
     return max(least, -(-rows // per_bucket))
 
 
-def text_size(column: str = "text"):
-    return F.coalesce(F.octet_length(F.col(column)).cast("long"), F.lit(0).cast("long"))
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the input does not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

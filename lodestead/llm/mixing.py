@@ -214,13 +214,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([cut_text(x, [(r["first"], r["last"]) for r in some]) for x, some in zip(texts, runs, strict=True)], dtype=object)
 
-    numbered = docs.select(*columns, *key).withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id")))
+    # The inputs' own columns travel in one struct, so none of their names can clash.
+    numbered = docs.select(F.struct(*columns).alias("_row"), *key).withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_id")))
     mine = F.filter("_turns", lambda t: t.copy == F.col("_copy"))
-    rows = numbered.join(turns.hint("merge"), ["_id", "_text"]).select(*columns, F.explode(mine).alias("_t"))
-    rows = rows.withColumn("text", cut(F.col("text").cast("string"), F.col("_t.runs")))
+    rows = numbered.join(turns.hint("merge"), ["_id", "_text"]).select("_row", F.explode(mine).alias("_t"))
+    rows = rows.withColumn("_cut", cut(F.col("_row.text").cast("string"), F.col("_t.runs")))
+    value = {c: F.col("_row").getField(c) for c in columns} | {"text": F.col("_cut")}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+        value["n_chars"] = F.char_length("_cut").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[value[c].alias(c) for c in columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import table
+from .common import table, unused
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -134,9 +134,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the production policy keeps, with their columns unchanged."""
-    measured = docs.withColumn("_rules", measurements("text"))
-    bits = fail_bits("_rules.")
-    return measured.where(~failed(bits, "base") & ~failed(bits, PRODUCTION)).drop("_rules")
+    name = unused("_rules", docs.columns)
+    measured = docs.withColumn(name, measurements(F.col("text").cast("string")))
+    bits = fail_bits(f"{name}.")
+    return measured.where(~failed(bits, "base") & ~failed(bits, PRODUCTION)).drop(name)
 
 
 ORACLE = r"""
