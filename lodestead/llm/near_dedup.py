@@ -6,9 +6,11 @@ start. Nodes are posted under each (coordinate, value) pair; posting lists of on
 linked, are skipped. In the others, the matching minima of two nodes are counted, pairs under the match threshold are
 dropped, and the rest are confirmed on the full sets.
 
-A list never emits all its pairs: it emits those over the threshold between different components while they are few for
-its length, and else those of its most central members, and comes back in the next round without these members. Rounds end
-when no list has more to give, so no pair that shares a list and meets the threshold stays untested.
+No list emits all its pairs. Short lists give the pairs over the threshold. Long ones first give those of their most
+central member; where components are left apart, the members' fingerprints are gathered, the common fingerprints of each
+member outside the largest component with all others are counted by merging their posting lists, and one link per pair of
+components that meets the similarity is given. Longer lists still are dealt in tiles, each pair of tiles a list of its own,
+so that a group is bounded. Thus every pair of different components that shares a list and meets the threshold is tested.
 
 A pair at similarity 0.8 shares no list, or has fewer matching minima than the threshold, with probability below 1e-6.
 
@@ -32,21 +34,23 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .common import stored, table
 
-COORDINATES = 32
+COORDINATES = 20
 ROWS = 3
-#: Matching minima of COORDINATES * ROWS that a pair needs; five deviations under what similarity 0.8 gives.
+#: Minima of a signature; the first COORDINATES * ROWS make the coordinates.
+MINIMA = 96
+#: Matching minima that a pair needs; five deviations under what similarity 0.8 gives.
 MATCHES = 56
 SIMILARITY = 80
 WORDS = 5
-#: Pairs a list may emit in a round, per member, and the central members it falls back on.
-PAIRS, CENTRES = 16, 8
+#: Longest list that gives all pairs over the threshold, and the members of a tile of a long one.
 SHORT = 32
+TILE = 4096
 
 
 @cache
 def _keys() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     draw = np.random.default_rng(96).integers(1, 2**63, (3, 128), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return draw[0][: COORDINATES * ROWS], draw[1], draw[2]
+    return draw[0][:MINIMA], draw[1], draw[2]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def minima(found: np.ndarray) -> np.ndarray:
-    out = np.full(COORDINATES * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 4096):
         np.minimum(out, (found[None, at : at + 4096] * _keys()[0][:, None]).min(axis=1), out=out)
     return out
@@ -91,7 +95,7 @@ def sketcher(words: int):
                 rows.append((0, None, None, None))
                 continue
             low = minima(found)
-            grouped = low.reshape(COORDINATES, ROWS) * weights[:ROWS]
+            grouped = low[: COORDINATES * ROWS].reshape(COORDINATES, ROWS) * weights[:ROWS]
             values = mixed(grouped.sum(axis=1, dtype=np.uint64) * weights[ROWS] + np.arange(COORDINATES, dtype=np.uint64) * weights[ROWS + 1])
             rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), (low >> np.uint64(40)).astype(np.uint8).tobytes(), values.view(np.int64)))
         return pd.DataFrame(rows, columns=SKETCH.names)
@@ -120,62 +124,51 @@ def _short_lists(key, comp, size, low, similarity) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
-def _rows_over(centre: int, comp, size, low, similarity, after: int = -1) -> np.ndarray:
-    """Members after ``after`` of other components that match a member."""
-    rows = slice(after + 1, len(comp))
-    near = (comp[rows] != comp[centre]) & (100 * np.minimum(size[rows], size[centre]) >= similarity * np.maximum(size[rows], size[centre]))
-    at = np.flatnonzero(near) + after + 1
-    return at[(low[at] == low[centre]).sum(axis=1) >= MATCHES]
-
-
-def _long_list(comp, size, low, done, similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one list, and the members that are settled after them (all, where the pairs are few)."""
-    live = np.flatnonzero(~done)
-    comp, size, low, left, right, most = comp[live], size[live], low[live], [], [], PAIRS * len(live)
-    if (comp == comp[0]).all():
-        return live[:0], live[:0], live
-    for k in range(len(live) - 1):
-        at = _rows_over(k, comp, size, low, similarity, k)
-        left.append(np.full(len(at), k))
-        right.append(at)
-        most -= len(at)
-        if most < 0:
-            break
-    else:
-        return live[np.concatenate(left)], live[np.concatenate(right)], live
+def _central(comp, size, low, similarity) -> tuple[int, np.ndarray]:
+    """The member whose minima are the most usual ones, and the members that match it."""
     usual = np.array([np.bincount(column, minlength=256).argmax() for column in low.T], np.uint8)
-    centres = np.argsort(-(low == usual).sum(axis=1), kind="stable")[:CENTRES]
-    left, right = [], []
-    for k in map(int, centres):
-        at = _rows_over(k, comp, size, low, similarity)
-        left.append(np.full(len(at), k))
-        right.append(at)
-    return live[np.concatenate(left)], live[np.concatenate(right)], live[centres]
-
+    k = int((low == usual).sum(axis=1).argmax())
+    near = (comp != comp[k]) & (100 * np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k]))
+    return k, np.flatnonzero(near & ((low == low[k]).sum(axis=1) >= MATCHES))
+
+
+def _links(comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
+    """Pairs that join components: for each member outside the largest one, fingerprints in common with all members."""
+    names, member, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(where, kind="stable")
+    posted = owner[order]
+    counts = np.bincount(where, minlength=len(values))
+    starts = np.cumsum(counts) - counts
+    ends = np.cumsum(lengths)
+    root = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k in np.flatnonzero(member != sizes.argmax()).tolist():
+        mine = where[ends[k] - lengths[k] : ends[k]]
+        n = counts[mine]
+        stops = np.cumsum(n)
+        merged = posted[np.repeat(starts[mine] - (stops - n), n) + np.arange(stops[-1])]
+        common = np.bincount(merged, minlength=len(sets))
+        near = np.flatnonzero((member != member[k]) & (100 * common >= similarity * (size[k] + size - common)))
+        for c, first in zip(*np.unique(member[near], return_index=True), strict=True):
+            a, b = find(member[k]), find(c)
+            if a != b:
+                root[a] = b
+                out.append((k, int(near[first])))
+    return out
 
-def pairing(similarity: int):
-    """mapInPandas function over rows sorted by key: pairs to confirm, and members of long lists that are settled."""
-    empty = pd.DataFrame({"key": [], "a": [], "b": []})
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
-        key, comp, size = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles"))
-        done, node = frame["done"].to_numpy(bool), frame["set_hash"].to_numpy()
-        low = np.frombuffer(b"".join(frame["minima"]), np.uint8).reshape(len(frame), -1)
-        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        lengths = np.diff(np.append(edges, len(key)))
-        small = np.repeat(lengths <= SHORT, lengths)
-        at = np.flatnonzero(small)
-        a, b = _short_lists(key[at], comp[at], size[at], low[at], similarity)
-        out = [pd.DataFrame({"key": None, "a": node[at[a]], "b": node[at[b]]})]
-        for start, length in zip(edges[lengths > SHORT], lengths[lengths > SHORT], strict=True):
-            rows = slice(start, start + length)
-            a, b, settled = _long_list(comp[rows], size[rows], low[rows], done[rows], similarity)
-            out.append(pd.DataFrame({"key": None, "a": node[rows][a], "b": node[rows][b]}))
-            if len(settled) < (~done[rows]).sum():
-                out.append(pd.DataFrame({"key": key[start], "a": node[rows][settled], "b": None}))
-        found = pd.concat(out)
-        return found.astype({"key": "Int64"}) if len(found) else empty.astype({"key": "Int64"})
+def _by_list(work):
+    """mapInPandas function over rows sorted by key, whole lists at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -193,6 +186,47 @@ def pairing(similarity: int):
     return run
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def first_pairs(similarity: int):
+    """All pairs of short lists over the threshold, and those of the central member of long ones."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        key, comp, size, node = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash"))
+        low = np.frombuffer(b"".join(frame["minima"]), np.uint8).reshape(len(frame), -1)
+        starts, lengths = _runs(key)
+        at = np.flatnonzero(np.repeat(lengths <= SHORT, lengths))
+        a, b = _short_lists(key[at], comp[at], size[at], low[at], similarity)
+        left, right = [at[a]], [at[b]]
+        for start, length in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
+            rows = slice(start, start + length)
+            k, near = _central(comp[rows], size[rows], low[rows], similarity)
+            left.append(np.full(len(near), start + k))
+            right.append(near + start)
+        return pd.DataFrame({"a": node[np.concatenate(left)], "b": node[np.concatenate(right)]})
+
+    return _by_list(work)
+
+
+def last_links(similarity: int):
+    """Links between the components that are left in long lists."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        key, comp, size, node, prints = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash", "prints"))
+        out = []
+        for start, length in zip(*_runs(key), strict=True):
+            rows = slice(start, start + length)
+            if (comp[rows] != comp[start]).any():
+                found = _links(comp[rows], size[rows], [np.frombuffer(x, np.uint32) for x in prints[rows]], similarity)
+                out += [(node[start + a], node[start + b]) for a, b in found]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return _by_list(work)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, of each node in ``edges`` (a, b), by large-star and small-star steps."""
     both = lambda e: e.union(e.select("b", "a")).toDF("u", "v")
@@ -221,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     nodes = sketches.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"), F.first("coordinates").alias("coordinates"))
     nodes = stored(nodes, "near-nodes")
     postings = nodes.where("rep IS NOT NULL").select("set_hash", F.explode("coordinates").alias("key"))
-    several = postings.groupBy("key").count().where("count > 1").select("key")
+    several = postings.groupBy("key").count().where("count > 1")
     posted = stored(postings.join(several, "key"), "near-posted")
     members = stored(nodes.drop("coordinates").join(posted.select("set_hash").distinct(), "set_hash"), "near-members")
 
@@ -240,37 +274,41 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     many = named.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     bridges = named.join(many, "doc_id").join(nodes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    comps, settled, edges = None, None, None
-    while True:
-        facts = members if comps is None else members.join(comps, members.rep == comps.node, "left").drop("node")
-        facts = facts.withColumn("comp", F.coalesce("comp", "rep") if comps is not None else F.col("rep"))
-        rows = posted.join(facts, "set_hash")
-        open_lists = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        rows = rows.join(open_lists, "key", "left_semi")
-        if settled is not None:
-            rows = rows.join(settled.select("key").distinct(), "key", "left_semi").join(settled.withColumn("done", F.lit(True)), ["key", "set_hash"], "left")
-            rows = rows.withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            rows = rows.withColumn("done", F.lit(False))
-        rows = rows.select("key", "set_hash", "comp", "n_shingles", "minima", "done").repartition("key").sortWithinPartitions("key", "set_hash")
-        given = stored(rows.mapInPandas(pairing(similarity), "key long, a binary, b binary"), "near-pairs")
-        pairs = given.where("key IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        confirmed = _confirmed(pairs, sets, members, similarity)
-        edges = stored((bridges if edges is None else edges).union(confirmed), "near-links")
-        comps = stored(components(edges), "near-components")
-        more = given.where("key IS NOT NULL").select("key", F.col("a").alias("set_hash"))
-        if more.isEmpty():
-            break
-        settled = stored(more if settled is None else settled.join(more.select("key").distinct(), "key", "left_semi").union(more), "near-settled")
+    tiles, tile = F.ceil(F.col("count") / TILE), F.pmod(F.xxhash64("set_hash"), F.ceil(F.col("count") / TILE))
+    rows = posted.join(members.withColumnRenamed("rep", "comp"), "set_hash").withColumn("key", F.when(tiles > 1, F.xxhash64("key", tile)).otherwise(F.col("key")))
+    rows = rows.select("key", "set_hash", "comp", "n_shingles", "minima").repartition("key").sortWithinPartitions("key", "set_hash")
+    edges = stored(bridges.union(_confirmed(rows.mapInPandas(first_pairs(similarity), "a binary, b binary"), sets, members, similarity)), "near-links")
+    comps = stored(components(edges), "near-components")
+
+    # Long lists whose members are not one component yet.
+    facts = members.join(comps, members.rep == comps.node, "left").select("set_hash", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    rows = posted.where(F.col("count") > SHORT).join(facts, "set_hash")
+    apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+
+    @F.pandas_udf("binary")
+    def brief(found: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in found], dtype=object)
+
+    rows = rows.join(apart, "key", "left_semi").join(sets.select("set_hash", brief("shingles").alias("prints")), "set_hash")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))
+    rows = rows.withColumn("tile", tile).withColumn("other", other)
+    rows = rows.withColumn("key", F.when(tiles > 1, F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).otherwise(F.col("key")))
+    rows = rows.select("key", "set_hash", "comp", "n_shingles", "prints").repartition("key").sortWithinPartitions("key", "set_hash")
+    more = _confirmed(rows.mapInPandas(last_links(similarity), "a binary, b binary"), sets, members, similarity)
+    # What is linked already counts as one edge each.
+    edges = stored(comps.select("node", "comp").union(more), "near-links").toDF("a", "b")
+    comps = stored(components(edges), "near-components")
 
     classes = nodes.select("set_hash", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("set_hash", F.coalesce("comp", "rep").alias("class"))
     rows = sketches.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     component = F.coalesce("class", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.when(F.col("doc_id").isNull(), component.isNull()).otherwise(F.col("doc_id") == component)
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, members: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets are similar enough, as edges between document ids."""
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     known = sets.join(members.select("set_hash", "rep", "n_shingles"), "set_hash")
     side = lambda c: known.select(F.col("set_hash").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", common_size("set_a", "set_b"))
@@ -285,6 +323,6 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles), with its columns unchanged."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs)  # rows without an id cannot be told apart, and stay
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
