@@ -38,8 +38,8 @@ from .files import listed
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of text handled at a time, and after which a shard's contexts are sent off.
-CHUNK, PART = 4 << 20, 32 << 20
+#: Bytes hashed at a time (arrays that fit a cache), and after which a shard's contexts are sent off.
+BLOCK, PART = 1 << 17, 32 << 20
 #: Positions of a suffix array: three ranks fit in 63 bits.
 POSITIONS = (1 << 21) - 2
 LAST = np.iinfo(np.int64).max
@@ -76,48 +76,63 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     n = len(text)
     position = np.arange(n, dtype=np.int64)
-    symbol = np.append(text.astype(np.int64) + 1, np.zeros(4, np.int64))
-    key = symbol[:n]
+    left = (ends - position).astype(np.int32)
+    symbol = np.zeros(n + 4, np.int64)
+    symbol[:n] = text
+    symbol[:n] += 1
+    key = symbol[:n] << 27
     for k in range(1, 4):
-        key = (key << 9) | np.where(position + k < ends, symbol[k : n + k], 0)
-    packed = np.sort((key << 21) | position)
-    order, key = packed & 0x1FFFFF, packed >> 21
-    first = np.append(True, key[1:] != key[:-1])
-    start = np.maximum.accumulate(np.where(first, position, 0))
-    rank = np.empty(n, np.int64)
+        key |= np.where(left > k, symbol[k : n + k], 0) << (9 * (3 - k))
+    packed = (key << 21) | position
+    packed.sort()
+    order = (packed & 0x1FFFFF).astype(np.int32)
+    packed >>= 21
+    first = np.empty(n + 1, bool)
+    first[0] = first[n] = True
+    np.not_equal(packed[1:], packed[:-1], out=first[1:n])
+    heads = np.flatnonzero(first[:n])
+    start = np.repeat(heads, np.diff(np.append(heads, n)))
+    rank = np.empty(n, np.int32)
     rank[order] = start
-    longest, step = int((ends - position).max()), 4
-    tied = ~(first & np.append(first[1:], True))
-    while step < longest and tied.any():
-        slots = np.flatnonzero(tied)
+    slots = np.flatnonzero(~(first[:-1] & first[1:]))
+    group = start[slots]
+    longest, step = int(left.max()), 4
+    while step < longest and len(slots):
         at = order[slots]
-        further = at + step
-        inside = further < ends[at]
-        second = np.where(inside, rank[np.minimum(further, n - 1)] + 1, 0)
-        packed = np.sort((start[slots] << 42) | (second << 21) | at)
-        at, pair = packed & 0x1FFFFF, packed >> 21
+        inside = left[at] > step
+        second = np.where(inside, rank[np.where(inside, at + step, 0)] + 1, 0)
+        packed = (group << 42) | (second.astype(np.int64) << 21) | at
+        packed.sort()
+        at = (packed & 0x1FFFFF).astype(np.int32)
         order[slots] = at
-        first[slots] = np.append(True, pair[1:] != pair[:-1])
-        start = np.maximum.accumulate(np.where(first, position, 0))
-        rank[at] = start[slots]
-        tied = ~(first & np.append(first[1:], True))
+        packed >>= 21
+        new = np.empty(len(slots) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(packed[1:], packed[:-1], out=new[1:-1])
+        heads = np.flatnonzero(new[:-1])
+        group = np.repeat(slots[heads], np.diff(np.append(heads, len(slots))))
+        rank[at] = group
+        tied = ~(new[:-1] & new[1:])
+        slots, group = slots[tied], group[tied]
         step *= 2
     rank[order] = position
-    return order, rank
+    return order.astype(np.int64), rank.astype(np.int64)
 
 
 def common_prefixes(text: np.ndarray, ends: np.ndarray, pieces: np.ndarray, order: np.ndarray, rank: np.ndarray, limit: int = LENGTH) -> np.ndarray:
-    """Common prefix of each suffix with the one before it, in suffix order, up to ``limit``.
+    """Common prefix, up to ``limit``, of each suffix of at least that length with the one before it, in suffix order.
 
-    Kasai's method, all pieces in step: in text order a common prefix is at most one shorter than the previous one.
+    Kasai's method, all pieces in step: in text order a common prefix is at most one shorter than the previous one. Shorter
+    suffixes come last in a piece, so nothing after them depends on theirs; they keep 0.
     """
     common = np.zeros(len(text), np.int64)
-    at, stop, held = pieces.copy(), ends[pieces], np.zeros(len(pieces), np.int64)
+    pieces = pieces[ends[pieces] - pieces >= limit]
+    at, end, stop, held = pieces.copy(), ends[pieces], ends[pieces] - limit + 1, np.zeros(len(pieces), np.int64)
     while len(at):
         before = rank[at] - 1
         other = order[before]
         a, b = at + held, other + held
-        more = (before >= 0) & (held < limit) & (a < stop) & (b < ends[other])
+        more = (before >= 0) & (held < limit) & (a < end) & (b < ends[other])
         more[more] = text[a[more]] == text[b[more]]
         held[more] += 1
         done = ~more
@@ -126,7 +141,7 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, pieces: np.ndarray, orde
         at[done] += 1
         alive = at < stop
         if not alive.all():
-            at, stop, held = at[alive], stop[alive], held[alive]
+            at, end, stop, held = at[alive], end[alive], stop[alive], held[alive]
     return common
 
 
@@ -191,8 +206,8 @@ def anchored(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Runs of windows with one anchor: (first window, last window, anchor's fingerprint). Windows stay inside pieces."""
     firsts, lasts, prints = [], [], []
     width = LENGTH - GRAM + 1
-    for at in range(0, len(text), CHUNK):
-        part = text[at : at + CHUNK + LENGTH - 1]
+    for at in range(0, len(text), BLOCK):
+        part = text[at : at + BLOCK + LENGTH - 1]
         n = len(part) - LENGTH + 1
         if n <= 0:
             break
