@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,6 +66,24 @@ def stretches(x: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(bounds[:-1], bounds[1:], strict=True)
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def spread_out(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers: differences, byte by byte, so that the leading bytes are zeros in a row."""
+    return squeezed(np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(spread_out(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 # -- suffix arrays -------------------------------------------------------------------------------------------------------
 
 
@@ -374,7 +393,7 @@ def _collect_anchors(buckets: int):
         rows = []
         for a, b in stretches(bucket):
             low = (prints[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            rows.append((int(bucket[a]), key[0], low[~several[a:b]].tobytes(), low[several[a:b]].tobytes()))
+            rows.append((int(bucket[a]), key[0], packed(low[~several[a:b]]), packed(low[several[a:b]])))
         return pd.DataFrame(rows, columns=["bucket", "shard", "once", "more"])
 
     return run
@@ -382,8 +401,7 @@ def _collect_anchors(buckets: int):
 
 def _find_shared(key, rows: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: for each shard, its fingerprints that two documents have."""
-    once = [np.frombuffer(x, np.uint32) for x in rows["once"]]
-    more = [np.frombuffer(x, np.uint32) for x in rows["more"]]
+    once, more = ([unpacked(x) for x in rows[c]] for c in ("once", "more"))
     every = np.sort(np.concatenate([*once, *more]))
     twice = every[1:][every[1:] == every[:-1]]
     shared = np.sort(np.concatenate([twice, *more]))
@@ -403,7 +421,7 @@ def _collect_contexts(buckets: int, dealt: int):
             for bucket, at in part.by_bucket():
                 some = [texts[k] for k in at.tolist()]
                 lengths = np.fromiter(map(len, some), np.uint8, len(some))
-                rows.append((bucket, key[0], number, b"".join(some), lengths.tobytes(), anchor[at].tobytes(), low[at].tobytes(), high[at].tobytes()))
+                rows.append((bucket, key[0], number, squeezed(b"".join(some)), lengths.tobytes(), anchor[at].tobytes(), squeezed(low[at].tobytes()), squeezed(high[at].tobytes())))
 
         for row in left.itertuples():
             for chunk in chunks(row.path, copies):
@@ -424,10 +442,10 @@ def _settle(key, rows: pd.DataFrame) -> pd.DataFrame:
     anchor: list[int] = []
     members = []
     for row in rows.itertuples():
-        lengths, low = np.frombuffer(row.lengths, np.uint8).astype(np.int64), np.frombuffer(row.low, np.int64).tolist()
-        stops, mine = np.cumsum(lengths).tolist(), []
+        lengths, low = np.frombuffer(row.lengths, np.uint8).astype(np.int64), np.frombuffer(spread_out(row.low), np.int64).tolist()
+        texts, stops, mine = spread_out(row.texts), np.cumsum(lengths).tolist(), []
         for a, b, p, d in zip([0, *stops[:-1]], stops, np.frombuffer(row.anchors, np.uint32).tolist(), low, strict=True):
-            k = index.setdefault(row.texts[a:b], len(index))
+            k = index.setdefault(texts[a:b], len(index))
             if k == len(least):
                 least.append(d)
                 anchor.append(p)
@@ -453,7 +471,7 @@ def _settle(key, rows: pd.DataFrame) -> pd.DataFrame:
     run_start = np.cumsum(runs) - runs
     out = []
     for row, mine in zip(rows.itertuples(), members, strict=True):
-        lost = np.flatnonzero(lowest[mine] < np.frombuffer(row.high, np.int64))
+        lost = np.flatnonzero(lowest[mine] < np.frombuffer(spread_out(row.high), np.int64))
         if len(lost):
             some = mine[lost]
             at = ragged(run_start[some], runs[some])
