@@ -29,10 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import filesystem, scratch, stored, table
 from .files import listed
@@ -261,7 +263,7 @@ def anchored(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Chunk:
     """Some documents of a shard: their rows, ids, bytes one after another, and whether they are settled by their digest."""
 
-    def __init__(self, rows: pd.DataFrame | None, ids: list, texts: list[bytes], copies: dict[int, set[bytes]]):
+    def __init__(self, rows: pa.RecordBatch | None, ids: list, texts: list[bytes], copies: dict[int, set[bytes]]):
         self.rows, self.texts = rows, texts
         self.ids = np.array([LAST if x is None else x for x in ids], np.int64)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -290,8 +292,7 @@ def chunks(path: str, copies: dict[int, set[bytes]], whole_rows: bool = False) -
             names = batch.schema.names
             ids = batch.column(names.index("doc_id")).to_pylist()
             texts = [(x or "").encode("utf-8", "replace") for x in batch.column(names.index("text")).to_pylist()]
-            rows = batch.to_pandas() if whole_rows else None
-            yield Chunk(rows, ids, texts, copies)
+            yield Chunk(batch if whole_rows else None, ids, texts, copies)
 
 
 def known_copies(side: pd.DataFrame) -> dict[int, set[bytes]]:
@@ -479,10 +480,11 @@ def _settle(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "kind", "number", "part", "a", "b", "c", "d"])
 
 
-def _apply(buckets: int, dealt: int, make):
+def _apply(buckets: int, dealt: int, make, schema: pa.Schema):
     """Recompute each shard's contexts, mark what the settled windows take, and give ``make`` each chunk and its mask."""
 
-    def run(key, left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, side: pa.Table) -> pa.Table:
+        left, side = left.to_pandas(), side.to_pandas()
         copies, shared, lost = known_copies(side), shared_prints(side, buckets), {}
         for row in side[side["kind"] == "lost"].itertuples():
             lost.setdefault(int(row.part), {})[int(row.number)] = row
@@ -515,7 +517,7 @@ def _apply(buckets: int, dealt: int, make):
                 for k in np.flatnonzero(chunk.copy & (chunk.stops - chunk.starts >= LENGTH)):
                     edge[chunk.starts[k]] += 1
                     edge[chunk.stops[k]] -= 1
-                out.append(make(chunk, np.cumsum(edge[:-1]) > 0))
+                out.append(make(chunk, np.cumsum(edge[:-1]) > 0, schema))
             waiting.clear()
 
         for row in left.itertuples():
@@ -525,41 +527,40 @@ def _apply(buckets: int, dealt: int, make):
                     close()
                     number, part = number + 1, Part()
         close()
-        return pd.concat(out) if out else make(None, None)
+        return pa.Table.from_batches(out, schema)
 
     return run
 
 
-def _digests(chunk: Chunk | None, gone: np.ndarray | None) -> pd.DataFrame:
+def _digests(chunk: Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     rows = []
-    for k, text in enumerate(chunk.texts if chunk else []):
+    for k, text in enumerate(chunk.texts):
         mask = gone[chunk.starts[k] : chunk.stops[k]]
         n = int(mask.sum())
         spans = int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum())
         kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if n else text
         rows.append((None if chunk.ids[k] == LAST else int(chunk.ids[k]), len(text), n, spans, hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
 
+def _texts(chunk: Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """The chunk's rows with what is left of their texts; all other columns are the input's own arrays."""
+    columns = dict(zip(chunk.rows.schema.names, chunk.rows.columns, strict=True))
+    texts = columns["text"].to_pylist()
+    for k, text in enumerate(chunk.texts):
+        mask = gone[chunk.starts[k] : chunk.stops[k]]
+        if mask.any():  # a cut inside a character takes the rest of it along
+            texts[k] = np.frombuffer(text, np.uint8)[~mask].tobytes().decode("utf-8", "ignore")
+    columns["text"] = pa.array(texts, pa.string())
+    if "n_chars" in columns:
+        columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts], pa.int64())
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
-def _texts(columns: list[str]):
-    def make(chunk: Chunk | None, gone: np.ndarray | None) -> pd.DataFrame:
-        if chunk is None:
-            return pd.DataFrame({c: [] for c in columns})
-        rows = chunk.rows.copy()
-        texts = rows["text"].tolist()
-        for k, text in enumerate(chunk.texts):
-            mask = gone[chunk.starts[k] : chunk.stops[k]]
-            if mask.any():  # a cut inside a character takes the rest of it along
-                texts[k] = np.frombuffer(text, np.uint8)[~mask].tobytes().decode("utf-8", "ignore")
-        rows["text"] = texts
-        if "n_chars" in rows:
-            rows["n_chars"] = [None if x is None else len(x) for x in texts]
-        return rows[columns]
 
-    return make
+DIGESTS = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())])
 
 
-def repeated_passages(docs: DataFrame, make=_digests, schema: str | StructType = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string") -> DataFrame:
+def repeated_passages(docs: DataFrame, make=_digests, schema: StructType = DIGESTS) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "suffix-shards")
     docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).write.option("compression", "zstd").parquet(folder)
@@ -592,7 +593,8 @@ def repeated_passages(docs: DataFrame, make=_digests, schema: str | StructType =
     side = copies.unionByName(shared)
     contexts = over(side, _collect_contexts(buckets, dealt), "bucket long, shard long, part long, texts binary, lengths binary, anchors binary, low binary, high binary")
     lost = stored(contexts.groupBy("bucket").applyInPandas(_settle, SIDE), "suffix-lost")
-    return over(side.unionByName(lost), _apply(buckets, dealt, make), schema)
+    whole = left.cogroup(side.unionByName(lost).repartition(tasks, "shard").groupBy("shard"))
+    return whole.applyInArrow(_apply(buckets, dealt, make, to_arrow_schema(schema)), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,4 +604,4 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated passages; every row stays, its text may become empty."""
-    return repeated_passages(docs, _texts(docs.columns), docs.schema)
+    return repeated_passages(docs, _texts, docs.schema)
