@@ -44,7 +44,3 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def labelled(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
-
-
-def as_rows(df):
-    return sorted(map(str, df.collect()))

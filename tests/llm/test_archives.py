@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import assert_same
-from conftest import as_rows
+from rows import as_rows
 
 from lodestead.llm import files, media, token_files, warc
 from lodestead.llm.common import scratch

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import as_rows
+from rows import as_rows
 
 from lodestead.llm import near_dedup, suffix_dedup
 

@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import as_rows
+from rows import as_rows
 
 from lodestead.llm import mixing, sharding
 
