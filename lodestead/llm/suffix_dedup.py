@@ -605,3 +605,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated passages; every row stays, its text may become empty."""
     return repeated_passages(docs, _texts, docs.schema)
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+b AS MATERIALIZED (SELECT r, doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 100 <= len(x) THEN md5(substr(x, 2 * i + 1, 100)) END AS w FROM (SELECT r, doc_id, x, unnest(range(0, len(x) // 2)) AS i FROM d)),
+f AS (SELECT w, min(doc_id) AS first FROM b WHERE w IS NOT NULL GROUP BY 1),
+g AS (SELECT r, i, byte, CASE WHEN coalesce(first < doc_id, FALSE) THEN 1 ELSE 0 END AS hit FROM b LEFT JOIN f USING (w)),
+m AS (SELECT r, i, byte, max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g),
+k AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS head FROM m),
+a AS (SELECT r, sum(gone)::BIGINT AS n_removed, sum(head)::BIGINT AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM k GROUP BY 1)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (r)
+"""
