@@ -18,10 +18,12 @@ read as far as it goes; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from html import unescape
 
 import pandas as pd
@@ -36,6 +38,10 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 RAW = set("script style template noscript iframe svg canvas object textarea title math".split())
 ASIDE = set("nav footer aside form button select option menu dialog head".split())
 ASIDE_WORDS = set("nav navbar navigation menu menus sidebar sidebars aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr banner notice notices alert newsletter subscribe subscription share sharing social comment comments commentlist discussion disqus respond reply replies related recommended breadcrumb breadcrumbs pager pagination footer popup modal overlay widget toolbar login signup search skip masthead complementary contentinfo".split())
+#: Words that leave the meaning of a compound with one of those as it is; elements whose class and id say nothing; headings.
+NEUTRAL = set("bar block box buttons links x".split())
+FRAMES = set("html body main article".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = set("article articlebody content contents post entry story main body text".split())
 CLOSED_BY_SAME = set("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -47,27 +53,36 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Element:
-    __slots__ = ("aside", "children", "kind", "name")
+    __slots__ = ("aside", "children", "doubtful", "kind", "name")
 
-    def __init__(self, name: str, kind: str, aside: bool):
-        self.name, self.kind, self.aside, self.children = name, kind, aside, []
+    def __init__(self, name: str, kind: str, aside: bool, doubtful: bool = False):
+        self.name, self.kind, self.aside, self.doubtful, self.children = name, kind, aside, doubtful, []
 
 
 def element(name: str, attributes: str) -> Element:
-    """An element whose kind is its name with the words of its class, id and role."""
+    """An element whose kind is its name with the words of its class, id and role.
+
+    It stands aside by a whole class, id or role, or by a compound of such words only (``cookie-banner``). One such word
+    among others (``share-price``) is a doubtful case, and so is the id of a section; the host's pages decide on it.
+    """
     words: list[str] = []
-    aside = name in ASIDE
+    aside, doubtful = name in ASIDE, False
     if attributes:
         for found in ATTRIBUTE.finditer(attributes):
             key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
             if key in ("class", "id", "role", "itemprop"):
                 for token in value.lower().split():
-                    parts = WORD.findall(token)
-                    words += [p for p in parts if not p.isdigit()]
-            elif key == "hidden" or key == "aria-hidden" and value == "true":
+                    parts = [p for p in WORD.findall(token) if not p.isdigit()]
+                    words += parts
+                    if ASIDE_WORDS.isdisjoint(parts) or name in FRAMES and (key != "role" or name != "article") or name in HEADINGS and key == "id":
+                        continue
+                    if all(p in ASIDE_WORDS or p in NEUTRAL for p in parts) and not (name == "section" and key == "id"):
+                        aside = True
+                    else:
+                        doubtful = name not in HEADINGS
+            elif (key == "hidden" or key == "aria-hidden" and value == "true") and name not in ("html", "body"):
                 aside = True
-    aside = aside or not ASIDE_WORDS.isdisjoint(words)
-    return Element(name, ".".join([name, *sorted(set(words))]), aside)
+    return Element(name, ".".join([name, *sorted(set(words))]), aside, doubtful and not aside)
 
 
 def parsed(html: str) -> Element:
@@ -199,7 +214,7 @@ def characters(node: list) -> int:
     return 0 if node[1] else node[5] + sum(map(characters, node[4]))
 
 
-def article(root: list) -> str:
+def article(root: list, dropped: frozenset[str] = frozenset()) -> str:
     """Path of the element that holds the article: named elements first, then the deepest that holds most of the text."""
     named, plain, total = [], [], characters(root) or 1
 
@@ -207,6 +222,8 @@ def article(root: list) -> str:
         if node[1] or node[0] == "#":
             return
         path, size, kinds = f"{path}/{node[0]}", characters(node), node[0].split(".")
+        if path in dropped:
+            return
         rank = 3 if kinds[0] == "article" else 2 if kinds[0] == "main" or "main" in kinds[1:] else 1 if not MAIN_WORDS.isdisjoint(kinds[1:]) else 0
         if size and not node[3]:
             if rank and size * 4 >= total:
@@ -221,6 +238,54 @@ def article(root: list) -> str:
     return max(named or plain or [(0, 0, "")])[2]
 
 
+# -- doubtful cases ------------------------------------------------------------------------------------------------------
+# What a host's pages say: [pages, {path: [digest of the text, or "" once it differs; pages; up to PAGES pages' digests]}].
+
+#: So many different pages must have the same text in a doubtful element, and half of the host's pages.
+PAGES = 3
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def doubts(root: Element) -> list:
+    found: dict[str, list[str]] = {}
+
+    def visit(node: Element, path: str) -> None:
+        for child in node.children:
+            if isinstance(child, Element) and not child.aside:
+                below = f"{path}/{child.kind}"
+                if child.doubtful:
+                    found.setdefault(below, []).append(text_of(child))
+                visit(child, below)
+
+    visit(root, "")
+    page = [digest(text_of(root))] if found else []
+    return [1, {path: [digest("\n".join(texts)), 1, page] for path, texts in found.items()}]
+
+
+def agreed(a: list, b: list) -> list:
+    paths = dict(a[1])
+    for path, (text, pages, some) in b[1].items():
+        mine = paths.get(path)
+        paths[path] = [text if mine[0] == text else "", mine[1] + pages, sorted({*mine[2], *some})[:PAGES]] if mine else [text, pages, some]
+    return [a[0] + b[0], paths]
+
+
+def boilerplate(said: list) -> list[str]:
+    """Paths of the doubtful elements with one and the same text on the host's pages."""
+    return sorted(path for path, (text, pages, some) in said[1].items() if text and len(some) >= PAGES and pages * 2 >= said[0])
+
+
+def put_aside(node: Element, paths: set[str], path: str = "") -> None:
+    for child in node.children:
+        if isinstance(child, Element):
+            if (below := f"{path}/{child.kind}") in paths:
+                child.aside = True
+            put_aside(child, paths, below)
+
+
 # -- extraction ----------------------------------------------------------------------------------------------------------
 
 
@@ -247,8 +312,10 @@ def holders(node: Element, path: list[str]) -> list[Element]:
     return [x for child in node.children if isinstance(child, Element) and not child.aside and child.kind == path[0] for x in holders(child, path[1:])]
 
 
-def extract(html: str | None, path: str) -> str:
+def extract(html: str | None, path: str, dropped: Iterable[str] = ()) -> str:
     root = parsed(html or "")
+    if paths := set(dropped):
+        put_aside(root, paths)
     found = holders(root, path.split("/")[1:]) if path else []
     if not found and (own := article(folded(root))):
         found = holders(root, own.split("/")[1:])
@@ -258,22 +325,26 @@ def extract(html: str | None, path: str) -> str:
 # -- passes --------------------------------------------------------------------------------------------------------------
 
 HOSTS = 1000
-WRAPPER = "host string, salt int, wrapper string"
+WRAPPER = "host string, salt int, wrapper string, doubts string"
 
 
 def _infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     wrappers: dict[str, list] = {}
     known: dict[str, set[str]] = {}
+    said: dict[str, list] = {}
 
     def flush() -> pd.DataFrame:
-        rows = pd.DataFrame([(h, k % 64, json.dumps(w)) for k, (h, w) in enumerate(wrappers.items())], columns=["host", "salt", "wrapper"])
+        rows = pd.DataFrame([(h, k % 64, json.dumps(w), json.dumps(said[h])) for k, (h, w) in enumerate(wrappers.items())], columns=["host", "salt", "wrapper", "doubts"])
         wrappers.clear()
+        said.clear()
         known.clear()
         return rows
 
     for frame in frames:
         for host, html in zip(frame["host"], frame["html"], strict=True):
-            page = folded(parsed(html or ""))
+            root = parsed(html or "")
+            page, doubt = folded(root), doubts(root)
+            said[host] = agreed(said[host], doubt) if host in said else doubt
             shape, seen = expression(page), known.setdefault(host, set())
             if shape in seen:
                 continue
@@ -290,7 +361,8 @@ def _merge(key, rows: pd.DataFrame) -> pd.DataFrame:
     whole = found[0]
     for other in found[1:]:
         whole = merged(whole, other)
-    return pd.DataFrame({"host": [key[0]], "salt": [0], "wrapper": [json.dumps(whole)]})
+    said = reduce(agreed, map(json.loads, rows["doubts"]))
+    return pd.DataFrame({"host": [key[0]], "salt": [0], "wrapper": [json.dumps(whole)], "doubts": [json.dumps(said)]})
 
 
 def hosts(pages: DataFrame) -> DataFrame:
@@ -299,29 +371,29 @@ def hosts(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (as a tree), expression, path of the article."""
+    """host, wrapper (as a tree), expression, path of the article, paths of doubtful elements that stand aside."""
     found = hosts(pages).select("host", F.col("html").cast("string").alias("html")).mapInPandas(_infer, WRAPPER)
     once = found.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(64)).alias("salt")).applyInPandas(_merge, WRAPPER)
     whole = once.groupBy("host").applyInPandas(_merge, WRAPPER)
 
-    @F.pandas_udf("expression string, path string")
-    def read(trees: pd.Series) -> pd.DataFrame:
-        nodes = [json.loads(x) for x in trees]
-        return pd.DataFrame({"expression": [expression(x) for x in nodes], "path": [article(x) for x in nodes]})
+    @F.pandas_udf("expression string, path string, dropped array<string>")
+    def read(trees: pd.Series, said: pd.Series) -> pd.DataFrame:
+        nodes, dropped = [json.loads(x) for x in trees], [boilerplate(json.loads(x)) for x in said]
+        return pd.DataFrame({"expression": [expression(x) for x in nodes], "path": [article(x, frozenset(d)) for x, d in zip(nodes, dropped, strict=True)], "dropped": dropped})
 
-    return whole.select("host", "wrapper", read("wrapper").alias("w")).select("host", "wrapper", "w.*")
+    return whole.select("host", "wrapper", read("wrapper", "doubts").alias("w")).select("host", "wrapper", "w.*")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     # Stored, so that the planner knows its size: it is broadcast only if small, and else joined by a shuffle.
-    paths = stored(wrappers(pages).select("host", "path"), "html-paths")
+    paths = stored(wrappers(pages).select("host", "path", "dropped"), "html-paths")
 
     @F.pandas_udf("string")
-    def texts(html: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([extract(x, p or "") for x, p in zip(html, path, strict=True)], dtype=object)
+    def texts(html: pd.Series, path: pd.Series, dropped: pd.Series) -> pd.Series:
+        return pd.Series([extract(x, p or "", () if d is None else d) for x, p, d in zip(html, path, dropped, strict=True)], dtype=object)
 
     rows = hosts(pages.select("page_id", "url", "html")).join(paths, "host", "left")
-    found = rows.select("page_id", "url", texts(F.col("html").cast("string"), "path").alias("text"))
+    found = rows.select("page_id", "url", texts(F.col("html").cast("string"), "path", "dropped").alias("text"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

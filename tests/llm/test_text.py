@@ -169,3 +169,13 @@ def test_page_edges(spark):
     found = Counter((r.page_id, r.text) for r in html_wrappers.main_text(pages).collect())
     assert found == Counter({(1, ""): 1, (2, "one two three"): 2, (None, "cut off"): 1, (3, ""): 1, (4, "a < b < c &unknown; é"): 1, (5, "deep"): 1, (6, ""): 1, (7, "x"): 1})
     assert html_wrappers.main_text(pages.limit(0)).collect() == []
+
+
+def test_words_in_names_are_no_verdict(spark):
+    wrap = lambda name, k: f"<html><body class='has-sidebar'><{name}><h2 id='related-work'>Related {k}</h2><section id='social-media'><p>Net {k}</p></section><p>At <span class='share-price'>{k} EUR</span></p><div id='search-results'>Found {k}</div><div class='share-this-page'>Tell others</div><div class='cookie-banner'>Cookies</div></{name.split()[0]}></body></html>"
+    names = ["main class='with-sidebar'", "article class='comment-open'", "div id='x'"]
+    rows = [(10 * j + k, f"http://h{j}/{k}", wrap(name, 10 * j + k)) for j, name in enumerate(names) for k in range(4)]
+    rows += [(100, "http://once", wrap(names[1], 100))] * 4
+    found = html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    # A doubtful element goes only where different pages of the host say the same in it; copies of one page say nothing.
+    assert sorted((r.page_id, r.text) for r in found) == sorted((i, f"Related {i} Net {i} At {i} EUR Found {i}" + " Tell others" * (i == 100)) for i, _, _ in rows)
