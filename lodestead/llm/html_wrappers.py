@@ -7,9 +7,10 @@ becomes optional, text that differs becomes a slot. Pages whose folded stream is
 skipped. Each task infers wrappers of the hosts it sees; wrappers of one host are aligned with each other in two rounds
 (salted, then final), so that no task reads the pages of a large host.
 
-The wrapper tells which element holds the article: the element outside menus, notices and the like that is not repeated
-and holds the text. Extraction takes that element's text from every page of the host; a page without it falls back on its
-own structure.
+The wrapper tells which element holds the article: the lowest one with all text outside menus, notices and the like;
+several ``article`` in a row are teasers unless most of the text is theirs. Extraction takes the text of that element, or
+of all elements on its path in page order, from every page of the host; a page without it, or with text elsewhere, is read
+by its own structure as well.
 
 Defined results: a null html, or one without such text, has the empty text and 0 characters; a null url belongs to the
 host without a name; rows that repeat are extracted one by one; broken markup (missing or stray end tags, cut pages) is
@@ -42,7 +43,6 @@ ASIDE_WORDS = set("nav navbar navigation menu menus sidebar sidebars aside ad ad
 NEUTRAL = set("bar block box buttons links x".split())
 FRAMES = set("html body main article".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-MAIN_WORDS = set("article articlebody content contents post entry story main body text".split())
 CLOSED_BY_SAME = set("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 DEEPEST = 100
@@ -180,7 +180,7 @@ def fold(children: list) -> list:
 
 def merged(a: list, b: list, apart: bool = True) -> list:
     """Two wrappers of one kind aligned; ``apart``: they come from different pages, else from neighbours in one."""
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] or b[3], aligned(a[4], b[4], apart), a[5] + b[5], a[6] + b[6] if apart else max(a[6], b[6])]
+    return [a[0], a[1] and b[1], a[2] or b[2], a[3] or b[3], aligned(a[4], b[4], apart), a[5] + b[5], a[6] + b[6] if apart else max(a[6], b[6])]
 
 
 def aligned(a: list, b: list, apart: bool) -> list:
@@ -210,32 +210,31 @@ def expression(node: list) -> str:
     return f"({inner}){mark}" if mark else inner
 
 
-def characters(node: list) -> int:
-    return 0 if node[1] else node[5] + sum(map(characters, node[4]))
+def article(root: list, dropped: frozenset[str] = frozenset()) -> str:
+    """Path of the lowest element that holds all text outside asides; several ``article`` in a row hold teasers.
 
+    Such teasers count as text where they are most of it.
+    """
+    text: list[tuple[list[str], int]] = []
+    teasers: list[tuple[list[str], int]] = []
 
-def article(root: list, dropped: frozenset[str] = frozenset()) -> str:
-    """Path of the element that holds the article: named elements first, then the deepest that holds most of the text."""
-    named, plain, total = [], [], characters(root) or 1
-
-    def visit(node: list, path: str, depth: int) -> None:
-        if node[1] or node[0] == "#":
-            return
-        path, size, kinds = f"{path}/{node[0]}", characters(node), node[0].split(".")
-        if path in dropped:
-            return
-        rank = 3 if kinds[0] == "article" else 2 if kinds[0] == "main" or "main" in kinds[1:] else 1 if not MAIN_WORDS.isdisjoint(kinds[1:]) else 0
-        if size and not node[3]:
-            if rank and size * 4 >= total:
-                named.append((rank, size, path))
-            if size * 10 >= total * 7:
-                plain.append((depth, size, path))
+    def visit(node: list, path: list[str], teaser: bool) -> None:
         for child in node[4]:
-            visit(child, path, depth + 1)
+            if child[0] == "#":
+                (teasers if teaser else text).append((path, child[5]))
+            elif not child[1]:
+                below = [*path, child[0]]
+                if "/" + "/".join(below) not in dropped:
+                    visit(child, below, teaser or child[3] and child[0].split(".")[0] == "article")
+
+    visit(root, [], False)
+    if sum(n for _, n in teasers) > sum(n for _, n in text):
+        text += teasers
+    return "".join(f"/{kind}" for kind in reduce(shared_path, (path for path, _ in text))) if text else ""
 
-    for child in root[4]:
-        visit(child, "", 0)
-    return max(named or plain or [(0, 0, "")])[2]
+
+def shared_path(a: list[str], b: list[str]) -> list[str]:
+    return a[: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))]
 
 
 # -- doubtful cases ------------------------------------------------------------------------------------------------------
@@ -312,14 +311,21 @@ def holders(node: Element, path: list[str]) -> list[Element]:
     return [x for child in node.children if isinstance(child, Element) and not child.aside and child.kind == path[0] for x in holders(child, path[1:])]
 
 
+def outside(node: Element, found: set[int]) -> bool:
+    """Whether there is text that none of the elements (by identity) holds."""
+    return id(node) not in found and any(bool(x.strip()) if isinstance(x, str) else not x.aside and outside(x, found) for x in node.children)
+
+
 def extract(html: str | None, path: str, dropped: Iterable[str] = ()) -> str:
     root = parsed(html or "")
     if paths := set(dropped):
         put_aside(root, paths)
     found = holders(root, path.split("/")[1:]) if path else []
-    if not found and (own := article(folded(root))):
-        found = holders(root, own.split("/")[1:])
-    return max((text_of(x) for x in found or [root]), key=len, default="")
+    if not found or outside(root, set(map(id, found))):
+        # Text elsewhere is that of teasers, unless it is the page's own article.
+        own = article(folded(root)).split("/")[1:]
+        found = holders(root, shared_path(path.split("/")[1:], own) if found and own else own)
+    return " ".join(filter(None, map(text_of, found)))
 
 
 # -- passes --------------------------------------------------------------------------------------------------------------

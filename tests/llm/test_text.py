@@ -179,3 +179,21 @@ def test_words_in_names_are_no_verdict(spark):
     found = html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     # A doubtful element goes only where different pages of the host say the same in it; copies of one page say nothing.
     assert sorted((r.page_id, r.text) for r in found) == sorted((i, f"Related {i} Net {i} At {i} EUR Found {i}" + " Tell others" * (i == 100)) for i, _, _ in rows)
+
+
+def test_the_article_holds_all_text():
+    def extracted(*bodies):
+        pages = [html_wrappers.folded(html_wrappers.parsed(page(b))) for b in bodies]
+        whole = pages[0]
+        for other in pages[1:]:
+            whole = html_wrappers.merged(whole, other)
+        return [html_wrappers.extract(page(b), html_wrappers.article(whole)) for b in bodies]
+
+    assert extracted("<div class=page><div class=intro>" + "in " * 60 + "</div><div class=text>" + "tx " * 40 + "</div></div>") == ["in " * 60 + ("tx " * 40).strip()]
+    assert extracted("<div class=a><h1>Title</h1><p>Lead</p><div class=b><p>" + "b " * 99 + "</p></div></div>") == ["Title Lead " + ("b " * 99).strip()]
+    sections = "".join(f"<div class=part><div class=text><p>part {k}</p></div></div>" for k in range(3))
+    assert extracted(sections, sections) == ["part 0 part 1 part 2"] * 2
+    assert extracted("<div class=x hidden>Not shown</div><p>one</p>", "<div class=x>Shown</div><p>two</p>") == ["one", "Shown two"]
+    # A front page with teasers beside text, and a page whose only article is the text.
+    front = "<div class=content>" + "front " * 30 + "</div><article><p>t1</p></article><article><p>t2</p></article>"
+    assert extracted(front, "<div class=content>intro</div><article><p>one article</p></article>") == [("front " * 30).strip(), "intro one article"]
