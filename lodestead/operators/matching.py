@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def by_title(cards: DataFrame, offers: DataFrame, least: int = 8) -> DataFrame:
+def by_title(cards: DataFrame, offers: DataFrame) -> DataFrame:
     """(card_id, offer_id): the same title, else one a prefix of the other; the first of the best rank wins.
 
-    A prefix pair agrees in its first ``least`` characters, so both kinds are equi-joins; shorter titles match only whole.
+    Both directions are equi-joins of whole titles with the proper prefixes of the other side's distinct titles, of any
+    length. Prefixes are grouped before they are joined, so each title meets one row.
     """
-    c = cards.select(F.col("id").alias("card_id"), F.col("title").alias("card_title"), F.substring("title", 1, least).alias("head"))
-    o = offers.select(F.col("id").alias("offer_id"), F.col("title").alias("offer_title"), F.substring("title", 1, least).alias("head"))
-    same = F.col("card_title") == F.col("offer_title")
-    either = F.startswith("card_title", F.col("offer_title")) | F.startswith("offer_title", F.col("card_title"))
-    long = (F.length("card_title") >= least) & (F.length("offer_title") >= least)
-    found = c.join(o, "head").where(same | (long & either)).withColumn("rank", F.when(same, 0).otherwise(1))
-    return found.groupBy("card_id").agg(F.min_by("offer_id", F.struct("rank", "offer_id")).alias("offer_id"), F.min("rank").alias("rank"))
+    first = offers.where("title IS NOT NULL").groupBy("title").agg(F.min("id").alias("offer_id"))
+    titles = cards.where("title IS NOT NULL").select("title").distinct()
+    prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.length("title") - 1), lambda n: F.substring("title", F.lit(1), n)))
+    longer = first.where("length(title) > 0").select("offer_id", prefixes.alias("title")).groupBy("title").agg(F.min("offer_id").alias("offer_id"))
+    shorter = titles.where("length(title) > 0").select(F.col("title").alias("whole"), prefixes.alias("title"))
+    same = titles.join(first, "title").select("title", "offer_id", F.lit(0).alias("rank"))
+    found = same.unionByName(titles.join(longer, "title").select("title", "offer_id", F.lit(1).alias("rank")))
+    found = found.unionByName(shorter.join(first, "title").select(F.col("whole").alias("title"), "offer_id", F.lit(1).alias("rank")))
+    best = found.groupBy("title").agg(F.min_by("offer_id", F.struct("rank", "offer_id")).alias("offer_id"), F.min("rank").alias("rank"))
+    return cards.select(F.col("id").alias("card_id"), "title").join(best, "title").select("card_id", "offer_id", "rank")
 
 
 def needs_detail(page: DataFrame, known: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestead.functions import extract, special, text
 from lodestead.functions.keys import canonical_email, cluster_key, fixed
-from lodestead.operators import dedup, lifecycle, markers, search, watchdogs
+from lodestead.operators import dedup, lifecycle, markers, matching, search, watchdogs
 from lodestead.sources import files
 from lodestead.sources.adapter import listings, notifications, now
 from lodestead.sources.adapter import watchdogs as dogs
@@ -177,3 +177,14 @@ def test_second_incremental_pass_adds_nothing(spark, sf):
     rows = listings(spark, sf)
     once = dedup.assigned(rows, dedup.incremental(rows))
     assert dedup.incremental(once).isEmpty()
+
+
+def test_titles_match_at_any_length(spark):
+    given = [(1, "Chata"), (2, "Chata - novinka"), (3, "Byt"), (4, "Byt"), (5, ""), (6, None), (7, "Dům u lesa"), (8, "Pole")]
+    offered = [(21, "Chata - novinka"), (20, "Chata - novinka - sleva"), (22, "Byt 2+kk"), (23, "Byt"), (24, "Dům"), (25, None), (26, "D"), (27, "pole")]
+    cards, offers = (spark.createDataFrame(rows, "id long, title string") for rows in (given, offered))
+    expected = []
+    for c, x in given:
+        hits = [(x != y, o) for o, y in offered if None not in (x, y) and (x.startswith(y) or y.startswith(x))]
+        expected += [(c, min(hits)[1], int(min(hits)[0]))] if hits else []
+    assert sorted(map(tuple, matching.by_title(cards, offers).collect())) == expected and expected[0] == (1, 20, 1)
