@@ -12,7 +12,9 @@ only small facts about it are shuffled, never texts:
    shard. They are dealt by the anchor's fingerprint, so equal windows meet in one bucket. There, shards of contexts of
    bounded size get suffix arrays by Larsson-Sadakane refinement and common prefixes by Kasai's method; runs of common
    prefixes of 50 bytes are classes of equal windows, and classes of different shards of a bucket are merged by binary
-   search in the sorted windows. Each class keeps its smallest id.
+   search in the sorted windows. Each class keeps its smallest id. Contexts are counted first: those of an anchor with
+   very many (a frequent short line whose surroundings differ) are taken apart into windows, which are dealt by their own
+   fingerprints, so equal windows still meet and no bucket holds all of them.
 4. Each shard marks the windows whose class has a smaller id than their document.
 
 A passage in a third of all documents is one row per shard file in step 2 and 3, however often the shard repeats it.
@@ -45,6 +47,8 @@ GRAM = 16
 BLOCK, PART = 1 << 17, 32 << 20
 #: Positions of a suffix array: three ranks fit in 63 bits.
 POSITIONS = (1 << 21) - 2
+#: Contexts of one anchor, about a suffix array's worth, from which on they are dealt window by window.
+CROWD = POSITIONS // 85
 LAST = np.iinfo(np.int64).max
 _DRAW = np.random.default_rng(50).integers(1, 2**63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE, FACTOR = _DRAW[:256], _DRAW[256:264]
@@ -257,6 +261,16 @@ def anchored(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(firsts or [empty]), np.concatenate(lasts or [empty]), np.concatenate(prints or [empty.view(np.uint64)])
 
 
+def fingerprints(text: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Fingerprints of strings of 8 bytes to twice ``LENGTH``."""
+    out = lengths.astype(np.uint64)
+    if len(firsts):
+        eights = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+        for k in range(0, 2 * LENGTH, 8):
+            out = mixed(out * FACTOR[5] + eights[firsts + np.minimum(k, lengths - 8)])
+    return out
+
+
 # -- passes over shards --------------------------------------------------------------------------------------------------
 
 
@@ -334,11 +348,20 @@ class Part:
         self.high: list[int] = []
         self.bytes = 0
 
-    def add(self, chunk: Chunk, shared: np.ndarray, buckets: int, dealt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Take a chunk's contexts in; returns first window, windows, document and context of each run."""
+    def add(self, chunk: Chunk, shared: np.ndarray, buckets: int, dealt: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Take a chunk's contexts in; returns first window, windows, document and context of each run.
+
+        Runs of crowded anchors are taken apart: each window is a context, dealt by its own fingerprint.
+        """
         first, last, prints, doc = chunk.runs()
         keep = holds(shared, brief(prints, buckets))
         first, last, prints, doc = first[keep], last[keep], prints[keep], doc[keep]
+        if (apart := holds(crowded, prints)).any():
+            count = np.where(apart, last - first + 1, 1)
+            apart, last, prints, doc = (np.repeat(x, count) for x in (apart, last, prints, doc))
+            first = ragged(first, count)
+            last[apart] = first[apart]
+            prints[apart] = fingerprints(chunk.text, first[apart], np.full(int(apart.sum()), LENGTH))
         where = ((prints >> np.uint64(7)) % np.uint64(dealt)).tolist()
         anchor = (prints & np.uint64(0xFFFFFFFF)).tolist()
         buffer, index, found = chunk.buffer, self.index, []
@@ -411,7 +434,50 @@ def _find_shared(key, rows: pd.DataFrame) -> pd.DataFrame:
     return found[found["a"].str.len() > 0]
 
 
-def _collect_contexts(buckets: int, dealt: int):
+def _count_contexts(buckets: int, least: int):
+    """Of each shard: bytes of its contexts, and its anchors with at least so many contexts, with their contexts and windows."""
+
+    def run(key, left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        copies, shared = known_copies(side), shared_prints(side, buckets)
+        held, sizes, size, done = [], [], 0, 0
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def close() -> None:
+            nonlocal done
+            prints, marks, lengths = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.lexsort((marks, prints))
+            prints, marks, lengths = prints[order], marks[order], lengths[order]
+            new = np.append(True, (prints[1:] != prints[:-1]) | (marks[1:] != marks[:-1])) if len(prints) else np.zeros(0, bool)
+            prints, lengths = prints[new], lengths[new]
+            done += int(lengths.sum())
+            found, at, counts = np.unique(prints, return_index=True, return_counts=True)
+            held.append(found)
+            sizes.append(np.stack([counts, np.add.reduceat(lengths - LENGTH + 1, at) if len(at) else counts]))
+            waiting.clear()
+
+        for row in left.itertuples():
+            for chunk in chunks(row.path, copies):
+                first, last, prints, _ = chunk.runs()
+                keep = holds(shared, brief(prints, buckets))
+                first, lengths, prints = first[keep], last[keep] - first[keep] + LENGTH, prints[keep]
+                waiting.append((prints, fingerprints(chunk.text, first, lengths), lengths))
+                size += len(chunk.buffer)
+                if size > PART:
+                    close()
+                    size = 0
+        if waiting:
+            close()
+        if not held:
+            return pd.DataFrame({"bytes": [], "anchors": [], "contexts": [], "windows": []}, dtype=object)
+        found, at = np.unique(np.concatenate(held), return_inverse=True)
+        contexts, windows = (np.bincount(at, x, len(found)).astype(np.int64) for x in np.concatenate(sizes, axis=1))
+        many = contexts >= least
+        return pd.DataFrame({"bytes": [done], "anchors": [found[many].view(np.int64).tolist()], "contexts": [contexts[many].tolist()], "windows": [windows[many].tolist()]})
+
+    return run
+
+
+def _collect_contexts(buckets: int, dealt: int, crowded: np.ndarray):
     def run(key, left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         copies, shared = known_copies(side), shared_prints(side, buckets)
         rows, number, part = [], 0, Part()
@@ -426,7 +492,7 @@ def _collect_contexts(buckets: int, dealt: int):
 
         for row in left.itertuples():
             for chunk in chunks(row.path, copies):
-                part.add(chunk, shared, buckets, dealt)
+                part.add(chunk, shared, buckets, dealt, crowded)
                 if part.bytes > PART:
                     send()
                     number, part = number + 1, Part()
@@ -480,7 +546,7 @@ def _settle(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "kind", "number", "part", "a", "b", "c", "d"])
 
 
-def _apply(buckets: int, dealt: int, make, schema: pa.Schema):
+def _apply(buckets: int, dealt: int, crowded: np.ndarray, make, schema: pa.Schema):
     """Recompute each shard's contexts, mark what the settled windows take, and give ``make`` each chunk and its mask."""
 
     def run(left: pa.Table, side: pa.Table) -> pa.Table:
@@ -522,7 +588,7 @@ def _apply(buckets: int, dealt: int, make, schema: pa.Schema):
 
         for row in left.itertuples():
             for chunk in chunks(row.path, copies, whole_rows=True):
-                waiting.append((chunk, part.add(chunk, shared, buckets, dealt)))
+                waiting.append((chunk, part.add(chunk, shared, buckets, dealt, crowded)))
                 if part.bytes > PART:
                     close()
                     number, part = number + 1, Part()
@@ -560,7 +626,7 @@ def _texts(chunk: Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
 DIGESTS = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())])
 
 
-def repeated_passages(docs: DataFrame, make=_digests, schema: StructType = DIGESTS) -> DataFrame:
+def repeated_passages(docs: DataFrame, make=_digests, schema: StructType = DIGESTS, crowd: int = CROWD) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "suffix-shards")
     docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).write.option("compression", "zstd").parquet(folder)
@@ -588,13 +654,20 @@ def repeated_passages(docs: DataFrame, make=_digests, schema: StructType = DIGES
     shared = stored(anchors.groupBy("bucket").applyInPandas(_find_shared, SIDE), "suffix-shared")
     n_shared = shared.agg(F.coalesce(F.sum(F.octet_length("a")), F.lit(0))).first()[0] // 4
 
-    # About a shard's worth of contexts, of some 70 bytes, in a bucket.
-    dealt = max(64, -(-n_shared * 70 // POSITIONS))
+    # A shard reports anchors with at least its part of a crowd, so none with twice a crowd is missed.
     side = copies.unionByName(shared)
-    contexts = over(side, _collect_contexts(buckets, dealt), "bucket long, shard long, part long, texts binary, lengths binary, anchors binary, low binary, high binary")
+    counted = stored(over(side, _count_contexts(buckets, max(1, crowd // max(1, len(files)))), "bytes long, anchors array<long>, contexts array<long>, windows array<long>"), "suffix-counts")
+    by_anchor = counted.select(F.explode(F.arrays_zip("anchors", "contexts", "windows")).alias("x")).groupBy("x.anchors").agg(F.sum("x.contexts").alias("contexts"), F.sum("x.windows").alias("windows"))
+    crowds = by_anchor.where(F.col("contexts") >= crowd).toPandas()  # few: all contexts over CROWD
+    crowded = np.sort(crowds["anchors"].to_numpy(np.int64).view(np.uint64))
+    size = counted.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] + LENGTH * int(crowds["windows"].sum())
+
+    # About a shard's worth of contexts, of some 70 bytes, in a bucket; a few shards' worth where anchors have many contexts.
+    dealt = max(64, -(-n_shared * 70 // POSITIONS), -(-size // (4 * POSITIONS)))
+    contexts = over(side, _collect_contexts(buckets, dealt, crowded), "bucket long, shard long, part long, texts binary, lengths binary, anchors binary, low binary, high binary")
     lost = stored(contexts.groupBy("bucket").applyInPandas(_settle, SIDE), "suffix-lost")
     whole = left.cogroup(side.unionByName(lost).repartition(tasks, "shard").groupBy("shard"))
-    return whole.applyInArrow(_apply(buckets, dealt, make, to_arrow_schema(schema)), schema)
+    return whole.applyInArrow(_apply(buckets, dealt, crowded, make, to_arrow_schema(schema)), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

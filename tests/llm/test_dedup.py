@@ -66,6 +66,39 @@ def as_bytes(docs):
     return [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
 
 
+def line_in_other_surroundings(n):
+    """Documents with one line of 40 bytes, most of them with surroundings of their own."""
+    r = np.random.default_rng(3)
+    some = lambda: bytes(r.integers(97, 123, 60).astype(np.uint8))
+    twice = [some() for _ in range(4)]
+    return [(k, (twice[k % 4] if k % 5 == 0 else some()) + b"Share this page with your friends today!" + some()) for k in range(n)]
+
+
+def test_contexts_of_a_crowded_anchor_are_dealt_by_window():
+    rows = line_in_other_surroundings(300)
+    chunk = suffix_dedup.Chunk(None, [d for d, _ in rows], [t for _, t in rows], {})
+    _, _, prints, doc = chunk.runs()
+    every = np.unique(suffix_dedup.brief(prints, 1))
+    anchors, counts = np.unique(prints, return_counts=True)
+    crowded = anchors[counts >= 100]
+    assert len(crowded)
+    part = suffix_dedup.Part()
+    first, windows, _, context = part.add(chunk, every, 1, 64, crowded)
+    # All windows are still there, and equal ones are one context in one bucket.
+    whole = sum(max(len(t) - 49, 0) for _, t in rows)
+    assert windows.sum() == whole and len(part.index) == len(part.bucket)
+    of_crowd = np.bincount(np.array(part.bucket)[np.array(list(map(len, part.index))) == 50], minlength=64)
+    assert of_crowd.max() < 0.1 * of_crowd.sum()
+
+
+def test_passages_with_a_crowded_anchor(spark, labelled):
+    rows = line_in_other_surroundings(300)
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in rows], "doc_id long, text string").repartition(3)
+    for crowd in (20, 1):
+        assert Counter(tuple(r) for r in suffix_dedup.repeated_passages(docs, crowd=crowd).collect()) == brute_passages(rows)
+    assert Counter(tuple(r) for r in suffix_dedup.repeated_passages(labelled, crowd=2).collect()) == brute_passages(as_bytes(labelled))
+
+
 def test_passages(docs, clashing, empty, labelled):
     found = suffix_dedup.repeated_passages(docs)
     assert Counter(tuple(r) for r in found.collect()) == brute_passages(as_bytes(docs))
