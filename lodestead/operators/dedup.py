@@ -124,7 +124,10 @@ def siblings(listings: DataFrame) -> DataFrame:
     rows = active_clusters(listings)
     mine = rows.select(F.col("id").alias("listing_id"), "cluster_id")
     newest = Window.partitionBy("listing_id", "source").orderBy(F.col("scraped_at").desc_nulls_last(), F.col("id"))
-    pairs = mine.join(rows.select("cluster_id", "id", "source", "price", "scraped_at"), "cluster_id").where("id <> listing_id")
+    # A listing excludes only itself, so the two newest of a source are enough for every member of the cluster.
+    of_source = Window.partitionBy("cluster_id", "source").orderBy(F.col("scraped_at").desc_nulls_last(), F.col("id"))
+    two = rows.withColumn("k", F.row_number().over(of_source)).where("k <= 2").select("cluster_id", "id", "source", "price", "scraped_at")
+    pairs = mine.join(two, "cluster_id").where("id <> listing_id")
     best = pairs.withColumn("k", F.row_number().over(newest)).where("k = 1")
     cheapest = Window.partitionBy("listing_id").orderBy(F.col("price").asc_nulls_last(), F.col("id"))
     return best.select("listing_id", "id", "source", "price", F.row_number().over(cheapest).alias("position"))

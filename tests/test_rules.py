@@ -188,3 +188,17 @@ def test_titles_match_at_any_length(spark):
         hits = [(x != y, o) for o, y in offered if None not in (x, y) and (x.startswith(y) or y.startswith(x))]
         expected += [(c, min(hits)[1], int(min(hits)[0]))] if hits else []
     assert sorted(map(tuple, matching.by_title(cards, offers).collect())) == expected and expected[0] == (1, 20, 1)
+
+
+def test_siblings_join_two_listings_of_a_source(spark, sf):
+    rows = listings(spark, sf).limit(60).withColumns({"cluster_id": F.lit("c"), "is_active": F.lit(True), "source": F.concat(F.lit("s"), F.col("id") % 3)})
+    plan = dedup.siblings(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 2" in plan
+    found = {}
+    for r in dedup.siblings(rows).collect():
+        found.setdefault(r.listing_id, {})[r.source] = r.id
+    every = rows.select("id", "source", "scraped_at").collect()
+    key = lambda r: (r.scraped_at is None, -(r.scraped_at.timestamp() if r.scraped_at else 0), r.id)
+    for r in every:
+        others = {s: min((x for x in every if x.source == s and x.id != r.id), key=key).id for s in {x.source for x in every if x.id != r.id}}
+        assert found[r.id] == others
