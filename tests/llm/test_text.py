@@ -1,5 +1,4 @@
 import hashlib
-import html as h
 import os
 import re
 from collections import Counter
@@ -9,7 +8,7 @@ import pytest
 from compare import assert_same
 from rows import as_rows
 
-from lodestead.llm import bpe_automaton, html_wrappers, quality_rules, registry
+from lodestead.llm import bpe_automaton, quality_rules, registry
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -122,78 +121,3 @@ def test_bpe_stage_round_trip(spark, docs, clashing):
     decode = bpe_automaton.decoder(spark)
     assert all(r.back == (r.text or "") for r in out.select("text", decode("ids").alias("back")).collect())
     assert sorted(bpe_automaton.stage(spark, clashing, "").columns) == sorted(set(clashing.columns))
-
-
-# -- pages
-
-
-def test_pages_of_the_table(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    source = {r.page_id: r.html for r in pages.collect()}
-    for r in html_wrappers.main_text(pages).collect():
-        inside = re.search(r"<article>(.*?)(</article>|<footer>|$)", source[r.page_id], re.DOTALL)[1]
-        plain = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br|div)[^>]*>", " ", inside))
-        assert r.text == " ".join(h.unescape(plain).split()) and r.n_chars == len(r.text)
-
-
-def page(body, side="<aside class='sidebar'>Side</aside>"):
-    return f"<html><head><title>T</title><style>p{{}}</style></head><body><div id=top><ul class=menu><li>Home<li>News</ul></div><div class='cookie-banner'>Cookies!</div>{body}{side}<div class='footer'>Foot</div></body></html>"
-
-
-def test_templates_without_article():
-    bodies = [page(f"<div class='post-body'><h2>Title {k}</h2><p>Text &amp; more {k}<p>Second&nbsp;one<form><input></form><div class='comments'><p>Nice {k}</div></div>") for k in range(3)]
-    wrapper = html_wrappers.folded(html_wrappers.parsed(bodies[0]))
-    for body in bodies[1:]:
-        wrapper = html_wrappers.merged(wrapper, html_wrappers.folded(html_wrappers.parsed(body)))
-    path = html_wrappers.article(wrapper)
-    assert path.endswith("/div.body.post") and "(<p>#</p>)+" in html_wrappers.expression(wrapper)
-    assert [html_wrappers.extract(b, path) for b in bodies] == [f"Title {k} Text & more {k} Second one" for k in range(3)]
-
-
-def test_optional_and_repeated_groups():
-    first = html_wrappers.folded(html_wrappers.parsed("<div><h1>a</h1><p>x</p><dl><dt>k</dt><dd>v</dd><dt>k</dt><dd>v</dd></dl></div>"))
-    second = html_wrappers.folded(html_wrappers.parsed("<div><h1>b</h1><table><tr><td>1</td></tr></table><p>y</p><p>z</p><dl><dt>k</dt><dd>v</dd></dl></div>"))
-    text = html_wrappers.expression(html_wrappers.merged(first, second))
-    assert "(<table>" in text and "</table>)?" in text and "(<p>#</p>)+" in text and "(<dt>#</dt>)+" in text
-
-
-def test_repeated_teasers_are_not_the_article():
-    teasers = "".join(f"<article><h3>t{k}</h3></article>" for k in range(5))
-    body = page(f"<div class=content><p>{'long text ' * 30}</p></div><div class=list>{teasers}</div>")
-    assert html_wrappers.extract(body, html_wrappers.article(html_wrappers.folded(html_wrappers.parsed(body)))) == ("long text " * 30).strip()
-
-
-def test_page_edges(spark):
-    rows = [(1, "http://a.b/x", None), (2, None, "<article>one<br>two <b>th</b>ree</article>"), (2, None, "<article>one<br>two <b>th</b>ree</article>"), (None, "junk", "<p>cut <b>off"), (3, "http://a.b/y", ""), (4, "http://a.b", "a < b &lt; c &unknown; &#233;"), (5, "http://deep", "<div>" * 3000 + "deep" + "</div>" * 9), (6, "http://a.b", "<script>var a='</p>'"), (7, "http://a.b", "<article><p>x</p><!-- never closed <p>y</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = Counter((r.page_id, r.text) for r in html_wrappers.main_text(pages).collect())
-    assert found == Counter({(1, ""): 1, (2, "one two three"): 2, (None, "cut off"): 1, (3, ""): 1, (4, "a < b < c &unknown; é"): 1, (5, "deep"): 1, (6, ""): 1, (7, "x"): 1})
-    assert html_wrappers.main_text(pages.limit(0)).collect() == []
-
-
-def test_words_in_names_are_no_verdict(spark):
-    wrap = lambda name, k: f"<html><body class='has-sidebar'><{name}><h2 id='related-work'>Related {k}</h2><section id='social-media'><p>Net {k}</p></section><p>At <span class='share-price'>{k} EUR</span></p><div id='search-results'>Found {k}</div><div class='share-this-page'>Tell others</div><div class='cookie-banner'>Cookies</div></{name.split()[0]}></body></html>"
-    names = ["main class='with-sidebar'", "article class='comment-open'", "div id='x'"]
-    rows = [(10 * j + k, f"http://h{j}/{k}", wrap(name, 10 * j + k)) for j, name in enumerate(names) for k in range(4)]
-    rows += [(100, "http://once", wrap(names[1], 100))] * 4
-    found = html_wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    # A doubtful element goes only where different pages of the host say the same in it; copies of one page say nothing.
-    assert sorted((r.page_id, r.text) for r in found) == sorted((i, f"Related {i} Net {i} At {i} EUR Found {i}" + " Tell others" * (i == 100)) for i, _, _ in rows)
-
-
-def test_the_article_holds_all_text():
-    def extracted(*bodies):
-        pages = [html_wrappers.folded(html_wrappers.parsed(page(b))) for b in bodies]
-        whole = pages[0]
-        for other in pages[1:]:
-            whole = html_wrappers.merged(whole, other)
-        return [html_wrappers.extract(page(b), html_wrappers.article(whole)) for b in bodies]
-
-    assert extracted("<div class=page><div class=intro>" + "in " * 60 + "</div><div class=text>" + "tx " * 40 + "</div></div>") == ["in " * 60 + ("tx " * 40).strip()]
-    assert extracted("<div class=a><h1>Title</h1><p>Lead</p><div class=b><p>" + "b " * 99 + "</p></div></div>") == ["Title Lead " + ("b " * 99).strip()]
-    sections = "".join(f"<div class=part><div class=text><p>part {k}</p></div></div>" for k in range(3))
-    assert extracted(sections, sections) == ["part 0 part 1 part 2"] * 2
-    assert extracted("<div class=x hidden>Not shown</div><p>one</p>", "<div class=x>Shown</div><p>two</p>") == ["one", "Shown two"]
-    # A front page with teasers beside text, and a page whose only article is the text.
-    front = "<div class=content>" + "front " * 30 + "</div><article><p>t1</p></article><article><p>t2</p></article>"
-    assert extracted(front, "<div class=content>intro</div><article><p>one article</p></article>") == [("front " * 30).strip(), "intro one article"]
