@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from rows import as_rows
 
-from lodestead.llm import mixing, sharding
+from lodestead.llm import mixing, registry, sharding
 
 
 def naive_best_fit(sizes, capacity):
@@ -95,6 +95,91 @@ def check_mix(df, docs):
         assert abs(sum(taken) - same * target) <= same
 
 
+def naive_mix(rows, slots, pools):
+    """Counter of (doc_id, size, taken, n_slots, place) and {(shard, slot): (rank, block, words)}, one word at a time.
+
+    ``rows``: (doc_id, source, size, located first word); only the draws and permutations are the operator's own.
+    """
+    order = sorted({s for _, s, _, _ in rows}, key=lambda s: (s is None, s))
+    sizes = Counter()
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    goal = expected_targets(dict(sizes))
+    drawn = {}
+    for rank, s in enumerate(order):
+        blocks, left, draws = -(-sizes[s] // mixing.BLOCK), int(goal[s] + 0.5), []
+        turn = mixing.Permutation(blocks, rank)(np.arange(blocks)).tolist() if blocks else []
+        for block in turn * 2:
+            if left > 0:
+                draws.append((rank, block, mixing.BLOCK))
+                left -= min(mixing.BLOCK, sizes[s] - block * mixing.BLOCK, left)
+        if draws:  # the last one is cut to what was left before it
+            spent = sum(min(mixing.BLOCK, sizes[s] - b * mixing.BLOCK) for _, b, _ in draws[:-1])
+            rest = int(goal[s] + 0.5) - spent
+            if rest < min(mixing.BLOCK, sizes[s] - draws[-1][1] * mixing.BLOCK):
+                draws[-1] = (rank, draws[-1][1], rest)
+        drawn[rank] = draws
+    total = sum(map(len, drawn.values()))
+    large = [r for r in sorted(drawn) if drawn[r] and len(drawn[r]) * pools >= total]
+    lists = [drawn[r] for r in large]
+    tail = [d for r in sorted(drawn) if r not in large for d in drawn[r]]
+    if tail:
+        lists.append([tail[k] for k in mixing.Permutation(len(tail), -1)(np.arange(len(tail)))])
+    shares = np.array(list(map(len, lists))) / total if total else None
+    waiting, places, out = [iter(x) for x in lists], [], {}
+    for shard in range(-(-total // slots)):
+        size = min(slots, total - shard * slots)
+        counts = mixing.drawn_counts(shard, size, shares)
+        positions = mixing.Permutation(size, shard)(np.arange(size)).tolist()
+        for k, pool in enumerate(np.repeat(np.arange(len(lists)), counts).tolist()):
+            places.append((pool, (shard, positions[k])))
+    surplus = [[] for _ in lists]
+    for pool, place in places:
+        if (draw := next(waiting[pool], None)) is None:
+            surplus[pool].append(place)
+        else:
+            out[place] = draw
+    for place, draw in zip([p for x in surplus for p in x], [d for x in waiting for d in x], strict=True):
+        out[place] = draw
+    streams = {rank: {} for rank in range(len(order))}
+    for k, (_, s, n, first) in enumerate(rows):
+        for w in range(n):
+            streams[order.index(s)][first + w] = k
+    got, at = Counter(), defaultdict(set)
+    for place, (rank, block, words) in out.items():
+        for w in range(block * mixing.BLOCK, block * mixing.BLOCK + words):
+            if w in streams[rank]:
+                got[streams[rank][w]] += 1
+                at[streams[rank][w]].add(place)
+    found = Counter((d, n, got[k], len(at[k]), min(at[k], default=(None, None))) for k, (d, _, n, _) in enumerate(rows))
+    return found, out
+
+
+def test_mix_equals_naive_draws(docs, labelled, monkeypatch):
+    for slots, run, pools in ((mixing.SLOTS, mixing.RUN, mixing.POOLS), (50, 2, mixing.POOLS), (50, 2, 6), (33, 1, 1)):
+        monkeypatch.setattr(mixing, "SLOTS", slots)
+        monkeypatch.setattr(mixing, "RUN", run)
+        monkeypatch.setattr(mixing, "POOLS", pools)
+        for table in (docs, labelled):
+            located, sources = mixing.mixed(table)
+            rows = [(r.doc_id, r.source, r.size, r.offset) for r in located.select("doc_id", "source", "size", "offset").collect()]
+            found, placed = naive_mix(rows, slots, pools)
+            assert {(r.shard, r.slot): (r.rank, r.block, r.words) for r in mixing.draws(sources).collect()} == placed
+            assert Counter((r.doc_id, r.size, r.taken, r.n_slots, (r.first_shard, r.first_slot)) for r in mixing.taken(table).collect()) == found
+
+
+def test_mix_query(spark, sf):
+    check_mix(registry.queries()["op7_mixing"](spark, sf), spark.read.parquet(f"{sf}/documents.parquet"))
+    placed = mixing.shards(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert sorted((r.shard, r.slot) for r in placed) == [(k // mixing.SLOTS, k % mixing.SLOTS) for k in range(len(placed))]
+
+
+def test_mix_plan(docs):
+    _, sources = mixing.mixed(docs)
+    plan = mixing.draws(sources)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_mix(docs, clashing, empty, labelled):
     check_mix(mixing.taken(docs), docs)
     check_mix(mixing.taken(labelled), labelled)
