@@ -61,6 +61,7 @@ PAGES = 3
 TEXT = "#@*"
 #: Streams of a bucket, about, and wrappers that are aligned at once.
 FAN = 64
+SALTS = 32
 
 
 class Element:
@@ -561,7 +562,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     streams = stored(streams.dropDuplicates(["host", "stream"]), "html-streams")
     counts = streams.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("buckets"))
     most = counts.agg(F.max("buckets")).first()[0] or 0
-    dealt = streams.join(counts, "host").select("host", F.pmod(F.xxhash64("stream"), F.col("buckets")).alias("bucket"), "stream")
+    # Streams meet their host's count in SALTS parts, so that a large host is not one key.
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = streams.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "stream"), F.lit(SALTS).cast("long")))
+    dealt = salted.join(counts, ["host", "salt"]).select("host", F.pmod(F.xxhash64("stream"), F.col("buckets")).alias("bucket"), "stream")
     found = dealt.groupBy("host", "bucket").applyInPandas(_first, WRAPPER)
     while most > 1:
         most = -(-most // FAN)
