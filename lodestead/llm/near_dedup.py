@@ -1,18 +1,22 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
-A document's set holds its distinct word shingles. Its signature is ``COORDINATES`` coordinates, each the hash of ``ROWS``
-minima, so a coordinate agrees with probability ``similarity ** ROWS``. Documents with equal sets are one node from the
-start. Nodes are posted under each (coordinate, value) pair; posting lists of one node, or of nodes that are already
-linked, are skipped. In the others, the matching minima of two nodes are counted, pairs under the match threshold are
-dropped, and the rest are confirmed on the full sets.
+A document's set holds its distinct word shingles. Its signature has ``MINIMA`` coordinates, each the least of one hash over
+the set, so a coordinate agrees with probability ``similarity``. Documents with equal sets are one node from the start. A
+node is posted under its (coordinate, value) pairs, and pairs of nodes that collide ``MATCHES`` times are retained.
+
+Prefix: all pairs of coordinate and value have one order, rare ones first (counts in ``CELLS`` hashed cells; any order is
+right, this one keeps lists short). Two nodes that collide in ``MATCHES`` of ``MINIMA`` coordinates share one of their first
+``MINIMA - MATCHES + 1``, so only these are posted and open pairs. Skip: in a list, collisions are counted on, some
+coordinates at a time, and a pair goes as soon as the rest cannot bring it to the threshold; lists of one node, or of nodes
+that are already linked, are skipped. What is retained is confirmed on the full sets.
 
 No list emits all its pairs. Short lists give the pairs over the threshold. Long ones first give those of their most
-central member; where components are left apart, the members' fingerprints are gathered, the common fingerprints of each
-member outside the largest component with all others are counted by merging their posting lists, and one link per pair of
-components that meets the similarity is given. Longer lists still are dealt in tiles, each pair of tiles a list of its own,
-so that a group is bounded. Thus every pair of different components that shares a list and meets the threshold is tested.
+central member; where components are left apart, members outside the largest one meet all members by their fingerprints:
+common fingerprints are counted by merging their posting lists, and one link per pair of components that meets the
+similarity is given. Lists are dealt in tiles, so that a group is bounded; members outside the largest component go to each
+tile of their list. Thus every pair of different components that shares a list and meets the threshold is tested.
 
-A pair at similarity 0.8 shares no list, or has fewer matching minima than the threshold, with probability below 1e-6.
+A pair at similarity 0.8 has fewer collisions than the threshold with probability below 1e-6.
 
 Defined results: a null text, or one without words, has the empty set, size 0 and is linked with nothing; a text with fewer
 words than a shingle has one shingle, the whole sequence; rows that repeat an id are one document with all their links;
@@ -30,21 +34,22 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import stored, table
 
-COORDINATES = 20
-ROWS = 3
-#: Minima of a signature; the first COORDINATES * ROWS make the coordinates.
-MINIMA = 96
-#: Matching minima that a pair needs; five deviations under what similarity 0.8 gives.
-MATCHES = 56
+MINIMA = 40
+#: Collisions that a pair needs: at similarity 0.8 fewer have a probability of 2e-7.
+MATCHES = 18
+#: Cells of the counts that order coordinates, whatever the corpus.
+CELLS = 1 << 18
 SIMILARITY = 80
 WORDS = 5
 #: Longest list that gives all pairs over the threshold, and the members of a tile of a long one.
 SHORT = 32
-TILE = 4096
+TILE = 1024
+#: Parts in which a list meets its count.
+SALTS = 8
 
 
 @cache
@@ -82,32 +87,72 @@ def minima(found: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = StructType([StructField("n_shingles", LongType()), StructField("set_hash", BinaryType()), StructField("minima", BinaryType()), StructField("coordinates", ArrayType(LongType()))])
+SKETCH = StructType([StructField("n_shingles", LongType()), StructField("set_hash", BinaryType()), StructField("signature", BinaryType())])
 
 
 def sketcher(words: int):
     @F.pandas_udf(SKETCH)
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        rows, weights = [], _keys()[2]
+        rows = []
         for text in texts:
             found = shingles(text, words)
-            if not len(found):
-                rows.append((0, None, None, None))
-                continue
-            low = minima(found)
-            grouped = low[: COORDINATES * ROWS].reshape(COORDINATES, ROWS) * weights[:ROWS]
-            values = mixed(grouped.sum(axis=1, dtype=np.uint64) * weights[ROWS] + np.arange(COORDINATES, dtype=np.uint64) * weights[ROWS + 1])
-            rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), (low >> np.uint64(40)).astype(np.uint8).tobytes(), values.view(np.int64)))
+            rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), minima(found).tobytes()) if len(found) else (0, None, None))
         return pd.DataFrame(rows, columns=SKETCH.names)
 
     return sketch
 
 
+def items(signatures: pd.Series) -> np.ndarray:
+    """The (coordinate, value) pairs of each signature, as 64-bit hashes."""
+    values = np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, MINIMA)
+    return mixed(mixed(values + np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def cell(found: np.ndarray) -> np.ndarray:
+    return (found % np.uint64(CELLS)).astype(np.int64)
+
+
+def _count_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(CELLS, np.int64)
+    for frame in frames:
+        if len(frame):
+            np.add.at(counts, cell(items(frame["signature"])), 1)
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"cell": at, "n": counts[at]})
+
+
+def prefixer(nodes: DataFrame):
+    """Pandas UDF: signature -> the items to post; and the bytes of the signature that collisions are counted on."""
+    found = nodes.select("signature").mapInPandas(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a row per cell
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"]] = found["n"]
+    often = nodes.sparkSession.sparkContext.broadcast(counts)
+
+    @F.pandas_udf("keys array<long>, low binary")
+    def prefix(signatures: pd.Series) -> pd.DataFrame:
+        found = items(signatures)
+        order = np.lexsort((found, often.value[cell(found)]), axis=-1)[:, : MINIMA - MATCHES + 1]
+        low = np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, MINIMA) >> np.uint64(40)
+        return pd.DataFrame({"keys": list(np.take_along_axis(found, order, axis=1).view(np.int64)), "low": [x.tobytes() for x in low.astype(np.uint8)]})
+
+    return prefix
+
+
 @F.pandas_udf(LongType())
 def common_size(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+def colliding(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) collide often enough; pairs that can no longer do so are not counted on."""
+    at, count = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for k in range(0, MINIMA, 8):
+        count = count + (low[a[at], k : k + 8] == low[b[at], k : k + 8]).sum(axis=1)
+        reach = count + max(0, MINIMA - k - 8) >= MATCHES
+        at, count = at[reach], count[reach]
+    return at
+
+
 def _short_lists(key, comp, size, low, similarity) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of all lists of at most SHORT members, at once."""
     left, right = [], []
@@ -118,7 +163,7 @@ def _short_lists(key, comp, size, low, similarity) -> tuple[np.ndarray, np.ndarr
         b = a + gap
         near = (comp[a] != comp[b]) & (100 * np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
         a, b = a[near], b[near]
-        near = (low[a] == low[b]).sum(axis=1) >= MATCHES
+        near = colliding(low, a, b)
         left.append(a[near])
         right.append(b[near])
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
@@ -128,13 +173,13 @@ def _central(comp, size, low, similarity) -> tuple[int, np.ndarray]:
     """The member whose minima are the most usual ones, and the members that match it."""
     usual = np.array([np.bincount(column, minlength=256).argmax() for column in low.T], np.uint8)
     k = int((low == usual).sum(axis=1).argmax())
-    near = (comp != comp[k]) & (100 * np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k]))
-    return k, np.flatnonzero(near & ((low == low[k]).sum(axis=1) >= MATCHES))
+    near = np.flatnonzero((comp != comp[k]) & (100 * np.minimum(size, size[k]) >= similarity * np.maximum(size, size[k])))
+    return k, near[colliding(low, near, np.full(len(near), k))]
 
 
-def _links(comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
-    """Pairs that join components: for each member outside the largest one, fingerprints in common with all members."""
-    names, member, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+def _links(comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Pairs that join components: for each member that asks, fingerprints in common with all others."""
+    names, member = np.unique(comp, return_inverse=True)
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     owner = np.repeat(np.arange(len(sets)), lengths)
     values, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -152,7 +197,7 @@ def _links(comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray], similarit
         return x
 
     out = []
-    for k in np.flatnonzero(member != sizes.argmax()).tolist():
+    for k in np.flatnonzero(asks).tolist():
         mine = where[ends[k] - lengths[k] : ends[k]]
         n = counts[mine]
         stops = np.cumsum(n)
@@ -196,7 +241,7 @@ def first_pairs(similarity: int):
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         key, comp, size, node = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash"))
-        low = np.frombuffer(b"".join(frame["minima"]), np.uint8).reshape(len(frame), -1)
+        low = np.frombuffer(b"".join(frame["low"]), np.uint8).reshape(len(frame), -1)
         starts, lengths = _runs(key)
         at = np.flatnonzero(np.repeat(lengths <= SHORT, lengths))
         a, b = _short_lists(key[at], comp[at], size[at], low[at], similarity)
@@ -215,12 +260,12 @@ def last_links(similarity: int):
     """Links between the components that are left in long lists."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        key, comp, size, node, prints = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash", "prints"))
+        key, comp, size, node, prints, asks = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash", "prints", "asks"))
         out = []
         for start, length in zip(*_runs(key), strict=True):
             rows = slice(start, start + length)
             if (comp[rows] != comp[start]).any():
-                found = _links(comp[rows], size[rows], [np.frombuffer(x, np.uint32) for x in prints[rows]], similarity)
+                found = _links(comp[rows], size[rows], [np.frombuffer(x, np.uint32) for x in prints[rows]], asks[rows], similarity)
                 out += [(node[start + a], node[start + b]) for a, b in found]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -252,12 +297,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; links need 100 * common >= similarity * union."""
     text = F.col("text").cast("string")
     sketches = stored(docs.select("doc_id", sketcher(words)(text).alias("s")).select("doc_id", "s.*"), "near-sketches")
-    nodes = sketches.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima"), F.first("coordinates").alias("coordinates"))
+    nodes = sketches.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "near-nodes")
-    postings = nodes.where("rep IS NOT NULL").select("set_hash", F.explode("coordinates").alias("key"))
-    several = postings.groupBy("key").count().where("count > 1")
-    posted = stored(postings.join(several, "key"), "near-posted")
-    members = stored(nodes.drop("coordinates").join(posted.select("set_hash").distinct(), "set_hash"), "near-members")
+    prefix = prefixer(nodes)
+    known = stored(nodes.where("rep IS NOT NULL").select("set_hash", "rep", "n_shingles", prefix("signature").alias("p")).select("set_hash", "rep", "n_shingles", "p.*"), "near-prefixes")
+    postings = known.select("set_hash", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("set_hash"), F.lit(SALTS)).cast("int"))
+    # Lists of several meet their counts in parts.
+    parts = postings.groupBy("key", "salt").count().groupBy("key").agg(F.sum("count").alias("count"), F.collect_list("salt").alias("salts"))
+    several = parts.where("count > 1").select("key", "count", F.explode("salts").alias("salt"))
+    posted = stored(postings.join(several, ["key", "salt"]).drop("salt"), "near-posted")
+    members = stored(known.drop("keys").join(posted.select("set_hash").distinct(), "set_hash"), "near-members")
 
     @F.pandas_udf("binary")
     def full(texts: pd.Series) -> pd.Series:
@@ -274,26 +323,30 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     many = named.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     bridges = named.join(many, "doc_id").join(nodes.select("set_hash", "rep"), "set_hash").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    tiles, tile = F.ceil(F.col("count") / TILE), F.pmod(F.xxhash64("set_hash"), F.ceil(F.col("count") / TILE))
+    tiles = F.ceil(F.col("count") / TILE)
+    tile = F.pmod(F.xxhash64("set_hash", "key"), tiles)  # other lists deal the same members otherwise
     rows = posted.join(members.withColumnRenamed("rep", "comp"), "set_hash").withColumn("key", F.when(tiles > 1, F.xxhash64("key", tile)).otherwise(F.col("key")))
-    rows = rows.select("key", "set_hash", "comp", "n_shingles", "minima").repartition("key").sortWithinPartitions("key", "set_hash")
+    rows = rows.select("key", "set_hash", "comp", "n_shingles", "low").repartition("key").sortWithinPartitions("key", "set_hash")
     edges = stored(bridges.union(_confirmed(rows.mapInPandas(first_pairs(similarity), "a binary, b binary"), sets, members, similarity)), "near-links")
     comps = stored(components(edges), "near-components")
 
     # Long lists whose members are not one component yet.
     facts = members.join(comps, members.rep == comps.node, "left").select("set_hash", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     rows = posted.where(F.col("count") > SHORT).join(facts, "set_hash")
-    apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("largest"), F.count("*").alias("comps"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    apart = sizes.where("comps > 1").select("key", "largest", each)
 
     @F.pandas_udf("binary")
     def brief(found: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in found], dtype=object)
 
-    rows = rows.join(apart, "key", "left_semi").join(sets.select("set_hash", brief("shingles").alias("prints")), "set_hash")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))
-    rows = rows.withColumn("tile", tile).withColumn("other", other)
-    rows = rows.withColumn("key", F.when(tiles > 1, F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).otherwise(F.col("key")))
-    rows = rows.select("key", "set_hash", "comp", "n_shingles", "prints").repartition("key").sortWithinPartitions("key", "set_hash")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("set_hash"), F.lit(SALTS)).cast("int")).join(apart, ["key", "salt"]).withColumn("asks", F.col("comp") != F.col("largest")).join(sets.select("set_hash", brief("shingles").alias("prints")), "set_hash")
+    # Every member stands in one tile of its list; those that ask go to all.
+    every = F.sequence(F.lit(0).cast("long"), tiles - 1)
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("asks"), every).otherwise(F.array(tile.cast("long")))))
+    rows = rows.withColumn("key", F.when(tiles > 1, F.xxhash64("key", "tile")).otherwise(F.col("key")))
+    rows = rows.select("key", "set_hash", "comp", "n_shingles", "prints", "asks").repartition("key").sortWithinPartitions("key", "set_hash")
     more = _confirmed(rows.mapInPandas(last_links(similarity), "a binary, b binary"), sets, members, similarity)
     # What is linked already counts as one edge each.
     edges = stored(comps.select("node", "comp").union(more), "near-links").toDF("a", "b")
