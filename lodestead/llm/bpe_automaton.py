@@ -3,8 +3,13 @@
 The automaton reads tokens and accepts exactly the correct tokenisations. It starts as one state that loops on every
 byte, and each merge ``u v -> uv`` adds one gadget: the state that ``u`` leads to is copied without its ``v`` arc, ``u`` is
 redirected to the copy, and every state with a ``u`` arc gets a ``uv`` arc. All arcs of a token end in one state, so the
-compiled form is the gadgets by (u, v) with their order, and an arc test that walks the chain of a state's gadgets. Arc tests are kept in a table, so encoding a pre-split word is a left-to-right run of table look-ups: every prefix has one
-correct tokenisation, hence one token that ends there. Decoding emits the bytes on the arcs.
+states are the tokens, and a state's row is all tokens but those that gadgets took away.
+
+Compiled form: a gadget that takes ``v`` from a state takes with it the tokens that begin with ``v`` and are born later. In
+the order of a walk over the tree of left halves, the latest born first, these are one interval. A state's row is thus a
+few disjoint intervals of missing arcs, and all rows are flat arrays (starts by state, lows, highs). Encoding a pre-split
+word is a left-to-right run of look-ups in them: every prefix has one correct tokenisation, hence one token that ends there.
+Decoding emits the bytes on the arcs.
 
 Defined results: a null text is the empty text (no tokens); repeated rows are encoded one by one; added tokens that stand
 in a text become their own ids, as the reference library does by default; an empty table gives an empty result.
@@ -14,7 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -60,7 +68,61 @@ class Automaton:
             if uv not in self.born:
                 self.born[uv], self.left[uv], self.right[uv] = k, u, v
             self.gadget[u, v] = k
-        self.follows: dict[int, dict[int, bool]] = {}
+        self.spelled = [self.label.get(i, b"") for i in range(max(self.label) + 1)]
+        self.compile_rows()
+        self.ready()
+
+    def compile_rows(self) -> None:
+        """Flat rows: token ``t`` has no arc in the state after ``s`` if its place lies in one of s's intervals."""
+        later: dict[int, list[int]] = {}
+        for token in sorted(self.left, key=self.born.__getitem__, reverse=True):
+            later.setdefault(self.left[token], []).append(token)
+        place = np.full(len(self.spelled), -1, np.int32)
+        end = place.copy()
+        at = 0
+        walk = [(t, False) for t in self.byte_token.values()]
+        while walk:
+            token, done = walk.pop()
+            if done:
+                end[token] = at - 1
+                continue
+            place[token], at = at, at + 1
+            walk.append((token, True))
+            walk += [(t, False) for t in reversed(later.get(token, ()))]
+        # What each gadget takes away, by the token whose state it copies, in the order of the gadgets.
+        own: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        for (u, v), k in sorted(self.gadget.items(), key=lambda x: x[1]):
+            mine = later.get(v, ())
+            n = bisect_right(mine, -k, key=lambda t: -self.born[t])  # those born with the gadget or after it
+            times, lows, highs = own.setdefault(u, ([], [], []))
+            times.append(k)
+            lows.append(int(place[v]))
+            highs.append(int(end[mine[n - 1]]) if n else int(place[v]))
+        starts, low, high = [0], [], []
+        states: dict[int, list[tuple[int, int]]] = {}
+        for state in self.born:
+            missing, token, before = [], state, NEVER
+            while True:
+                if token in own:
+                    times, lows, highs = own[token]
+                    n = bisect_left(times, before)
+                    missing += zip(lows[:n], highs[:n], strict=True)
+                if self.born[token] < 0:
+                    break
+                token, before = self.right[token], self.born[token]
+            states[state] = missing
+        for state in range(len(self.spelled)):
+            reached = -1
+            for a, b in sorted(states.get(state, ()), key=lambda x: (x[0], -x[1])):  # intervals nest or are apart
+                if a > reached:
+                    low.append(a)
+                    high.append(b)
+                    reached = b
+            starts.append(len(low))
+        self.place, self.starts, self.low, self.high = place.tolist(), array("i", starts), array("i", low), array("i", high)
+
+    def ready(self) -> None:
+        """What workers make for themselves: spellings by prefix, patterns, the memory of words."""
         self.prefixes: dict[bytes, int] = {}
         for token in self.born:
             spelled = self.label[token]
@@ -70,10 +132,16 @@ class Automaton:
         self.words: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.spelled = [self.label.get(i, b"") for i in range(max(self.label) + 1)]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("prefixes", "words", "split", "special", "left", "right", "gadget")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.ready()
 
     def arc(self, last: int, token: int) -> bool:
-        """Whether the state after ``last`` has an arc for ``token``.
+        """Whether the state after ``last`` has an arc for ``token``, by the gadgets so far (construction only).
 
         Along the state's chain of gadgets, the latest first, a token born with or after a gadget has the arcs of its left
         half there; the arc is missing if a gadget removed the token that stands for it at that point.
@@ -95,32 +163,29 @@ class Automaton:
 
     def word(self, spelled: bytes) -> list[int]:
         """The accepted token path over one pre-split word."""
-        n, prefixes, arc = len(spelled), self.prefixes, self.arc
-        if (whole := prefixes.get(spelled, -1)) >= 0 and n == 1:
-            return [whole]
-        ends, starts = [-1] * (n + 1), [0] * (n + 1)
+        n, prefixes, place, starts, low, high = len(spelled), self.prefixes, self.place, self.starts, self.low, self.high
+        ends, begins = [-1] * (n + 1), [0] * (n + 1)
+        first = last = 0
         for i in range(n):
-            last = ends[i]
-            if i and last < 0:
-                continue
-            row = self.follows.setdefault(last, {}) if i else None
+            if i:
+                if ends[i] < 0:
+                    continue
+                first, last = starts[ends[i]], starts[ends[i] + 1]
             for j in range(i + 1, n + 1):
                 token = prefixes.get(spelled[i:j])
                 if token is None:
                     break
                 if token < 0 or ends[j] >= 0:
                     continue
-                if row is not None:
-                    ok = row.get(token)
-                    if ok is None:
-                        ok = row[token] = arc(last, token)
-                    if not ok:
+                if i and first < last:
+                    k = bisect_right(low, place[token], first, last) - 1
+                    if k >= first and place[token] <= high[k]:
                         continue
-                ends[j], starts[j] = token, i
+                ends[j], begins[j] = token, i
         path, at = [], n
         while at:
             path.append(ends[at])
-            at = starts[at]
+            at = begins[at]
         return path[::-1]
 
     def encode(self, text: str | None) -> bytes:
@@ -147,24 +212,32 @@ class Automaton:
         return b"".join([spelled[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+#: What a tokenizer file must say besides its vocabulary, or may leave out; other settings are refused.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": "", "end_of_word_suffix": "", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False}
+
+
 def load(path: str) -> dict:
     """Vocabulary, merges and added tokens of a tokenizer file; read on the driver, a few MB whatever the corpus."""
     with open(path, encoding="utf-8") as file:
         data = json.load(file)
+    if data.get("normalizer"):
+        raise ValueError(f"{path}: the automaton has no normalizer")
+    for found, known in [(data.get("pre_tokenizer") or {}, PRE_TOKENIZER), (data["model"], MODEL), *((x, ADDED) for x in data.get("added_tokens", []))]:
+        for key, value in known.items():
+            if (found.get(key, value) or None) != (value or None):
+                raise ValueError(f"{path}: {key} is {found.get(key)!r}, the automaton needs {value!r}")
+    if (data.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+        raise ValueError(f"{path}: the automaton needs the byte-level pre-tokeniser")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
     return {"vocabulary": data["model"]["vocab"], "merges": merges, "added": {x["content"]: x["id"] for x in data.get("added_tokens", [])}}
 
 
-_COMPILED: dict[str, Automaton] = {}
-
-
-def compiled(packed: bytes) -> Automaton:
-    """The automaton of a packed vocabulary, compiled once in each worker."""
-    key = hashlib.sha256(packed).hexdigest()
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = Automaton(**json.loads(packed))
-    return _COMPILED[key]
+@cache
+def compiled(path: str) -> Automaton:
+    """The automaton of a file, compiled on the driver; workers get its arrays, about 10 MB whatever the corpus."""
+    return Automaton(**load(path))
 
 
 def default_path() -> str:
@@ -179,11 +252,11 @@ DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha2
 
 def encoder(spark: SparkSession, path: str | None = None):
     """Pandas UDF: text -> (n_tokens, ids as little-endian unsigned 32-bit integers)."""
-    packed = spark.sparkContext.broadcast(json.dumps(load(path or default_path())).encode())
+    shared = spark.sparkContext.broadcast(compiled(path or default_path()))
 
     @F.pandas_udf(ENCODED)
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = compiled(packed.value)
+        automaton = shared.value
         for batch in texts:
             ids = [automaton.encode(x) for x in batch]
             yield pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids})
@@ -193,11 +266,11 @@ def encoder(spark: SparkSession, path: str | None = None):
 
 def decoder(spark: SparkSession, path: str | None = None):
     """Pandas UDF: ids -> text."""
-    packed = spark.sparkContext.broadcast(json.dumps(load(path or default_path())).encode())
+    shared = spark.sparkContext.broadcast(compiled(path or default_path()))
 
     @F.pandas_udf(StringType())
     def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = compiled(packed.value)
+        automaton = shared.value
         for batch in ids:
             yield pd.Series([None if x is None else automaton.decode(x) for x in batch], dtype=object)
 
@@ -206,11 +279,11 @@ def decoder(spark: SparkSession, path: str | None = None):
 
 def digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id with token count and digests of the ids and of the text decoded from them."""
-    packed = spark.sparkContext.broadcast(json.dumps(load(path or default_path())).encode())
+    shared = spark.sparkContext.broadcast(compiled(path or default_path()))
 
     @F.pandas_udf(DIGESTS)
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = compiled(packed.value)
+        automaton = shared.value
         for batch in texts:
             rows = []
             for text in batch:

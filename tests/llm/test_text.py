@@ -104,6 +104,65 @@ def test_gadgets_on_a_toy_vocabulary():
             assert automaton.word("".join(letters).encode()) == [vocabulary[p] for p in parts]
 
 
+def gadgets_by_hand(merges, letters):
+    """The automaton by copying states: state -> {token: state}, and the state that each token's arcs end in."""
+    rows, ends = [dict.fromkeys(letters, 0)], dict.fromkeys(letters, 0)
+    for u, v in merges:
+        if u not in ends or v not in ends or v not in rows[ends[u]]:
+            continue
+        rows.append(dict(rows[ends[u]]))
+        whole = rows[ends[u]][v]
+        del rows[-1][v]
+        copy = len(rows) - 1
+        if u == v:  # the copy is what u leads to while its v arc is gone
+            rows[-1].pop(v, None)
+        for row in rows:
+            if u in row:
+                row[u + v] = row.get(u + v, whole)
+        for row in rows:
+            if u in row:
+                row[u] = copy
+        ends[u] = copy
+        ends.setdefault(u + v, whole)
+    return rows, ends
+
+
+def test_rows_equal_states_made_by_hand():
+    for merges in ([("a", "b"), ("ab", "c"), ("b", "c"), ("c", "a"), ("bc", "a"), ("ca", "b")], [("b", "c"), ("a", "bc"), ("a", "b"), ("c", "c"), ("cc", "a"), ("ab", "cc")]):
+        vocabulary = {t: k for k, t in enumerate(["a", "b", "c", *(x + y for x, y in merges)])}
+        automaton = bpe_automaton.Automaton(vocabulary, merges)
+        rows, ends = gadgets_by_hand(merges, "abc")
+        for last in ends:
+            low, high = (x[automaton.starts[vocabulary[last]] : automaton.starts[vocabulary[last] + 1]] for x in (automaton.low, automaton.high))
+            for token in ends:
+                missing = any(a <= automaton.place[vocabulary[token]] <= b for a, b in zip(low, high, strict=True))
+                assert missing != (token in rows[ends[last]]), (last, token)
+
+
+def test_workers_get_the_same_automaton(both):
+    import pickle
+
+    automaton, library = both
+    copy = pickle.loads(pickle.dumps(automaton))
+    text = "It's the same: naïve 数据 <|endoftext|> " * 3
+    assert copy.encode(text) == automaton.encode(text) and copy.decode(copy.encode(text)) == text
+
+
+def test_other_tokenizer_files_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="automaton"):
+        bpe_automaton.load(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_bpe_query(both, spark, sf):
+    _, library = both
+    source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in registry.queries()["op9_bpe_automaton"](spark, sf).collect():
+        ids = library.encode(source[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 def test_digests(both, spark, docs, clashing, empty):
     automaton, _ = both
     found = bpe_automaton.digests(spark, docs)
@@ -121,3 +180,4 @@ def test_bpe_stage_round_trip(spark, docs, clashing):
     decode = bpe_automaton.decoder(spark)
     assert all(r.back == (r.text or "") for r in out.select("text", decode("ids").alias("back")).collect())
     assert sorted(bpe_automaton.stage(spark, clashing, "").columns) == sorted(set(clashing.columns))
+    assert bpe_automaton.stage(spark, docs.limit(0), "").collect() == []
