@@ -2,22 +2,22 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id, judged on the input.
 
-The corpus is written once as shard files in the shared folder, and the tasks of each pass read their shard from there;
-only small facts about it are shuffled, never texts:
+The corpus is written once as shard files in the shared folder; a row group, of bounded size, is a shard. The tasks of each
+pass read their shard from there; only small facts about it are shuffled, never texts:
 
-1. Whole texts equal to a text with a smaller id are settled by a digest.
-2. Anchors: of the 35 16-byte strings inside a window of 50 bytes, the one with the least fingerprint. Equal windows have
+1. Anchors: of the 35 16-byte strings inside a window of 50 bytes, the one with the least fingerprint. Equal windows have
    equal anchors, whatever surrounds them. Fingerprints that occur in two documents are found by (bucket, 32 bits).
-3. Contexts: the stretch of text whose windows share a shared anchor, with the smallest and largest id that holds it in the
-   shard. They are dealt by the anchor's fingerprint, so equal windows meet in one bucket. There, shards of contexts of
-   bounded size get suffix arrays by Larsson-Sadakane refinement and common prefixes by Kasai's method; runs of common
-   prefixes of 50 bytes are classes of equal windows, and classes of different shards of a bucket are merged by binary
-   search in the sorted windows. Each class keeps its smallest id. Contexts are counted first: those of an anchor with
-   very many (a frequent short line whose surroundings differ) are taken apart into windows, which are dealt by their own
-   fingerprints, so equal windows still meet and no bucket holds all of them.
+2. Contexts: the stretch of text whose windows share a shared anchor, with the smallest and largest id that holds it in the
+   shard. They are dealt by the anchor's fingerprint, so equal windows meet in one bucket. Contexts are counted first: those
+   of an anchor with very many (a frequent short line whose surroundings differ) are taken apart into windows, which are
+   dealt by their own fingerprints, so equal windows still meet and no bucket holds all of them.
+3. Arrays: in a bucket, the contexts of a few shards at a time get a suffix array by Larsson-Sadakane refinement and common
+   prefixes by Kasai's method; runs of common prefixes of 50 bytes are classes of equal windows. The sorted windows of the
+   arrays are merged two and two by binary search. Each class keeps its smallest id. Nothing else decides which windows
+   are equal: anchors only leave out windows that no other document has.
 4. Each shard marks the windows whose class has a smaller id than their document.
 
-A passage in a third of all documents is one row per shard file in step 2 and 3, however often the shard repeats it.
+A passage in a third of all documents is one context per shard in steps 2 and 3, however often the shard repeats it.
 
 Defined results: a null text is the empty text; a null id comes after every other id (it removes nothing elsewhere, and
 loses what others repeat); rows with equal ids remove nothing from one another; texts under 50 bytes stay whole; an empty
@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -45,10 +45,12 @@ LENGTH = 50
 GRAM = 16
 #: Bytes hashed at a time (arrays that fit a cache), and after which a shard's contexts are sent off.
 BLOCK, PART = 1 << 17, 32 << 20
-#: Positions of a suffix array: three ranks fit in 63 bits.
-POSITIONS = (1 << 21) - 2
-#: Contexts of one anchor, about a suffix array's worth, from which on they are dealt window by window.
-CROWD = POSITIONS // 85
+#: Positions of a suffix array (three ranks must fit in 63 bits) and, about, of the arrays that a task merges.
+POSITIONS, MERGED = 1 << 16, 1 << 22
+#: Contexts of one anchor, about two million bytes, from which on they are dealt window by window.
+CROWD = (1 << 21) // 85
+#: Bytes of a row group, before compression; each is a shard.
+GROUP = 64 << 20
 LAST = np.iinfo(np.int64).max
 _DRAW = np.random.default_rng(50).integers(1, 2**63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE, FACTOR = _DRAW[:256], _DRAW[256:264]
@@ -186,42 +188,45 @@ def window_classes(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, lengt
     return windows, np.cumsum(fresh) - 1, least
 
 
-def least_ids(pieces: list[bytes], ids: np.ndarray, length: int = LENGTH, positions: int = POSITIONS) -> np.ndarray:
-    """Smallest id of the class of each window of distinct pieces, windows in piece order.
+def least_ids(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, length: int = LENGTH, positions: int = POSITIONS) -> np.ndarray:
+    """Smallest id of the class of each window of pieces, windows in piece order; pieces may repeat.
 
-    Pieces are cut into shards of bounded size. With several shards, each looks its classes up in the sorted windows of
-    the others by binary search.
+    Pieces are cut into shards of bounded size with an array each. The sorted windows of the shards are merged by binary
+    search, two and two, and each shard looks its classes up in what comes out.
     """
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    shards, at, size = [], 0, 0
-    for k, n in enumerate(lengths):
-        if size + n > positions and k > at:
-            shards.append((at, k))
-            at, size = k, 0
-        size += n
-    shards.append((at, len(pieces)))
-    found = []
-    for a, b in shards:
-        text = np.frombuffer(b"".join(pieces[a:b]), np.uint8)
-        windows, classes, least = window_classes(text, lengths[a:b], ids[a:b], length)
-        table_ = None
-        if len(shards) > 1:
-            heads = windows[np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))] if len(windows) else windows
-            table_ = np.lib.stride_tricks.sliding_window_view(text, length)[heads].copy().view(f"S{length}").ravel() if len(heads) else np.zeros(0, f"S{length}")
-        found.append((text, windows, classes, least, table_))
-    merged = [least.copy() for *_, least, _ in found]
-    for i, (*_, mine) in enumerate(found):
-        for j, (*_, least, theirs) in enumerate(found):
-            if i != j and len(theirs) and len(mine):
-                place = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-                merged[i] = np.where(theirs[place] == mine, np.minimum(merged[i], least[place]), merged[i])
-    out = []
-    for (text, windows, classes, _, _), least in zip(found, merged, strict=True):
-        each = np.full(len(text), LAST)
-        each[windows] = least[classes]
-        out.append(each)
-    starts, counts = np.cumsum(lengths) - lengths, np.maximum(lengths - length + 1, 0)
-    return np.concatenate(out)[ragged(starts, counts)]
+    stops = np.cumsum(lengths)
+    cuts, at = [0], 0
+    while at < len(lengths):
+        at = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + positions, side="right")))
+        cuts.append(at)
+    shards = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        begin, end = stops[a] - lengths[a], stops[b - 1]
+        windows, classes, least = window_classes(text[begin:end], lengths[a:b], ids[a:b], length)
+        heads = windows[np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))] + begin if len(windows) else windows
+        shards.append((windows + begin, classes, np.ndarray((len(text) - length + 1,), f"S{length}", text, strides=(1,))[heads] if len(heads) else np.zeros(0, f"S{length}"), least))
+    level = [(words, least) for _, _, words, least in shards]
+    while len(level) > 1:
+        level = [joined(*level[k : k + 2]) for k in range(0, len(level), 2)]
+    out = np.full(len(text), LAST)
+    for windows, classes, words, _ in shards:
+        if len(words):
+            out[windows] = level[0][1][np.searchsorted(level[0][0], words)][classes]
+    return out[ragged(stops - lengths, np.maximum(lengths - length + 1, 0))]
+
+
+def joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of distinct windows and their smallest ids as one."""
+    if b is None or not len(b[0]):
+        return a
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    place = np.searchsorted(a[0], b[0])
+    same = place < len(a[0])
+    same[same] = a[0][place[same]] == b[0][same]
+    least = a[1].copy()
+    least[place[same]] = np.minimum(least[place[same]], b[1][same])
+    return np.insert(a[0], place[~same], b[0][~same]), np.insert(least, place[~same], b[1][~same])
 
 
 # -- anchors -------------------------------------------------------------------------------------------------------------
@@ -275,9 +280,9 @@ def fingerprints(text: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> n
 
 
 class Chunk:
-    """Some documents of a shard: their rows, ids, bytes one after another, and whether they are settled by their digest."""
+    """Some documents of a shard: their rows, ids, and bytes one after another."""
 
-    def __init__(self, rows: pa.RecordBatch | None, ids: list, texts: list[bytes], copies: dict[int, set[bytes]]):
+    def __init__(self, rows: pa.RecordBatch | None, ids: list, texts: list[bytes]):
         self.rows, self.texts = rows, texts
         self.ids = np.array([LAST if x is None else x for x in ids], np.int64)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -285,35 +290,24 @@ class Chunk:
         self.starts = self.stops - lengths
         self.buffer = b"".join(texts)
         self.text = np.frombuffer(self.buffer, np.uint8)
-        self.copy = np.array([d in copies and hashlib.md5(t).digest() in copies[d] for d, t in zip(self.ids.tolist(), texts, strict=True)], bool)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window, fingerprint and document of the runs in documents that are not settled."""
-        lengths = self.stops - self.starts
-        first, last, print_ = anchored(self.text, np.repeat(self.stops, lengths))
-        doc = np.searchsorted(self.stops, first, side="right")
-        live = ~self.copy[doc] if len(doc) else np.zeros(0, bool)
-        return first[live], last[live], print_[live], doc[live]
+        """First and last window, fingerprint and document of the runs of windows with one anchor."""
+        first, last, print_ = anchored(self.text, np.repeat(self.stops, self.stops - self.starts))
+        return first, last, print_, np.searchsorted(self.stops, first, side="right")
 
 
-def chunks(path: str, copies: dict[int, set[bytes]], whole_rows: bool = False) -> Iterator[Chunk]:
+def chunks(path: str, group: int, whole_rows: bool = False) -> Iterator[Chunk]:
     import pyarrow.parquet as pq
 
     fs, inner = filesystem(path)
     with fs.open_input_file(inner) as file:
         reader = pq.ParquetFile(file)
-        for batch in reader.iter_batches(batch_size=512, columns=None if whole_rows else ["doc_id", "text"]):
+        for batch in reader.iter_batches(batch_size=512, row_groups=[group], columns=None if whole_rows else ["doc_id", "text"]):
             names = batch.schema.names
             ids = batch.column(names.index("doc_id")).to_pylist()
             texts = [(x or "").encode("utf-8", "replace") for x in batch.column(names.index("text")).to_pylist()]
-            yield Chunk(batch if whole_rows else None, ids, texts, copies)
-
-
-def known_copies(side: pd.DataFrame) -> dict[int, set[bytes]]:
-    found: dict[int, set[bytes]] = {}
-    for row in side[side["kind"] == "copy"].itertuples():
-        found.setdefault(int(row.number), set()).add(row.a)
-    return found
+            yield Chunk(batch if whole_rows else None, ids, texts)
 
 
 SIDE = "shard long, kind string, number long, part long, a binary, b binary, c binary, d binary"
@@ -343,7 +337,6 @@ class Part:
     def __init__(self) -> None:
         self.index: dict[bytes, int] = {}
         self.bucket: list[int] = []
-        self.anchor: list[int] = []
         self.low: list[int] = []
         self.high: list[int] = []
         self.bytes = 0
@@ -363,14 +356,12 @@ class Part:
             last[apart] = first[apart]
             prints[apart] = fingerprints(chunk.text, first[apart], np.full(int(apart.sum()), LENGTH))
         where = ((prints >> np.uint64(7)) % np.uint64(dealt)).tolist()
-        anchor = (prints & np.uint64(0xFFFFFFFF)).tolist()
         buffer, index, found = chunk.buffer, self.index, []
-        for a, b, w, p, d in zip(first.tolist(), (last + LENGTH).tolist(), where, anchor, chunk.ids[doc].tolist(), strict=True):
+        for a, b, w, d in zip(first.tolist(), (last + LENGTH).tolist(), where, chunk.ids[doc].tolist(), strict=True):
             context = buffer[a:b]
             k = index.setdefault(context, len(index))
             if k == len(self.low):
                 self.bucket.append(w)
-                self.anchor.append(p)
                 self.low.append(d)
                 self.high.append(d)
             elif d < self.low[k]:
@@ -389,11 +380,10 @@ class Part:
 
 
 def _collect_anchors(buckets: int):
-    def run(key, left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+    def run(key, left):
         held, owners = [], []
-        copies = known_copies(side)
         for row in left.itertuples():
-            for chunk in chunks(row.path, copies):
+            for chunk in chunks(row.path, row.group):
                 _, _, prints, doc = chunk.runs()
                 short = brief(prints, buckets)
                 order = np.lexsort((doc, short))
@@ -423,7 +413,7 @@ def _collect_anchors(buckets: int):
     return run
 
 
-def _find_shared(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _find_shared(key, rows):
     """Of one bucket: for each shard, its fingerprints that two documents have."""
     once, more = ([unpacked(x) for x in rows[c]] for c in ("once", "more"))
     every = np.sort(np.concatenate([*once, *more]))
@@ -437,8 +427,8 @@ def _find_shared(key, rows: pd.DataFrame) -> pd.DataFrame:
 def _count_contexts(buckets: int, least: int):
     """Of each shard: bytes of its contexts, and its anchors with at least so many contexts, with their contexts and windows."""
 
-    def run(key, left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        copies, shared = known_copies(side), shared_prints(side, buckets)
+    def run(key, left, side):
+        shared = shared_prints(side, buckets)
         held, sizes, size, done = [], [], 0, 0
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -456,7 +446,7 @@ def _count_contexts(buckets: int, least: int):
             waiting.clear()
 
         for row in left.itertuples():
-            for chunk in chunks(row.path, copies):
+            for chunk in chunks(row.path, row.group):
                 first, last, prints, _ = chunk.runs()
                 keep = holds(shared, brief(prints, buckets))
                 first, lengths, prints = first[keep], last[keep] - first[keep] + LENGTH, prints[keep]
@@ -478,72 +468,61 @@ def _count_contexts(buckets: int, least: int):
 
 
 def _collect_contexts(buckets: int, dealt: int, crowded: np.ndarray):
-    def run(key, left: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        copies, shared = known_copies(side), shared_prints(side, buckets)
+    def run(key, left, side):
+        shared = shared_prints(side, buckets)
         rows, number, part = [], 0, Part()
 
         def send() -> None:
             texts, low, high = list(part.index), np.array(part.low, np.int64), np.array(part.high, np.int64)
-            anchor = np.array(part.anchor, np.uint32)
             for bucket, at in part.by_bucket():
                 some = [texts[k] for k in at.tolist()]
                 lengths = np.fromiter(map(len, some), np.uint8, len(some))
-                rows.append((bucket, key[0], number, squeezed(b"".join(some)), lengths.tobytes(), anchor[at].tobytes(), squeezed(low[at].tobytes()), squeezed(high[at].tobytes())))
+                rows.append((bucket, key[0], number, squeezed(b"".join(some)), lengths.tobytes(), squeezed(low[at].tobytes()), squeezed(high[at].tobytes())))
 
         for row in left.itertuples():
-            for chunk in chunks(row.path, copies):
+            for chunk in chunks(row.path, row.group):
                 part.add(chunk, shared, buckets, dealt, crowded)
                 if part.bytes > PART:
                     send()
                     number, part = number + 1, Part()
         send()
-        return pd.DataFrame(rows, columns=["bucket", "shard", "part", "texts", "lengths", "anchors", "low", "high"])
+        return pd.DataFrame(rows, columns=["bucket", "shard", "part", "texts", "lengths", "low", "high"])
 
     return run
 
 
-def _settle(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket of contexts: for each part of a shard, the smallest ids of the windows that some document loses."""
-    index: dict[bytes, int] = {}
-    least: list[int] = []
-    anchor: list[int] = []
-    members = []
-    for row in rows.itertuples():
-        lengths, low = np.frombuffer(row.lengths, np.uint8).astype(np.int64), np.frombuffer(spread_out(row.low), np.int64).tolist()
-        texts, stops, mine = spread_out(row.texts), np.cumsum(lengths).tolist(), []
-        for a, b, p, d in zip([0, *stops[:-1]], stops, np.frombuffer(row.anchors, np.uint32).tolist(), low, strict=True):
-            k = index.setdefault(texts[a:b], len(index))
-            if k == len(least):
-                least.append(d)
-                anchor.append(p)
-            elif d < least[k]:
-                least[k] = d
-            mine.append(k)
-        members.append(np.array(mine, np.int64))
-    pieces, ids = list(index), np.array(least, np.int64)
-    counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - LENGTH + 1
-    each = np.repeat(ids, counts)
-    # Equal windows have equal anchors: a context that is the only one of its anchor shares no window with another.
-    _, same, often = np.unique(np.array(anchor, np.uint32), return_inverse=True, return_counts=True)
-    several = np.flatnonzero(often[same] > 1)
-    if len(several):
-        each[np.repeat(often[same] > 1, counts)] = least_ids([pieces[k] for k in several.tolist()], ids[several])
-    starts = np.cumsum(counts) - counts
-    lowest = np.minimum.reduceat(each, starts)
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    run = np.append(True, (each[1:] != each[:-1]) | (owner[1:] != owner[:-1]))
-    heads = np.flatnonzero(run)
-    run_length, run_id = np.diff(np.append(heads, len(each))), each[heads]
-    runs = np.bincount(owner[heads], minlength=len(pieces))
-    run_start = np.cumsum(runs) - runs
-    out = []
-    for row, mine in zip(rows.itertuples(), members, strict=True):
-        lost = np.flatnonzero(lowest[mine] < np.frombuffer(spread_out(row.high), np.int64))
-        if len(lost):
-            some = mine[lost]
-            at = ragged(run_start[some], runs[some])
-            out.append((row.shard, "lost", key[0], row.part, lost.astype(np.uint32).tobytes(), runs[some].astype(np.uint8).tobytes(), run_length[at].astype(np.uint8).tobytes(), run_id[at].tobytes()))
-    return pd.DataFrame(out, columns=["shard", "kind", "number", "part", "a", "b", "c", "d"])
+def _settle(positions: int):
+    """Of one bucket of contexts: for each part of a shard, the smallest ids of the windows that some document loses.
+
+    A context is a piece for each part that holds it, so that equal contexts meet in the arrays like all other windows.
+    """
+
+    def run(key, rows):
+        lengths = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["lengths"]]).astype(np.int64)
+        text = np.frombuffer(b"".join([spread_out(x) for x in rows["texts"]]), np.uint8)
+        ids = np.concatenate([np.frombuffer(spread_out(x), np.int64) for x in rows["low"]])
+        stops = np.cumsum([len(x) for x in rows["lengths"]])
+        members = [np.arange(b - len(x), b) for b, x in zip(stops.tolist(), rows["lengths"], strict=True)]
+        counts = lengths - LENGTH + 1
+        each = least_ids(text, lengths, ids, positions=positions)
+        starts = np.cumsum(counts) - counts
+        lowest = np.minimum.reduceat(each, starts)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        change = np.append(True, (each[1:] != each[:-1]) | (owner[1:] != owner[:-1]))
+        heads = np.flatnonzero(change)
+        run_length, run_id = np.diff(np.append(heads, len(each))), each[heads]
+        runs = np.bincount(owner[heads], minlength=len(counts))
+        run_start = np.cumsum(runs) - runs
+        out = []
+        for row, mine in zip(rows.itertuples(), members, strict=True):
+            lost = np.flatnonzero(lowest[mine] < np.frombuffer(spread_out(row.high), np.int64))
+            if len(lost):
+                some = mine[lost]
+                at = ragged(run_start[some], runs[some])
+                out.append((row.shard, "lost", key[0], row.part, lost.astype(np.uint32).tobytes(), runs[some].astype(np.uint8).tobytes(), run_length[at].astype(np.uint8).tobytes(), run_id[at].tobytes()))
+        return pd.DataFrame(out, columns=["shard", "kind", "number", "part", "a", "b", "c", "d"])
+
+    return run
 
 
 def _apply(buckets: int, dealt: int, crowded: np.ndarray, make, schema: pa.Schema):
@@ -551,7 +530,7 @@ def _apply(buckets: int, dealt: int, crowded: np.ndarray, make, schema: pa.Schem
 
     def run(left: pa.Table, side: pa.Table) -> pa.Table:
         left, side = left.to_pandas(), side.to_pandas()
-        copies, shared, lost = known_copies(side), shared_prints(side, buckets), {}
+        shared, lost = shared_prints(side, buckets), {}
         for row in side[side["kind"] == "lost"].itertuples():
             lost.setdefault(int(row.part), {})[int(row.number)] = row
         out, waiting, number, part = [], [], 0, Part()
@@ -580,14 +559,11 @@ def _apply(buckets: int, dealt: int, crowded: np.ndarray, make, schema: pa.Schem
                 gone = (ids[each] < np.repeat(chunk.ids[doc], counts[context])) & (span > 0)
                 np.add.at(edge, begin[gone], 1)
                 np.add.at(edge, begin[gone] + span[gone] + LENGTH - 1, -1)
-                for k in np.flatnonzero(chunk.copy & (chunk.stops - chunk.starts >= LENGTH)):
-                    edge[chunk.starts[k]] += 1
-                    edge[chunk.stops[k]] -= 1
                 out.append(make(chunk, np.cumsum(edge[:-1]) > 0, schema))
             waiting.clear()
 
         for row in left.itertuples():
-            for chunk in chunks(row.path, copies, whole_rows=True):
+            for chunk in chunks(row.path, row.group, whole_rows=True):
                 waiting.append((chunk, part.add(chunk, shared, buckets, dealt, crowded)))
                 if part.bytes > PART:
                     close()
@@ -626,50 +602,60 @@ def _texts(chunk: Chunk, gone: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
 DIGESTS = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType())])
 
 
-def repeated_passages(docs: DataFrame, make=_digests, schema: StructType = DIGESTS, crowd: int = CROWD) -> DataFrame:
+def repeated_passages(docs: DataFrame, make=_digests, schema: StructType = DIGESTS, crowd: int = CROWD, positions: int = POSITIONS) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "suffix-shards")
-    docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).write.option("compression", "zstd").parquet(folder)
-    files = [path for path, _ in listed(folder, ".parquet")]
-    shards = spark.createDataFrame([(k, p, p.rsplit("/", 1)[1]) for k, p in enumerate(files)] or [(0, "", "")], "shard long, path string, name string").where("path <> ''")
-    corpus = spark.read.parquet(folder)
-
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = corpus.select(F.col("_metadata.file_name").alias("name"), F.coalesce("doc_id", F.lit(int(LAST))).alias("number"), F.md5(text).alias("digest"), F.octet_length("text").alias("bytes"))
-    rows = stored(rows, "suffix-digests")
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    first = rows.groupBy("digest").agg(F.min("number").alias("first"), F.max("number").alias("last")).where("first < last")
-    copies = rows.join(stored(first, "suffix-first"), "digest").where("number > first").join(shards.select("name", "shard"), "name")
-    none = F.lit(None).cast("binary")
-    copies = copies.select("shard", F.lit("copy").alias("kind"), "number", F.lit(0).cast("long").alias("part"), F.unhex("digest").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
-    copies = stored(copies, "suffix-copies")
-
-    tasks = max(1, 2 * len(files))
-    left = shards.select("shard", "path").repartition(tasks, "shard").groupBy("shard")
+    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows.write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(folder)
+    files = spark.createDataFrame([(path,) for path, _ in listed(folder, ".parquet")] or [("",)], "path string").where("path <> ''")
+    found = stored(files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_row_groups, "path string, group int, bytes long"), "suffix-groups")
+    n_shards, total = found.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+
+    tasks = max(1, n_shards)
+    shards = stored(numbered(found.select("path", "group"), tasks), "suffix-numbers")
+    left = shards.repartition(tasks, "shard").groupBy("shard")
     over = lambda side, run, out: left.cogroup(side.repartition(tasks, "shard").groupBy("shard")).applyInPandas(run, out)
 
     # About a million anchors in a bucket; one in 18 positions is an anchor.
     buckets = max(64, -(-total // (18 << 20)))
-    anchors = over(copies, _collect_anchors(buckets), "bucket long, shard long, once binary, more binary")
+    anchors = left.applyInPandas(_collect_anchors(buckets), "bucket long, shard long, once binary, more binary")
     shared = stored(anchors.groupBy("bucket").applyInPandas(_find_shared, SIDE), "suffix-shared")
-    n_shared = shared.agg(F.coalesce(F.sum(F.octet_length("a")), F.lit(0))).first()[0] // 4
 
     # A shard reports anchors with at least its part of a crowd, so none with twice a crowd is missed.
-    side = copies.unionByName(shared)
-    counted = stored(over(side, _count_contexts(buckets, max(1, crowd // max(1, len(files)))), "bytes long, anchors array<long>, contexts array<long>, windows array<long>"), "suffix-counts")
+    counted = stored(over(shared, _count_contexts(buckets, max(1, crowd // tasks)), "bytes long, anchors array<long>, contexts array<long>, windows array<long>"), "suffix-counts")
     by_anchor = counted.select(F.explode(F.arrays_zip("anchors", "contexts", "windows")).alias("x")).groupBy("x.anchors").agg(F.sum("x.contexts").alias("contexts"), F.sum("x.windows").alias("windows"))
     crowds = by_anchor.where(F.col("contexts") >= crowd).toPandas()  # few: all contexts over CROWD
     crowded = np.sort(crowds["anchors"].to_numpy(np.int64).view(np.uint64))
     size = counted.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] + LENGTH * int(crowds["windows"].sum())
 
-    # About a shard's worth of contexts, of some 70 bytes, in a bucket; a few shards' worth where anchors have many contexts.
-    dealt = max(64, -(-n_shared * 70 // POSITIONS), -(-size // (4 * POSITIONS)))
-    contexts = over(side, _collect_contexts(buckets, dealt, crowded), "bucket long, shard long, part long, texts binary, lengths binary, anchors binary, low binary, high binary")
-    lost = stored(contexts.groupBy("bucket").applyInPandas(_settle, SIDE), "suffix-lost")
-    whole = left.cogroup(side.unionByName(lost).repartition(tasks, "shard").groupBy("shard"))
+    dealt = max(64, -(-size // MERGED))
+    contexts = over(shared, _collect_contexts(buckets, dealt, crowded), "bucket long, shard long, part long, texts binary, lengths binary, low binary, high binary")
+    lost = stored(contexts.groupBy("bucket").applyInPandas(_settle(positions), SIDE), "suffix-lost")
+    whole = left.cogroup(shared.unionByName(lost).repartition(tasks, "shard").groupBy("shard"))
     return whole.applyInArrow(_apply(buckets, dealt, crowded, make, to_arrow_schema(schema)), schema)
 
 
+def _row_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Row groups of the shard files with documents, and their bytes."""
+    import pyarrow.parquet as pq
+
+    for frame in frames:
+        for path in frame["path"]:
+            fs, inner = filesystem(path)
+            with fs.open_input_file(inner) as file:
+                footer = pq.ParquetFile(file).metadata
+            sizes = [footer.row_group(k) for k in range(footer.num_row_groups)]
+            yield pd.DataFrame([(path, k, x.total_byte_size) for k, x in enumerate(sizes) if x.num_rows], columns=["path", "group", "bytes"])
+
+
+def numbered(shards: DataFrame, tasks: int) -> DataFrame:
+    """Shards with numbers that a hash partitioning deals to different tasks."""
+    spark = shards.sparkSession
+    free = spark.range(0, 20 * tasks + 1000).groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("task")).agg(F.min("id").alias("shard"))
+    in_order = shards.select("path", "group", (F.row_number().over(Window.orderBy("path", "group")) - 1).alias("task"))  # a row per shard
+    return in_order.join(free, "task", "left").select("path", "group", F.coalesce("shard", F.col("task") + (20 * tasks + 1000)).cast("long").alias("shard"))
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     return repeated_passages(table(spark, sf_dir, "documents"))

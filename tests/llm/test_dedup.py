@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rows import as_rows
 
 from lodestead.llm import near_dedup, suffix_dedup
@@ -34,16 +35,18 @@ def test_suffix_array_and_prefixes(letters):
             assert common[a] == (same if len(y) >= limit else 0)
 
 
-@pytest.mark.parametrize("positions", [10**6, 64])
-def test_least_ids_in_one_shard_and_in_several(positions):
+@pytest.mark.parametrize("positions", [60000, 64, 7])
+def test_least_ids_in_one_array_and_in_several(positions):
     r = np.random.default_rng(5)
     for _ in range(40):
-        pieces = list({bytes(r.integers(97, 99, r.integers(4, 30)).astype(np.uint8)) for _ in range(20)})
+        pieces = [bytes(r.integers(97, 99, r.integers(4, 30)).astype(np.uint8)) for _ in range(r.integers(1, 30))]
+        pieces += pieces[:3] + [b"\0\0\0\0", b"a\0\0\0\0"]
         ids, first = r.integers(0, 50, len(pieces)), {}
         for p, i in zip(pieces, ids, strict=True):
             for a in range(len(p) - 3):
                 first[p[a : a + 4]] = min(first.get(p[a : a + 4], 99), i)
-        assert suffix_dedup.least_ids(pieces, ids, 4, positions).tolist() == [first[p[a : a + 4]] for p in pieces for a in range(len(p) - 3)]
+        found = suffix_dedup.least_ids(np.frombuffer(b"".join(pieces), np.uint8), np.array(list(map(len, pieces))), ids, 4, positions)
+        assert found.tolist() == [first[p[a : a + 4]] for p in pieces for a in range(len(p) - 3)]
 
 
 def brute_passages(rows, n=50):
@@ -76,7 +79,7 @@ def line_in_other_surroundings(n):
 
 def test_contexts_of_a_crowded_anchor_are_dealt_by_window():
     rows = line_in_other_surroundings(300)
-    chunk = suffix_dedup.Chunk(None, [d for d, _ in rows], [t for _, t in rows], {})
+    chunk = suffix_dedup.Chunk(None, [d for d, _ in rows], [t for _, t in rows])
     _, _, prints, doc = chunk.runs()
     every = np.unique(suffix_dedup.brief(prints, 1))
     anchors, counts = np.unique(prints, return_counts=True)
@@ -107,11 +110,26 @@ def test_passages(docs, clashing, empty, labelled):
     assert Counter(tuple(r) for r in suffix_dedup.repeated_passages(labelled).collect()) == brute_passages(as_bytes(labelled))
 
 
+def test_many_shards_and_arrays(spark, docs, labelled, monkeypatch):
+    """Row groups of a few documents are shards of their own, with arrays of a few contexts and small buckets."""
+    for name, value in (("GROUP", 4096), ("MERGED", 3000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    for rows in (docs.coalesce(1), labelled.coalesce(2)):
+        again = rows.union(rows.withColumn("doc_id", F.col("doc_id") + 7))  # a third or more are copies
+        for some in (rows, again.coalesce(2)):
+            assert Counter(tuple(r) for r in suffix_dedup.repeated_passages(some, positions=300).collect()) == brute_passages(as_bytes(some))
+
+
+def test_shards_are_dealt_evenly(spark):
+    shards = suffix_dedup.numbered(spark.range(40).select(F.col("id").cast("string").alias("path"), F.lit(0).alias("group")), 40)
+    assert shards.repartition(40, "shard").groupBy(F.spark_partition_id()).count().where("count = 1").count() == 40
+
+
 def test_small_parts_and_blocks_change_nothing(docs):
     """Contexts sent off often, and hashed in short blocks."""
     rows = as_bytes(docs)
     texts, ids = [t for _, t in rows], [d for d, _ in rows]
-    whole = suffix_dedup.Chunk(None, ids, texts, {})
+    whole = suffix_dedup.Chunk(None, ids, texts)
     lengths = whole.stops - whole.starts
     usual = suffix_dedup.anchored(whole.text, np.repeat(whole.stops, lengths))
     block, suffix_dedup.BLOCK = suffix_dedup.BLOCK, 1000
