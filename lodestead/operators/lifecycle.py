@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ TTL_DAYS, GIVE_UP_DAYS, REACTIVATE_DAYS, REENRICH_DAYS = 14, 3, 7, 7
 FOREIGN = ("spanelsko", "spain", "espana", "nemecko", "germany", "deutschland", "rakousko", "austria", "polsko", "poland", "slovensko", "slovakia", "francie", "france", "italie", "italy")
 
 
+#: Buckets in which new listings are numbered.
+BUCKETS = 4096
+
+
 def ago(now: Column, days: int = 0, hours: int = 0) -> Column:
     return now - F.make_dt_interval(F.lit(days), F.lit(hours))
 
@@ -29,16 +35,20 @@ def last_of_batch(batch: DataFrame, arrival: str = "arrival") -> DataFrame:
 def upsert(listings: DataFrame, batch: DataFrame, now: Column, policy: str = "overwrite", first_id: Column | None = None) -> DataFrame:
     """Insert new external ids, overwrite the others but for identity; ``coalesce`` keeps old values where new are null.
 
-    New rows are numbered after the largest id in the order of their external ids. A listing that is seen again is active.
+    New rows are numbered after the largest id without gaps, bucket by bucket of their external ids' hash, so that no task
+    numbers them all. A listing that is seen again is active.
     """
     incoming = [c for c in batch.columns if c not in KEPT]
     new = batch.select("external_id", F.col("source").alias("_source"), F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in incoming])
     joined = listings.join(new, "external_id", "full_outer")
     arrived = F.coalesce("_new", F.lit(False))
-    # Only new rows are numbered; they are few beside the table.
     top = listings.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-    fresh = batch.select("external_id").join(listings.select("external_id"), "external_id", "left_anti")
-    numbered = fresh.withColumn("_at", F.row_number().over(Window.orderBy("external_id"))).join(F.broadcast(top)).select("external_id", (F.col("_top") + F.col("_at")).alias("_id"))
+    bucket = F.pmod(F.xxhash64("external_id"), F.lit(BUCKETS)).cast("int")
+    fresh = batch.select("external_id").join(listings.select("external_id"), "external_id", "left_anti").withColumn("_bucket", bucket)
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
+    starts = fresh.groupBy("_bucket").count().select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    within = fresh.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy("external_id")))
+    numbered = within.join(F.broadcast(starts), "_bucket").join(F.broadcast(top)).select("external_id", (F.col("_top") + F.col("_start") + F.col("_at")).alias("_id"))
     joined = joined.join(numbered, "external_id", "left")
     value = {c: F.when(arrived, F.col(f"_{c}") if policy == "overwrite" else F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in incoming if c in listings.columns}
     value |= {"id": F.coalesce("id", "_id"), "source": F.coalesce("source", "_source"), "created_at": F.coalesce("created_at", now), "is_active": F.when(arrived, F.lit(True)).otherwise(F.col("is_active"))}
@@ -94,14 +104,37 @@ def apply_verdicts(listings: DataFrame, verdicts: DataFrame, now: Column) -> Dat
     }).select(*listings.columns)
 
 
-def verdict(status: Column, location: Column, detail_path: str = "/detail/", body: Column | None = None, phrases: tuple[str, ...] = ()) -> Column:
-    """What an answer says of a listing: gone is dead; a redirect to a detail page is alive, elsewhere dead; a page is alive
-    unless it carries a phrase of removal; anything else is unknown."""
-    removed = F.lit(False)
-    for phrase in phrases:
-        removed = removed | F.coalesce(F.contains(body, F.lit(phrase)), F.lit(False))
-    redirect = F.when(F.contains(F.lower(F.coalesce(location, F.lit(""))), F.lit(detail_path)), "alive").otherwise("dead")
-    return F.when(status.isin(404, 410), "dead").when(status.isin(301, 302), redirect).when(status.between(200, 299), F.when(removed, "dead").otherwise("alive")).otherwise("unknown")
+#: Fixed values by source: where a redirect leads that means the listing lives on, and phrases of a page that was taken down.
+ALIVE_AT = {"sreality": "sreality.cz/detail/", "idnes": "/detail/", "bezrealitky": "/nemovitosti-byty-domy/"}
+TAKEN_DOWN = {"idnes": ("tato nabídka již není", "tato nabidka jiz neni", "inzerát byl ukončen", "inzerat byl ukoncen", "nabídka byla ukončena")}
+LOGIN, RETURN = "login.szn.cz/", "return_url"
+SEARCHES, FRONT = ("/hledani/", "/vyhledavani/"), ("sreality.cz", "sreality.cz/")
+
+
+def verdict(source: Column, status: Column, location: Column, body: Column) -> Column:
+    """What an answer says of a listing, by source: ``alive``, ``dead``, or ``unknown``, which changes nothing.
+
+    Gone is dead, a page is alive unless it carries a phrase of removal. A redirect to a detail page is alive. Elsewhere it
+    is dead for two sources; for one with a sign-on, the address to return to decides, the front page and searches are dead
+    and all others unknown; for sources without rules of their own redirects are unknown. So is all else.
+    """
+    to, text = F.lower(F.coalesce(location, F.lit(""))), F.coalesce(body, F.lit(""))
+    anywhere = lambda c, parts: reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts], F.lit(False))
+    removed = reduce(lambda a, b: a | b, [(source == s) & anywhere(text, phrases) for s, phrases in TAKEN_DOWN.items()])
+    back = F.lower(F.coalesce(F.try_url_decode(F.try_parse_url(location, F.lit("QUERY"), F.lit(RETURN))), F.lit("")))
+    signed_on = F.when(F.try_parse_url(location, F.lit("HOST")).isNull(), "unknown").when(F.contains(back, F.lit(ALIVE_AT["sreality"])), "alive").otherwise("dead")
+    outside = reduce(lambda a, b: a | b, [F.endswith(to, F.lit(x)) for x in FRONT], anywhere(to, SEARCHES))
+    sign_on = F.when(F.contains(to, F.lit(LOGIN)) & F.contains(to, F.lit(RETURN + "=")), signed_on).when(outside, "dead").otherwise("unknown")
+    moved = F.lit("unknown")
+    for name, path in ALIVE_AT.items():
+        moved = F.when(source == name, F.when(F.contains(to, F.lit(path)), "alive").otherwise(sign_on if name == "sreality" else F.lit("dead"))).otherwise(moved)
+    gone, page = status.isin(404, 410), status.between(200, 299)
+    return F.when(gone, "dead").when(status.isin(301, 302), moved).when(page, F.when(F.coalesce(removed, F.lit(False)), "dead").otherwise("alive")).otherwise("unknown")
+
+
+def stamped_checked(listings: DataFrame, ids: DataFrame, now: Column, stamp: str = "last_image_checked_at") -> DataFrame:
+    """A check of these ids was made, whatever it found, so that the queue moves on."""
+    return marked(listings, ids, "_checked", "id").withColumn(stamp, F.when(F.col("_checked"), now).otherwise(F.col(stamp))).select(*listings.columns)
 
 
 def queue(listings: DataFrame, stamp: str, per_source: int, nulls: str = "first") -> DataFrame:

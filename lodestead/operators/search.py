@@ -11,6 +11,7 @@ from ..sources.schemas import EXACT_FILTERS, PROPERTY_TYPES, SORTS, TRANSACTION_
 
 Filters = dict[str, object]
 CORNERS = ("sw_lat", "sw_lng", "ne_lat", "ne_lng")
+RANGES = {"price_min": "price", "price_max": "price", "size_min": "size_m2", "size_max": "size_m2"}
 
 
 def values(csv: str) -> list[str]:

@@ -40,11 +40,18 @@ CANONICAL = "CASE WHEN c_custkey % 3 = 2 THEN 'user' || c_custkey || '@example.o
 WATCHDOGS = (
     ", watchdogs AS (SELECT c_custkey AS id, " + EMAIL + " AS email, " + CANONICAL + """ AS email_canonical,
  CASE WHEN c_custkey % 5 = 0 THEN (['flat','house','land','commercial','garage','cottage','residential_building','other'])[c_custkey % 8 + 1] END AS property_type,
- CASE WHEN c_custkey % 7 <> 0 THEN (['sale','rent','auction'])[c_custkey % 3 + 1] END AS transaction_type, CASE WHEN c_custkey % 41 <> 0 THEN n_name END AS city,
+ CASE WHEN c_custkey % 7 <> 0 THEN (['sale','rent','auction'])[c_custkey % 3 + 1] END AS transaction_type, CASE WHEN c_custkey % 41 <> 0 AND c_custkey % 8 < 5 THEN CASE WHEN c_custkey % 8 = 4 THEN n_name || ',FRANCE,' ELSE n_name END END AS city,
+ CASE WHEN c_custkey % 8 = 5 THEN CASE WHEN c_custkey % 16 = 5 THEN r_name || ',AFRICA' ELSE r_name END END AS region, CASE WHEN c_custkey % 12 = 1 THEN 'low,high' END AS source,
+ CASE WHEN c_custkey % 9 = 2 THEN '2+kk,3+kk' END AS layout, CASE WHEN c_custkey % 14 = 3 THEN 'good,new' END AS condition, CASE WHEN c_custkey % 15 = 4 THEN 'brick' END AS construction,
+ CASE WHEN c_custkey % 16 = 5 THEN 'personal' END AS ownership, CASE WHEN c_custkey % 18 = 6 THEN 'furnished,partially' END AS furnishing, CASE WHEN c_custkey % 20 = 7 THEN 'A,G' END AS energy_rating,
+ CASE WHEN c_custkey % 6 = 3 THEN CASE WHEN c_custkey % 12 = 3 THEN 'balcony, LIFT' ELSE 'lift' END END AS amenities,
+ CASE WHEN c_custkey % 8 = 6 THEN CASE c_custkey % 64 WHEN 6 THEN r_name WHEN 14 THEN ' ' || lower(substr(n_name, 1, 2)) WHEN 22 THEN lower(substr(n_name, 1, 5)) WHEN 30 THEN n_name || ' 3' WHEN 38 THEN '_ra' WHEN 46 THEN 'AFRICA' WHEN 54 THEN substr(n_name, 1, 4) ELSE n_name END WHEN c_custkey % 16 = 7 THEN 'nowhere' END AS location,
+ CASE WHEN c_custkey % 8 = 7 THEN CAST(48.6 AS DOUBLE) + CAST(c_custkey % 20 AS DOUBLE) / CAST(10 AS DOUBLE) END AS sw_lat, CASE WHEN c_custkey % 8 = 7 THEN CAST(12.2 AS DOUBLE) + CAST(c_custkey % 30 AS DOUBLE) / CAST(5 AS DOUBLE) END AS sw_lng,
+ sw_lat + CAST(0.5 AS DOUBLE) AS ne_lat, sw_lng + CASE WHEN c_custkey % 32 = 7 THEN CAST(30 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS ne_lng,
  CASE WHEN c_custkey % 3 <> 0 THEN CAST(5000 + (c_custkey * 31) % 60000 AS DOUBLE) END AS price_min, CASE WHEN c_custkey % 6 <> 1 THEN CAST(30000 + (c_custkey * 31) % 60000 AS DOUBLE) END AS price_max,
  CASE WHEN c_custkey % 2 = 0 THEN CAST(20 + c_custkey % 100 AS DOUBLE) END AS size_min, CASE WHEN c_custkey % 10 = 3 THEN CAST(80 + c_custkey % 100 AS DOUBLE) END AS size_max,
  c_custkey % 9 <> 0 AS active, TIMESTAMP '1996-01-01 00:00:00' AS created_at, CASE WHEN c_custkey % 4 = 1 THEN TIMESTAMP '1998-01-01 00:00:00' END AS last_notified_at
-FROM customer JOIN nation ON c_nationkey = n_nationkey)
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 , notifications AS (SELECT DISTINCT w.email_canonical, coalesce('cluster:' || l.cluster_id, 'singleton:' || l.id) AS cluster_key FROM listings l JOIN watchdogs w ON w.id = l.c)
 """
 )

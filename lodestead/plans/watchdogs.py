@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.keys import canonical_email, looks_like_email
 from ..operators import watchdogs as W
+from ..sources.schemas import EXACT_FILTERS
 from ..sources.adapter import listings, notifications, watchdogs
 from .oracle import LISTINGS, WATCHDOGS
 
 BASE = LISTINGS + WATCHDOGS
-MATCH = """m AS (SELECT w.id AS watchdog_id, w.email_canonical, l.id, coalesce('cluster:' || l.cluster_id, 'singleton:' || l.id) AS cluster_key, l.created_at FROM watchdogs w JOIN listings l ON
- l.is_active AND l.is_canonical AND (w.city IS NULL OR l.city = w.city) AND (w.transaction_type IS NULL OR l.transaction_type = w.transaction_type) AND (w.property_type IS NULL OR l.property_type = w.property_type)
+EXACT = "".join(f" AND (w.{n} IS NULL OR list_contains(string_split(w.{n}, ','), l.{n}))" for n in EXACT_FILTERS)
+MATCH = f"""m AS (SELECT w.id AS watchdog_id, w.email_canonical, l.id, coalesce('cluster:' || l.cluster_id, 'singleton:' || l.id) AS cluster_key, l.created_at FROM watchdogs w JOIN listings l ON
+ l.is_active AND l.is_canonical{EXACT}
  AND (w.price_min IS NULL OR l.price >= w.price_min) AND (w.price_max IS NULL OR l.price <= w.price_max) AND (w.size_min IS NULL OR l.size_m2 >= w.size_min) AND (w.size_max IS NULL OR l.size_m2 <= w.size_max)
+ AND (w.amenities IS NULL OR coalesce(list_bool_and(list_transform(string_split(w.amenities, ','), lambda a: l.amenities ILIKE '%' || trim(a) || '%')), FALSE))
+ AND (w.sw_lat IS NULL OR l.latitude BETWEEN w.sw_lat AND w.ne_lat AND l.longitude BETWEEN w.sw_lng AND w.ne_lng)
+ AND (w.location IS NULL OR w.sw_lat IS NOT NULL OR trim(w.location) IN (l.city, l.district, l.region) OR l.city ILIKE trim(w.location) || '%' OR l.district ILIKE trim(w.location) || '%')
  AND l.created_at > coalesce(w.last_notified_at, w.created_at, TIMESTAMP '1970-01-01') WHERE w.active)"""
 NEW = "n AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM notifications x WHERE x.email_canonical = m.email_canonical AND x.cluster_key = m.cluster_key))"
 
@@ -40,7 +45,7 @@ SUMMARY = f"""coalesce(nullif(concat_ws(' · ', CASE property_type WHEN 'flat' T
  CASE WHEN price_min IS NOT NULL AND price_max IS NOT NULL THEN {low} || '–' || {high} || {MONEY} WHEN price_min IS NOT NULL THEN 'od ' || {low} || {MONEY} WHEN price_max IS NOT NULL THEN 'do ' || {high} || {MONEY} END), ''), 'Všechny nabídky')"""
 NAMES = ["property_type", "transaction_type", "city", "price_min", "price_max", "size_min", "size_max"]
 INT = "CAST(CAST({0} AS BIGINT) AS VARCHAR)"
-QUERY = "concat_ws('&', " + ", ".join(f"'{n}=' || {n if n in NAMES[:3] else INT.format(n)}" for n in NAMES) + ")"
+QUERY = "concat_ws('&', " + ", ".join(f"'{n}=' || {'replace({}, chr(44), chr(37) || chr(50) || chr(67))'.format(n) if n in NAMES[:3] else INT.format(n)}" for n in NAMES) + ")"
 
 
 def summary():

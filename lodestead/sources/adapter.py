@@ -71,17 +71,32 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pick_place(c: Column) -> Column:
+    """Places as people type them: a region, a short or a longer beginning of a nation, a district, a pattern."""
+    n = F.col("n_name")
+    return F.when(c % 64 == 6, F.col("r_name")).when(c % 64 == 14, F.concat(F.lit(" "), F.lower(F.substring(n, 1, 2)))).when(c % 64 == 22, F.lower(F.substring(n, 1, 5))).when(c % 64 == 30, F.concat(n, F.lit(" 3"))).when(c % 64 == 38, "_ra").when(c % 64 == 46, "AFRICA").when(c % 64 == 54, F.substring(n, 1, 4)).otherwise(n)
+
+
 def watchdogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored search per customer."""
-    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     c = F.col("c_custkey")
     email = F.concat(F.when(c % 3 == 0, "U.ser").otherwise("user"), c.cast("string"), F.when(c % 4 == 0, "+tag").otherwise(""), F.lit("@"), pick(["gmail.com", "googlemail.com", "Example.org"], c))
     low, area = 5000 + (c * 31) % 60000, 20 + c % 100
+    south, west, boxed = F.lit(48.6) + (c % 20) / F.lit(10.0), F.lit(12.2) + (c % 30) / F.lit(5.0), c % 8 == 7
     opt = lambda keep, x: F.when(keep, x)
     return rows.select(
         c.alias("id"), email.alias("email"), F.struct(
             opt(c % 5 == 0, pick(PROPERTY, c)).alias("property_type"), opt(c % 7 != 0, pick(["sale", "rent", "auction"], c)).alias("transaction_type"),
-            opt(c % 41 != 0, F.col("n_name")).alias("city"), opt(c % 3 != 0, low.cast("double")).alias("price_min"), opt(c % 6 != 1, (low + 25000).cast("double")).alias("price_max"),
+            opt((c % 41 != 0) & (c % 8 < 5), F.when(c % 8 == 4, F.concat("n_name", F.lit(",FRANCE,"))).otherwise(F.col("n_name"))).alias("city"),
+            opt(c % 8 == 5, F.when(c % 16 == 5, F.concat("r_name", F.lit(",AFRICA"))).otherwise(F.col("r_name"))).alias("region"), opt(c % 12 == 1, F.lit("low,high")).alias("source"),
+            opt(c % 9 == 2, F.lit("2+kk,3+kk")).alias("layout"), opt(c % 14 == 3, F.lit("good,new")).alias("condition"), opt(c % 15 == 4, F.lit("brick")).alias("construction"),
+            opt(c % 16 == 5, F.lit("personal")).alias("ownership"), opt(c % 18 == 6, F.lit("furnished,partially")).alias("furnishing"), opt(c % 20 == 7, F.lit("A,G")).alias("energy_rating"),
+            opt(c % 6 == 3, F.when(c % 12 == 3, "balcony, LIFT").otherwise("lift")).alias("amenities"),
+            F.when(c % 8 == 6, pick_place(c)).when(c % 16 == 7, F.lit("nowhere")).alias("location"),
+            opt(boxed, south).alias("sw_lat"), opt(boxed, west).alias("sw_lng"), opt(boxed, south + 0.5).alias("ne_lat"), opt(boxed, west + F.when(c % 32 == 7, 30.0).otherwise(1.0)).alias("ne_lng"),
+            opt(c % 3 != 0, low.cast("double")).alias("price_min"), opt(c % 6 != 1, (low + 25000).cast("double")).alias("price_max"),
             opt(c % 2 == 0, area.cast("double")).alias("size_min"), opt(c % 10 == 3, (area + 60).cast("double")).alias("size_max")).alias("filters"),
         (c % 9 != 0).alias("active"), F.lit("1996-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
         opt(c % 4 == 1, F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")).alias("last_notified_at"),

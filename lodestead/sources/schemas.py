@@ -12,7 +12,9 @@ deactivated_at timestamp_ntz, deactivation_reason string, is_active boolean, is_
 seller_name string, seller_phone string, seller_email string, seller_company string, additional_params map<string,string>"""
 
 WATCHDOG = """id bigint, email string, email_canonical string, filters struct<property_type:string,transaction_type:string,
-city:string,price_min:double,price_max:double,size_min:double,size_max:double>, label string, active boolean,
+city:string,region:string,source:string,layout:string,condition:string,construction:string,ownership:string,furnishing:string,
+energy_rating:string,amenities:string,location:string,price_min:double,price_max:double,size_min:double,size_max:double,
+sw_lat:double,sw_lng:double,ne_lat:double,ne_lng:double>, label string, active boolean,
 created_at timestamp_ntz, last_notified_at timestamp_ntz, deleted_at timestamp_ntz"""
 
 NOTIFICATION = "email_canonical string, cluster_key string, sent_at timestamp_ntz"
@@ -25,3 +27,6 @@ TRANSACTION_TYPES = ("rent", "sale", "auction", "flatshare")
 SORTS = ("newest", "price_asc", "price_desc", "size_asc", "size_desc")
 CONDITIONS = ("new", "very_good", "good", "after_reconstruction", "before_reconstruction", "under_construction", "project", "poor", "demolition")
 EXACT_FILTERS = ("property_type", "transaction_type", "city", "region", "source", "layout", "condition", "construction", "ownership", "furnishing", "energy_rating")
+#: Bounds of the numbers in a stored search.
+MOST = float("inf")
+BOUNDS = {"price_min": (0.0, MOST), "price_max": (0.0, MOST), "size_min": (0.0, MOST), "size_max": (0.0, MOST), "sw_lat": (-90.0, 90.0), "sw_lng": (-180.0, 180.0), "ne_lat": (-90.0, 90.0), "ne_lng": (-180.0, 180.0)}
