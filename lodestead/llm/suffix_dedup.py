@@ -192,7 +192,7 @@ def least_ids(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, length: in
     """Smallest id of the class of each window of pieces, windows in piece order; pieces may repeat.
 
     Pieces are cut into shards of bounded size with an array each. The sorted windows of the shards are merged by binary
-    search, two and two, and each shard looks its classes up in what comes out.
+    search, two and two; where each shard's windows come to stand is kept on the way.
     """
     stops = np.cumsum(lengths)
     cuts, at = [0], 0
@@ -204,20 +204,22 @@ def least_ids(text: np.ndarray, lengths: np.ndarray, ids: np.ndarray, length: in
         begin, end = stops[a] - lengths[a], stops[b - 1]
         windows, classes, least = window_classes(text[begin:end], lengths[a:b], ids[a:b], length)
         heads = windows[np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))] + begin if len(windows) else windows
-        shards.append((windows + begin, classes, np.ndarray((len(text) - length + 1,), f"S{length}", text, strides=(1,))[heads] if len(heads) else np.zeros(0, f"S{length}"), least))
-    level = [(words, least) for _, _, words, least in shards]
+        words = np.ndarray((len(text) - length + 1,), f"S{length}", text, strides=(1,))[heads] if len(heads) else np.zeros(0, f"S{length}")
+        shards.append((windows + begin, classes, words, least))
+    level = [(words, least, [(k, np.arange(len(words)))]) for k, (_, _, words, least) in enumerate(shards)]
     while len(level) > 1:
         level = [joined(*level[k : k + 2]) for k in range(0, len(level), 2)]
     out = np.full(len(text), LAST)
-    for windows, classes, words, _ in shards:
-        if len(words):
-            out[windows] = level[0][1][np.searchsorted(level[0][0], words)][classes]
+    for _, least, places in level:
+        for k, place in places:
+            windows, classes, _, _ = shards[k]
+            out[windows] = least[place][classes]
     return out[ragged(stops - lengths, np.maximum(lengths - length + 1, 0))]
 
 
-def joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted lists of distinct windows and their smallest ids as one."""
-    if b is None or not len(b[0]):
+def joined(a: tuple, b: tuple | None = None) -> tuple:
+    """Two sorted lists of distinct windows, their smallest ids and the places of the shards' windows in them, as one."""
+    if b is None:
         return a
     if len(a[0]) < len(b[0]):
         a, b = b, a
@@ -226,7 +228,12 @@ def joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] |
     same[same] = a[0][place[same]] == b[0][same]
     least = a[1].copy()
     least[place[same]] = np.minimum(least[place[same]], b[1][same])
-    return np.insert(a[0], place[~same], b[0][~same]), np.insert(least, place[~same], b[1][~same])
+    new = place[~same]
+    of_a = np.arange(len(a[0])) + np.cumsum(np.bincount(new, minlength=len(a[0]) + 1))[: len(a[0])]
+    of_b = np.empty(len(place), np.int64)
+    of_b[same], of_b[~same] = of_a[place[same]], new + np.arange(len(new))
+    words, least = np.insert(a[0], new, b[0][~same]), np.insert(least, new, b[1][~same])
+    return words, least, [*((k, of_a[x]) for k, x in a[2]), *((k, of_b[x]) for k, x in b[2])]
 
 
 # -- anchors -------------------------------------------------------------------------------------------------------------
