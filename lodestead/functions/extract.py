@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 SPACES = r"[\s\u00A0]"
 
@@ -133,20 +129,18 @@ def mined(description: Column, field: str, ascii_only: bool = False) -> Column:
 #: Words for area, and the plausible sizes.
 AREA_WORDS = ("plocha", "ploch", "výměr", "vymer", "rozloh", "velikost")
 SMALLEST, LARGEST, BEFORE = 10, 2000, 40
-_SIZE = re.compile(r"(\d{2,4})\s*m(?:[²2])?(?=\b|[\s,.]|$)", re.IGNORECASE)
+SIZE = r"(\d{2,4})[\s\x{A0}]*m(?:[²2])?(?=\b|[\s\x{A0},.]|$)"
 
 
-def keyword_size_of(title: str | None) -> float | None:
+def keyword_size(title: Column) -> Column:
     """The size after a word for area at most 40 characters back, else the first plausible one."""
-    text = (title or "").lower()
-    found = [(float(m[1]), m.start()) for m in _SIZE.finditer(text) if SMALLEST <= int(m[1]) <= LARGEST]
-    near = [x for x, at in found if any(w in text[max(0, at - BEFORE) : at] for w in AREA_WORDS)]
-    return (near or [x for x, _ in found] or [None])[0]
-
-
-@F.pandas_udf(DoubleType())
-def keyword_size(titles: pd.Series) -> pd.Series:
-    return titles.map(keyword_size_of, na_action=None).astype("float64")
+    text = F.lower(F.coalesce(title, F.lit("")))
+    sizes = F.regexp_extract_all(text, F.lit(SIZE), 1)
+    pieces = F.split(F.regexp_replace(text, SIZE, "\u0001$0"), "\u0001")  # each but the first begins with a size
+    told = lambda k: F.right(F.array_join(F.slice(pieces, 1, k + 1), ""), F.lit(BEFORE)).rlike("|".join(AREA_WORDS))
+    found = F.transform(sizes, lambda x, k: F.struct(x.cast("double").alias("size"), told(k).alias("told")))
+    fits = F.filter(found, lambda p: p.getField("size").between(SMALLEST, LARGEST))
+    return F.coalesce(F.get(F.filter(fits, lambda p: p.getField("told")), F.lit(0)).getField("size"), F.get(fits, F.lit(0)).getField("size"))
 
 
 def json_ld(html: Column) -> Column:

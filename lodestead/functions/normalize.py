@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values: (pattern, word) in order; case does not matter.
@@ -28,8 +30,13 @@ AMENITIES = {
 }
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]++$", "")
+
+
 def first_match(raw: Column, rules: list[tuple[str, str]]) -> Column:
-    text, found = F.trim(raw), None
+    text, found = trimmed(raw), None
     for pattern, word in rules:
         test = text.rlike(f"(?iu){pattern}")
         found = F.when(test, word) if found is None else found.when(test, word)
@@ -50,7 +57,7 @@ def ownership(raw: Column) -> Column:
 
 def energy(raw: Column) -> Column:
     """Class letter: after the word for class, as the head of a code, alone, or anywhere on its own."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     tries = [r"(?iu)T[řr][íi]da\s+([A-G])", r"(?i)^([A-G])[_\s-]", r"(?i)^([A-G])$", r"(?i)(?<![A-Za-z0-9_])([A-G])(?![A-Za-z0-9_])"]
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(text, t, 1), F.lit("")) for t in tries]))
 
@@ -61,30 +68,34 @@ def energy_first_letter(raw: Column) -> Column:
 
 def furnishing(raw: Column) -> Column:
     """The rules, then a list of furniture: four items or more furnish, fewer do partially."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     items = F.size(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
     listed = text.contains(",") | text.contains("linka") | text.contains("Led")
     return F.coalesce(first_match(raw, FURNISHING), F.when(listed & (items >= 4), "furnished").when(listed & (items >= 1), "partially"))
 
 
 def layout(raw: Column) -> Column:
-    text = F.nullif(F.lower(F.trim(raw)), F.lit(""))
+    text = F.nullif(F.lower(trimmed(raw)), F.lit(""))
     return F.when(text.rlike("(?iu)garsoni[eé]|garsonka"), "1+kk").when(text.rlike("(?iu)atypick[ýy]|^jin[ýy]$"), "atypicky").otherwise(F.coalesce(F.nullif(F.regexp_extract(text, r"(\d+\+(?:kk|\d))", 1), F.lit("")), text))
 
 
 def amenity_items(raw: Column) -> Column:
     """Items of a JSON array or a comma-separated list."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     return F.when(text.startswith("["), F.coalesce(F.from_json(text, "array<string>"), F.array(text))).otherwise(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def amenity(item: Column) -> Column:
-    """The English key: exact words first, then contained ones in the order of the table."""
+    """The English key: exact words first, then contained ones in the order of the table.
+
+    Contained words are looked for only where no whole one is known.
+    """
     text = F.lower(F.trim(F.regexp_replace(item, r"(?i)\s*\d+[\s,.]*m[²2]?\s*$", "")))
     table = F.create_map(*[F.lit(x) for pair in AMENITIES.items() for x in pair])
-    contained = [F.when(F.contains(text, F.lit(word)), key) for word, key in AMENITIES.items()]
     known = F.when(text.isin(*sorted(set(AMENITIES.values()))), text)
-    return F.when(text != "", F.coalesce(F.try_element_at(table, text), *contained, known))
+    words = F.array(*map(F.lit, AMENITIES))
+    contained = F.try_element_at(table, F.get(F.filter(words, lambda w: F.contains(text, w)), F.lit(0)))
+    return F.when(text != "", F.coalesce(F.try_element_at(table, text), contained, known))
 
 
 def amenities(raw: Column) -> Column:
@@ -93,7 +104,13 @@ def amenities(raw: Column) -> Column:
     return F.when(F.size(keys) > 0, F.to_json(keys))
 
 
+def by_value(rows: DataFrame, column: str, name: str, rule: Callable[[Column], Column]) -> DataFrame:
+    """``rule`` of a column whose values repeat, worked out once for each value."""
+    values = rows.select(column).distinct().where(F.col(column).isNotNull())
+    return rows.join(values.withColumn(name, rule(F.col(column))), column, "left")
+
+
 def amenities_read(raw: Column) -> Column:
     """Read side: JSON where it parses, else comma-separated."""
-    text = F.trim(raw)
+    text = trimmed(raw)
     return F.coalesce(F.when(text.startswith("["), F.from_json(text, "array<string>")), F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))

@@ -74,13 +74,26 @@ def last_index(text: Column, what: str) -> Column:
     return F.when(back > 0, F.length(text) - back - len(what) + 1).otherwise(-1)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def snippet(description: Column, title: Column, instead: str) -> Column:
-    """At most 155 characters, cut at the last sentence end after 80, else the last space after 80, else where they end."""
-    flat = F.regexp_replace(F.trim(F.coalesce(F.nullif(description, F.lit("")), title, F.lit(""))), r"\s+", " ")
-    cut = F.substring(flat, 1, SNIPPET)
-    stop, space = F.greatest(*[last_index(cut, x) for x in (". ", "! ", "? ")]), last_index(cut, " ")
-    left = lambda n: F.substr(cut, F.lit(1), n)
-    return F.when(flat == "", instead).when(F.length(flat) <= SNIPPET, flat).when(stop > SHORTEST, left(stop + 1)).when(space > SHORTEST, F.concat(left(space), F.lit("…"))).otherwise(F.concat(cut, F.lit("…")))
+    """At most 155 characters, cut at the last sentence end after 80, else the last space after 80, else where they end.
+
+    Only as much of the text is looked at as can be shown: its first visible characters with the space between them.
+    """
+    text = F.coalesce(F.nullif(description, F.lit("")), title, F.lit(""))
+    head = F.regexp_extract(text, rf"^\s*+((?:\S\s*+){{0,{SNIPPET + 1}}})", 1)
+
+    def shown(flat: Column) -> Column:
+        cut = F.substring(flat, 1, SNIPPET)
+        stop, space = F.greatest(*[last_index(cut, x) for x in (". ", "! ", "? ")]), last_index(cut, " ")
+        left = lambda n: F.substr(cut, F.lit(1), n)
+        return F.when(flat == "", instead).when(F.length(flat) <= SNIPPET, flat).when(stop > SHORTEST, left(stop + 1)).when(space > SHORTEST, F.concat(left(space), F.lit("…"))).otherwise(F.concat(cut, F.lit("…")))
+
+    return once(F.rtrim(F.regexp_replace(head, r"\s+", " ")), shown)
 
 
 def composed(*parts: Column) -> Column:
@@ -131,5 +144,21 @@ def unescaped(text: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, F.regexp_replace(text, "<[^>]*>", ""))
 
 
+#: Detail pages of sources whose address is made from the listing.
+DEAL_WORDS = {"sale": "prodej", "rent": "pronajem", "auction": "drazby"}
+KIND_WORDS = {"flat": "byt", "house": "dum", "land": "pozemek", "commercial": "komercni", "other": "ostatni", "garage": "garaz"}
+
+
+def portal_url(rows_source: Column, external_id: Column, source_url: Column, deal: Column, kind: Column, layout: Column) -> Column:
+    """Where a listing stands at its source: made from its id without the source's prefix for three sources, else as stored."""
+    word = lambda table, c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c), c)
+    bare = lambda source: F.nullif(F.replace(F.coalesce(external_id, F.lit("")), F.lit(source + "_"), F.lit("")), F.lit(""))
+    slug = F.when((kind == "flat") & (F.coalesce(layout, F.lit("")) != ""), layout).otherwise("x")
+    first = F.concat(F.lit("https://www.sreality.cz/detail/"), word(DEAL_WORDS, deal), F.lit("/"), word(KIND_WORDS, kind), F.lit("/"), slug, F.lit("/x/"), bare("sreality"))
+    third = F.when(F.contains(source_url, F.lit("/nemovitosti-byty-domy/")), source_url).otherwise(F.concat(F.lit("https://www.bezrealitky.cz/nemovitosti-byty-domy/"), bare("bezrealitky")))
+    second = F.concat(F.lit("https://www.ulovdomov.cz/inzerat/x/"), bare("ulovdomov"))
+    return F.when(rows_source == "sreality", first).when(rows_source == "ulovdomov", second).when(rows_source == "bezrealitky", third).otherwise(F.nullif(source_url, F.lit("")))
+
+
 def absolute(url: Column, base: str) -> Column:
     return F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url)

@@ -107,9 +107,15 @@ def largest_would_be(listings: DataFrame, n: int = 15) -> DataFrame:
 
 
 def hash_peers(listings: DataFrame) -> DataFrame:
-    same = Window.partitionBy("match_hash")
+    """Per listing, how many share its hash and the oldest of them; counted first, so a common hash is not one task's."""
     rows = listings.where(F.col("is_active")).select("id", match_hash().alias("match_hash")).where("match_hash IS NOT NULL")
-    return rows.select("id", F.count("*").over(same).alias("peers"), F.min("id").over(same).alias("oldest"))
+    peers = rows.groupBy("match_hash").agg(F.count("*").alias("peers"), F.min("id").alias("oldest"))
+    return rows.join(peers, "match_hash").select("id", "peers", "oldest")
+
+
+def joined_existing(found: DataFrame) -> DataFrame:
+    """Of an incremental pass: rows clustered, their clusters, and rows that joined a cluster there was."""
+    return found.agg(F.count("*").alias("clustered"), F.count_distinct("cluster_id").alias("clusters"), F.count_if("existing_cluster").alias("joined_existing"))
 
 
 def existing_cluster_probe(listings: DataFrame) -> DataFrame:
@@ -133,6 +139,12 @@ def siblings(listings: DataFrame) -> DataFrame:
     return best.select("listing_id", "id", "source", "price", F.row_number().over(cheapest).alias("position"))
 
 
+def canonical_first(listings: DataFrame) -> DataFrame:
+    """Members of each cluster in the order in which links to them are shown: canonical ones, then the rest, cheapest first."""
+    order = Window.partitionBy("cluster_id").orderBy(F.col("is_canonical").desc(), F.col("price").asc_nulls_last(), F.col("id"))
+    return active_clusters(listings).withColumn("position", F.row_number().over(order)).select("cluster_id", "id", "position")
+
+
 def newest_per_source(listings: DataFrame) -> DataFrame:
     w = Window.partitionBy("cluster_id", "source").orderBy(F.col("scraped_at").desc_nulls_last(), F.col("id"))
     return active_clusters(listings).withColumn("k", F.row_number().over(w)).where("k = 1").select("cluster_id", "source", "id", "price")

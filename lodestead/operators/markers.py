@@ -46,8 +46,8 @@ def level(listings: DataFrame, precision: int, exact: bool = False) -> DataFrame
 
 
 def levels(listings: DataFrame) -> DataFrame:
-    """All four levels in one table, each from the one below; the finest is kept for reuse, sized by cells, not listings."""
-    current, out = finest(listings).persist(), []
+    """All four levels in one table, each from the one below; the finest is one shuffle, which all levels reuse."""
+    current, out = finest(listings), []
     for p in range(FINEST, -1, -1):
         current = current if p == FINEST else rolled(current, p)
         out.append(current.select(F.lit(p).alias("precision"), "lat", "lng", "cnt", F.round("avg_price", 4).alias("avg_price"), "min_id"))
@@ -76,8 +76,9 @@ def members_grid(listings: DataFrame, zoom: int, shown: int = 5) -> DataFrame:
 
     precision = max(1, min(5, zoom - 4))
     rows = located(listings).select("id", F.bround(F.col("latitude").cast("decimal(18,12)"), precision).cast("double").alias("lat"), F.bround(F.col("longitude").cast("decimal(18,12)"), precision).cast("double").alias("lng"))
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lat", "lng").orderBy("id")))
-    return ranked.groupBy("lat", "lng").agg(F.count("*").alias("cnt"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.col("id")))), lambda x: x.cast("string")), ",").alias("ids"))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lat", "lng").orderBy("id"))).where(F.col("k") <= shown)
+    members = first.groupBy("lat", "lng").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return rows.groupBy("lat", "lng").agg(F.count("*").alias("cnt")).join(members, ["lat", "lng"])
 
 
 def individual(listings: DataFrame, box: tuple[float, float, float, float], most: int = 5000) -> DataFrame:

@@ -47,6 +47,9 @@ SELECT id, h AS cluster_id, (NOT existing AND id = first) AS is_canonical, exist
     "dedup_recent_cross_source": (over(D.recent_cross_source), f"{LISTINGS} SELECT cluster_id, max(id) AS newest, count(DISTINCT source) AS sources {ACTIVE} GROUP BY cluster_id HAVING count(DISTINCT source) >= 2 ORDER BY newest DESC LIMIT 3"),
     "dedup_hash_peers_window": (over(D.hash_peers), f"{LISTINGS} SELECT id, count(*) OVER (PARTITION BY match_hash) AS peers, min(id) OVER (PARTITION BY match_hash) AS oldest FROM listings WHERE is_active AND match_hash IS NOT NULL"),
     "dedup_exists_probe": (over(D.existing_cluster_probe), f"{LISTINGS} SELECT id FROM listings a WHERE is_active AND cluster_id IS NULL AND EXISTS (SELECT 1 FROM listings b WHERE b.is_active AND b.cluster_id IS NOT NULL AND coalesce(b.match_hash, b.match_hash_no_price) = coalesce(a.match_hash, a.match_hash_no_price))"),
+    "dedup_joined_existing": (lambda spark, sf: D.joined_existing(D.incremental(listings(spark, sf))), f"""{LISTINGS}, g AS (SELECT {EFFECTIVE} AS h, bool_or(cluster_id IS NOT NULL) AS existing, count(*) FILTER (WHERE cluster_id IS NULL) AS n FROM listings WHERE is_active AND {EFFECTIVE} IS NOT NULL GROUP BY 1)
+SELECT coalesce(sum(n), 0)::BIGINT AS clustered, count(*) AS clusters, coalesce(sum(n) FILTER (WHERE existing), 0)::BIGINT AS joined_existing FROM g WHERE n > 0 AND (existing OR n >= 2)"""),
+    "cluster_canonical_first": (over(D.canonical_first), f"{LISTINGS} SELECT cluster_id, id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY is_canonical DESC, price ASC NULLS LAST, id) AS INTEGER) AS position {ACTIVE}"),
     "cluster_siblings": (over(D.siblings), f"""{LISTINGS}, p AS (SELECT a.id AS listing_id, b.id, b.source, b.price, row_number() OVER (PARTITION BY a.id, b.source ORDER BY b.scraped_at DESC NULLS LAST, b.id) AS k FROM listings a JOIN listings b ON a.cluster_id = b.cluster_id AND a.id <> b.id WHERE a.is_active AND b.is_active)
 SELECT listing_id, id, source, price, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY price ASC NULLS LAST, id) AS INTEGER) AS position FROM p WHERE k = 1"""),
     "cluster_cheapest_per_source": (over(D.newest_per_source), f"{LISTINGS} SELECT cluster_id, source, id, price FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, source ORDER BY scraped_at DESC NULLS LAST, id) AS k {ACTIVE}) WHERE k = 1"),

@@ -21,16 +21,27 @@ def titles(spark, sf):
     return M.by_title(cards, offers)
 
 
+def shared_folder(spark) -> str:
+    """The folder all executors share; a temporary one only where driver and executors are one machine."""
+    import tempfile
+
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="lodestead-")
+
+
 def streamed(spark, sf):
     """The scan of ``lifecycle_upsert`` landed as files and taken in by the stream."""
     import uuid
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lodestead") + f"/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
     rows = listings(spark, sf)
     rows.write.parquet(ingest.snapshot(folder + "/state", 0))
     batch = last_of_batch(incoming(spark, sf)).select(*rows.columns)
-    batch.coalesce(1).write.parquet(folder + "/landing")
-    query = ingest.start(spark, folder + "/landing", folder + "/state", folder + "/progress", now(), rows.schema)
+    batch.write.parquet(folder + "/landing")
+    query = ingest.start(spark, folder + "/landing", folder + "/state", folder + "/progress", now(), rows.schema, None)
     query.awaitTermination()
     if query.exception():
         raise query.exception()

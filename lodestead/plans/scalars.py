@@ -65,14 +65,17 @@ def mined(spark, sf):
     return rows.select("id", *[E.mined(F.col("d"), f).alias(f) for f in ("energy_rating", "ownership", "construction", "condition", "furnishing", "floor", "total_floors")])
 
 
-HTML = '<html><script type="application/ld+json">{"name":"x","offers":{"price":"123"}}</script><div data-gps-lat="50.1" data-gps-lng="14.4"></div><script>foto_done(1,\'/a.jpg\');foto_done(2,\'/b.jpg\');foto_done(3,\'/a.jpg\')</script><dl><dt>Plocha užitná:</dt><dd> 54 <b>m2</b></dd><dt>Stav</dt><dd>Dobrý</dd></dl><p>1 234 nabídek</p></html>'
-
-
 def page_facts(spark, sf):
-    """Embedded data of a page, put beside every page's own host."""
-    html = F.lit(HTML)
-    d, g, t = E.definitions(html), E.gps(html), E.total_count(html, 20)
-    return pages(spark, sf).select("page_id", F.get_json_object(F.get(E.json_ld(html), F.lit(0)), "$.offers.price").alias("price"), g["latitude"].alias("latitude"), g["longitude"].alias("longitude"), F.array_join(E.gallery(html), ",").alias("photos"), F.try_element_at(d, F.lit("Plocha užitná")).alias("area"), t["total"].alias("total"), t["pages"].alias("pages"))
+    """Every page with embedded data made from its id behind its own markup: what the extractors find in the whole."""
+    i = F.col("page_id").cast("string")
+    made = [
+        '<script type="application/ld+json">{"name":"x","offers":{"price":"', i, '"}}</script><div data-gps-lat="50.', i, '" data-gps-lng="14.', i, "\"></div><script>foto_done(1,'/a", i,
+        ".jpg');foto_done(2,'/b.jpg');foto_done(3,'/a", i, ".jpg')</script><dl><dt>Plocha užitná:</dt><dd> ", i, " <b>m2</b></dd><dt>Stav</dt><dd>Dobrý</dd></dl><p>1 ", F.lpad(i, 6, "0"), " nabídek</p>",
+    ]
+    html = F.concat("html", *[F.lit(x) if isinstance(x, str) else x for x in made])
+    rows = pages(spark, sf).select("page_id", html.alias("html"))
+    d, g, t = E.definitions(F.col("html")), E.gps(F.col("html")), E.total_count(F.col("html"), 20)
+    return rows.select("page_id", F.get_json_object(F.get(E.json_ld(F.col("html")), F.lit(0)), "$.offers.price").alias("price"), g["latitude"].alias("latitude"), g["longitude"].alias("longitude"), F.array_join(E.gallery(F.col("html")), ",").alias("photos"), F.try_element_at(d, F.lit("Plocha užitná")).alias("area"), t["total"].alias("total"), t["pages"].alias("pages"))
 
 
 def tokens(spark, sf):
@@ -100,7 +103,7 @@ QUERIES = {
     "normalize_energy": (mapped("energy", word=N.energy, first=N.energy_first_letter), given(6, word=["G", "B", "C", "A", None, "D"], first=["D", "B", "C", "E", None, "D"])),
     "normalize_furnishing": (mapped("furnishing", word=N.furnishing), given(9, word=["partially", "furnished", "unfurnished", "furnished", "unfurnished", "furnished", "partially", None, "furnished"])),
     "normalize_layout": (mapped("layout", word=N.layout), given(7, word=["2+kk", "1+kk", "atypicky", "pokoj", "3+1", "atypicky", "5 a více"])),
-    "normalize_amenities": (mapped("amenities", keys=N.amenities), given(6, keys=['["balcony","terrace"]', '["cellar","lift"]', '["garage","lift"]', None, '["lift","pool"]', '["air_conditioning","barrier_free"]'])),
+    "normalize_amenities": (lambda spark, sf: N.by_value(raw(spark, sf, "amenities"), "raw", "keys", N.amenities).select("id", "keys"), given(6, keys=['["balcony","terrace"]', '["cellar","lift"]', '["garage","lift"]', None, '["lift","pool"]', '["air_conditioning","barrier_free"]'])),
     "read_amenities": (lambda spark, sf: listings(spark, sf).select("id", F.array_join(N.amenities_read(F.col("amenities")), "+").alias("items")), f"{LISTINGS} SELECT id, coalesce(array_to_string(CAST(CAST(amenities AS JSON) AS VARCHAR[]), '+'), '') AS items FROM listings"),
     "extract_title_details": (lambda spark, sf: listings(spark, sf).select("id", E.title_layout(F.col("title")).alias("layout_found"), E.title_size(F.col("title")).alias("size_found")), f"{LISTINGS} SELECT id, layout AS layout_found, CAST(20 + c % 180 AS DOUBLE) AS size_found FROM listings"),
     "extract_sizes": (mapped("sizes", grouped=E.size_grouped, spaced=E.size_spaced, plain=E.size_plain), given(6, grouped=[118.0, 18363.0, 56.0, 84.7, None, 100000.0], spaced=[118.0, 18363.0, 56.0, 7.0, None, 100000.0], plain=[118.0, 363.0, 56.0, 84.7, None, None])),
@@ -111,17 +114,18 @@ QUERIES = {
     "extract_date": (mapped("date", day=E.czech_date), given(4, day=["2024-03-01", "2023-11-12", None, None])),
     "extract_floor": (mapped("floor", floor=lambda c: E.floors(c)["floor"], total=lambda c: E.floors(c)["total_floors"]), given(5, floor=[3, 2, None, 10, -1], total=[8, 5, None, 12, 4])),
     "extract_description": (mined, given(4, energy_rating=[None, "B", "C", None], ownership=["osobní", "družstevní", None, "státní"], construction=["panel", "cihla", None, None], condition=["před rekonstrukcí", "po rekonstrukci", "novostavba", "velmi dobrý"], furnishing=[None, None, "vybavený", "částečně"], floor=[2, 3, None, None], total_floors=[8, None, 12, None])),
-    "extract_page_facts": (page_facts, "SELECT page_id, '123' AS price, CAST(50.1 AS DOUBLE) AS latitude, CAST(14.4 AS DOUBLE) AS longitude, '/a.jpg,/b.jpg' AS photos, '54 m2' AS area, 1234::BIGINT AS total, 62::BIGINT AS pages FROM pages"),
+    "extract_page_facts": (page_facts, "SELECT page_id, CAST(page_id AS VARCHAR) AS price, CAST('50.' || page_id AS DOUBLE) AS latitude, CAST('14.' || page_id AS DOUBLE) AS longitude, '/a' || page_id || '.jpg,/b.jpg' AS photos, page_id || ' m2' AS area, 1000000 + page_id AS total, CAST(ceil((1000000 + page_id) / 20) AS BIGINT) AS pages FROM pages"),
     "extract_pages_host": (lambda spark, sf: pages(spark, sf).select("page_id", E.host(F.col("url")).alias("host"), E.covered(F.col("url"), ["example.org", "ththth.example.com"]).alias("covered")), f"SELECT page_id, {HOST} AS host, ({HOST} = 'example.org' OR {HOST} LIKE '%.example.org' OR {HOST} = 'ththth.example.com' OR {HOST} LIKE '%.ththth.example.com') AS covered FROM pages"),
     "extract_page_title": (lambda spark, sf: pages(spark, sf).select("page_id", X.unescaped(E.part(F.col("html"), "(?is)<title>(.*?)</title>")).alias("title")), "SELECT page_id, replace(replace(replace(replace(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages"),
     "extract_size_keyword": (lambda spark, sf: listings(spark, sf).select("id", E.keyword_size(F.concat(F.lit("Prodej bytu 151 m, užitná plocha "), (20 + F.col("id") % 100).cast("string"), F.lit(" m²"))).alias("size")), f"{LISTINGS} SELECT id, CAST(20 + id % 100 AS DOUBLE) AS size FROM listings"),
     "krovak_to_wgs84": (krovak, None),
     "token_sign_verify": (tokens, f"{LISTINGS} SELECT id, 'watchdog:' || id AS payload, TRUE AS refused FROM listings"),
-    "description_snippet": (lambda spark, sf: documents(spark, sf).select("doc_id", X.snippet(F.regexp_replace(F.col("text"), r"^\s+|\s+$", ""), F.lit(None).cast("string"), "-").alias("snippet")), f"SELECT doc_id, CASE WHEN {FLAT} = '' THEN '-' WHEN length({FLAT}) <= 155 THEN {FLAT} WHEN {STOP} > 80 THEN substr({CUT}, 1, {STOP} + 1) WHEN {SPACE} > 80 THEN substr({CUT}, 1, {SPACE}) || '…' ELSE {CUT} || '…' END AS snippet FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents)"),
+    "description_snippet": (lambda spark, sf: documents(spark, sf).select("doc_id", X.snippet(F.col("text"), F.lit(None).cast("string"), "-").alias("snippet")), f"SELECT doc_id, CASE WHEN {FLAT} = '' THEN '-' WHEN length({FLAT}) <= 155 THEN {FLAT} WHEN {STOP} > 80 THEN substr({CUT}, 1, {STOP} + 1) WHEN {SPACE} > 80 THEN substr({CUT}, 1, {SPACE}) || '…' ELSE {CUT} || '…' END AS snippet FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents)"),
     "layout_expansion": (lambda spark, sf: listings(spark, sf).select("id", F.size(X.expanded_layouts(F.concat_ws(",", F.col("layout"), F.lit("6+")))).alias("n"), F.array_join(X.collapsed_layouts(X.expanded_layouts(F.concat_ws(",", F.when(~F.col("layout").startswith("6"), F.col("layout")), F.lit("6+")))), ",").alias("shown")), f"{LISTINGS} SELECT id, CASE WHEN layout IS NULL THEN 14 ELSE 15 END AS n, '6+' || CASE WHEN layout IS NULL OR layout LIKE '6%' THEN '' ELSE ',' || layout END AS shown FROM listings"),
     "price_format": (lambda spark, sf: listings(spark, sf).select("id", X.price(F.col("price") + 0.5, F.col("transaction_type")).alias("shown")), f"{LISTINGS} SELECT id, CASE WHEN price IS NULL THEN 'Cena na vyžádání' ELSE replace(format('{{:,}}', CAST(floor(price + 1) AS BIGINT)), ',', chr(160)) || chr(160) || CASE WHEN transaction_type = 'rent' THEN 'Kč/měs.' ELSE 'Kč' END END AS shown FROM listings"),
     "title_composition": (lambda spark, sf: listings(spark, sf).select("id", X.composed(F.col("property_type"), F.lit(""), F.col("layout"), F.col("city")).alias("title")), f"{LISTINGS} SELECT id, concat_ws(' ', property_type, layout, city) AS title FROM listings"),
     "source_names": (lambda spark, sf: listings(spark, sf).select("id", X.source_name(F.col("source"), {"low": "LOW!"}).alias("name")), f"{LISTINGS} SELECT id, CASE WHEN source = 'low' THEN 'LOW!' ELSE upper(substr(source, 1, 1)) || substr(source, 2) END AS name FROM listings"),
+    "portal_url": (lambda spark, sf: listings(spark, sf).select("id", X.portal_url(F.get(F.array(*map(F.lit, ["sreality", "ulovdomov", "bezrealitky", "x"])), (F.col("id") % 4).cast("int")), F.concat(F.get(F.array(*map(F.lit, ["sreality_", "ulovdomov_", "bezrealitky_", "x_"])), (F.col("id") % 4).cast("int")), F.col("id").cast("string")), F.when(F.col("id") % 8 == 2, F.concat(F.lit("https://y/nemovitosti-byty-domy/"), F.col("id").cast("string"))).otherwise(F.col("source_url")), F.col("transaction_type"), F.col("property_type"), F.col("layout")).alias("url")), f"{LISTINGS} SELECT id, CASE id % 4 WHEN 0 THEN 'https://www.sreality.cz/detail/' || CASE transaction_type WHEN 'sale' THEN 'prodej' WHEN 'rent' THEN 'pronajem' ELSE 'drazby' END || '/' || CASE property_type WHEN 'flat' THEN 'byt' WHEN 'house' THEN 'dum' WHEN 'land' THEN 'pozemek' WHEN 'commercial' THEN 'komercni' WHEN 'other' THEN 'ostatni' WHEN 'garage' THEN 'garaz' ELSE property_type END || '/' || CASE WHEN property_type = 'flat' THEN coalesce(layout, 'x') ELSE 'x' END || '/x/' || id WHEN 1 THEN 'https://www.ulovdomov.cz/inzerat/x/' || id WHEN 2 THEN CASE WHEN id % 8 = 2 THEN 'https://y/nemovitosti-byty-domy/' || id ELSE 'https://www.bezrealitky.cz/nemovitosti-byty-domy/' || id END ELSE source_url END AS url FROM listings"),
     "surface_class": (lambda spark, sf: listings(spark, sf).select("id", X.surface(F.get(F.array(*map(F.lit, ["/", "/search?x=1", "/listing/5", "/watchdog/manage?token=a", "/about"])), (F.col("id") % 5).cast("int"))).alias("surface"), X.without_token(F.lit("https://e.org/watchdog/manage?token=abc&x=1")).alias("bare")), f"{LISTINGS} SELECT id, (['home', 'search', 'modal_listing', 'manage', 'other'])[id % 5 + 1] AS surface, 'https://e.org/watchdog/manage?x=1' AS bare FROM listings"),
     "relative_age": (lambda spark, sf: listings(spark, sf).select("id", X.age(F.col("created_at"), F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 100000).cast("int"))).alias("age")), f"{LISTINGS}, s AS (SELECT id, (id % 100000) * 60 AS s FROM listings) SELECT id, CASE WHEN s < 3600 THEN s // 60 || ' min' WHEN s < 86400 THEN s // 3600 || ' h' WHEN s < 604800 THEN s // 86400 || ' d' WHEN s < 2592000 THEN s // 604800 || ' w' ELSE s // 2592000 || ' m' END AS age FROM s"),
     "html_escape": (lambda spark, sf: pages(spark, sf).select("page_id", F.md5(X.escaped(F.col("html")).cast("binary")).alias("digest")), "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS digest FROM pages"),

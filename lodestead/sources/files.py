@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import escaped
 from .schemas import LISTING, NOTIFICATION
 
 ESTATES = "_embedded struct<estates:array<struct<hash_id:bigint,name:string,price:double,locality:string,gps:struct<lat:double,lon:double>>>>, result_size bigint"
@@ -56,11 +57,34 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEATURE).json(path).select("properties.*", F.get("geometry.coordinates", F.lit(1)).alias("latitude"), F.get("geometry.coordinates", F.lit(0)).alias("longitude"))
 
 
-def write_snapshot(df: DataFrame, path: str, *by: str) -> None:
-    """A new snapshot beside the old one; readers switch when it is complete. Sorted by place, so that row groups prune."""
+def write_snapshot(df: DataFrame, path: str, *by: str) -> str:
+    """A new snapshot beside the old ones, named by its number; readers take the last one that is complete.
+
+    Sorted by place, so that row groups prune. A task that fails leaves a folder without the mark of completion, which
+    ``snapshot`` passes over.
+    """
     places = [c for c in ("latitude", "longitude") if c in df.columns]
     out = df.sortWithinPartitions(*places) if places else df
-    out.write.mode("overwrite").partitionBy(*by).parquet(path)
+    numbers = [int(name) for name, _ in _snapshots(df.sparkSession, path)]
+    target = f"{path}/{max(numbers, default=0) + 1:08d}"
+    out.write.partitionBy(*by).parquet(target)
+    return target
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(name, complete) of the snapshots below a path, by the session's own file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(folder) if x.isDirectory()]
+    return sorted((n, fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))) for n in names if n.isdigit())
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete snapshot."""
+    return spark.read.parquet(f"{path}/{[name for name, complete in _snapshots(spark, path) if complete][-1]}")
 
 
 def append_missing(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> None:
@@ -85,7 +109,10 @@ def sitemap_rows(listings: DataFrame, base: str, most: int = 50_000) -> DataFram
 
 
 def write_sitemap(listings: DataFrame, base: str, path: str) -> None:
-    sitemap_rows(listings, base).select(F.format_string("<url><loc>%s</loc><lastmod>%s</lastmod></url>", "loc", "lastmod")).write.mode("overwrite").text(path)
+    """One document: rows by id within the envelope of a sitemap, addresses escaped."""
+    rows = sitemap_rows(listings, base).select(F.monotonically_increasing_id().alias("at"), F.format_string("<url><loc>%s</loc><lastmod>%s</lastmod></url>", escaped(F.col("loc")), "lastmod").alias("value"))
+    ends = listings.sparkSession.createDataFrame([(-1, '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), ((1 << 62), "</urlset>")], "at long, value string")
+    rows.union(ends).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)  # at most 50,000 rows
 
 
 def last_runs(runs: DataFrame) -> DataFrame:

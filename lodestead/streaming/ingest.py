@@ -20,14 +20,18 @@ def snapshot(folder: str, version: int) -> str:
     return f"{folder}/v{version}"
 
 
-def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, now: Column, schema: str = LISTING) -> StreamingQuery:
-    """Process what has landed and stop; versions are numbered by batch, so a batch that is tried again overwrites its own."""
+def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, now: Column, schema: str = LISTING, files: int | None = 1) -> StreamingQuery:
+    """Process what has landed and stop; versions are numbered by batch, so a batch that is tried again overwrites its own.
+
+    A batch takes so many landed files, or all there are (None).
+    """
 
     def cycle(batch: DataFrame, number: int) -> None:
         old = batch.sparkSession.read.parquet(snapshot(folder, number))
         apply(old, batch, now).write.mode("overwrite").parquet(snapshot(folder, number + 1))
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(landing)
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

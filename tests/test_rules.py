@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestead.functions import extract, special, text
+from lodestead.functions import extract, normalize, special, text
 from lodestead.functions.keys import canonical_email, cluster_key, fixed
 from lodestead.operators import dedup, lifecycle, markers, matching, search, watchdogs
 from lodestead.sources import files
@@ -26,12 +26,9 @@ def test_fixed_rounds_half_away_from_zero(spark):
     assert [str(x) for x in values(spark, lambda c: fixed(c, 2), [48.55 + 0.165, -2.345, 0.005], "double")] == ["48.72", "-2.35", "0.01"]
 
 
-@pytest.mark.parametrize(
-    ("title", "size"),
-    [("Prodej bytu 151, užitná plocha 54 m²", 54.0), ("byt 54 m2, zahrada 200 m2", 54.0), ("byt 5 m2", None), ("plocha 3000 m2", None), (None, None), ("pronájem 75m", 75.0), ("dům 120 m², celková výměra 800 m²", 800.0)],
-)
-def test_keyword_size(title, size):
-    assert extract.keyword_size_of(title) == size
+def test_keyword_size(spark):
+    given = ["Prodej bytu 151, užitná plocha 54 m²", "byt 54 m2, zahrada 200 m2", "byt 5 m2", "plocha 3000 m2", None, "pronájem 75m", "dům 120 m², celková výměra 800 m²", "Plocha " + "x" * 34 + " 60 m² a 90 m²", "12345 m2", "plocha 20 m2, 30 m2"]
+    assert values(spark, extract.keyword_size, given) == [54.0, 54.0, None, None, None, 75.0, 800.0, 60.0, None, 20.0]
 
 
 def test_title_details(spark):
@@ -97,17 +94,69 @@ def test_levels_hold_the_same_total(spark, sf):
 
 
 def test_matches_equal_one_query_each(spark, sf):
-    rows, some = listings(spark, sf), dogs(spark, sf)
-    found = {(r.watchdog_id, r.id) for r in watchdogs.matches(rows, some, notifications(spark, sf)).collect()}
-    one = some.where("active").select("id", "filters.*", "created_at", "last_notified_at", "email").limit(4).collect()
-    sent = notifications(spark, sf)
-    for dog in one:
-        filters = {k: v for k, v in dog.asDict().items() if k in ("property_type", "transaction_type", "city", "price_min", "price_max", "size_min", "size_max") and v is not None}
-        mail = spark.createDataFrame([(dog.email,)], "e string").select(canonical_email(F.col("e"))).first()[0]
-        cut = F.lit(str(dog.last_notified_at or dog.created_at)).cast("timestamp_ntz")
-        mine = search.matching(rows, filters).where(F.col("created_at") > cut).withColumn("cluster_key", cluster_key())
-        mine = mine.join(sent.where(F.col("email_canonical") == mail), "cluster_key", "left_anti")
-        assert {r.id for r in mine.collect()} == {i for w, i in found if w == dog.id}
+    """Some searches of every kind, each as a search of its own; among them patterns, boxes and wrong ways round."""
+    rows, some = listings(spark, sf).persist(), dogs(spark, sf)
+    names = some.select("filters.*").columns
+    assert len(names) == 21
+    known = [d for d in some.where("active").select("id", "filters.*", "created_at", "last_notified_at", "email").collect()]
+    picked = [d for d in known if d.id % 64 in (1, 5, 7, 9, 12, 14, 22, 38, 41)][:9]
+    odd = [{"location": "  "}, {"location": "al%", "amenities": "l_ft"}, {"price_min": 40000.0, "price_max": 10000.0}, {"sw_lat": 50.0, "sw_lng": 14.0, "ne_lat": 49.0, "ne_lng": 15.0}, {"city": "FRANCE,FRANCE", "transaction_type": "sale,rent,sale"}, {}]
+    schema = some.select("id", "email", "filters", "active", "created_at", "last_notified_at").schema
+    early = picked[0].created_at.replace(year=1990)
+    made = [(10**6 + k, f"odd{k}@e.org", tuple(f.get(n) for n in names), True, early, None) for k, f in enumerate(odd)]
+    kept = [(d.id, d.email, tuple(d[n] for n in names), True, d.created_at, d.last_notified_at) for d in picked]
+    found = {}
+    for r in watchdogs.matches(rows, spark.createDataFrame(kept + made, schema)).collect():
+        found.setdefault(r.watchdog_id, []).append(r.id)
+    for id_, _, values_, _, created, notified in kept + made:
+        filters = {n: v for n, v in zip(names, values_, strict=True) if v is not None}
+        mine = search.matching(rows, filters).where(F.col("created_at") > F.lit(str(notified or created)).cast("timestamp_ntz"))
+        assert sorted(found.get(id_, [])) == sorted(r.id for r in mine.select("id").collect()), filters
+
+
+def test_no_cartesian_products(spark, sf):
+    found = watchdogs.matches(listings(spark, sf), dogs(spark, sf), notifications(spark, sf))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_snapshots_stand_beside_each_other(spark, sf, tmp_path):
+    rows, path = listings(spark, sf).limit(50), str(tmp_path / "s")
+    files.write_snapshot(rows, path, "source")
+    assert files.snapshot(spark, path).count() == 50
+    (tmp_path / "s" / "00000002").mkdir()  # begun, not finished
+    assert files.snapshot(spark, path).count() == 50
+    assert files.write_snapshot(rows.limit(7), path).endswith("00000003") and files.snapshot(spark, path).count() == 7
+
+
+def test_filters_reach_the_scan_of_a_snapshot(spark, sf, tmp_path):
+    path = str(tmp_path / "s")
+    files.write_snapshot(listings(spark, sf), path)
+    found = search.search(files.snapshot(spark, path), {"city": "FRANCE", "price_min": 20000})
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "EqualTo(city,FRANCE)" in plan and "GreaterThanOrEqual(price,20000.0)" in plan
+
+
+def test_sitemap_file(spark, sf, tmp_path):
+    files.write_sitemap(listings(spark, sf), "https://e.org/a&b", str(tmp_path / "m"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert lines[1].startswith("<urlset") and lines[-1] == "</urlset>" and lines[2].startswith("<url><loc>https://e.org/a&amp;b/listing/")
+
+
+def test_normalised_values_are_trimmed(spark):
+    given = ["\tNovostavba", "\n\u00a0dobrý\u00a0", " projekt\n"]
+    assert values(spark, normalize.condition, given) == ["new", "good", "project"]
+
+
+def test_last_page_of_the_snippet(spark):
+    given = ["\n a" + " " * 300 + "b ", "x " * 78, "y" * 155 + "   ", "y" * 155 + "  z"]
+    assert values(spark, lambda c: text.snippet(c, F.lit("t"), "-"), given) == ["a b", ("x " * 78).strip(), "y" * 155, "y" * 155 + "…"]
+
+
+def test_fields_of_stored_searches(spark):
+    given = ['{"city":null}', '{"price_min":-1}', '{"price_min":0,"ne_lat":90}', "nonsense", None, "{}"]
+    assert values(spark, watchdogs.schema_errors, given) == ["city: type", "price_min: bounds", None, "not an object", "not an object", None]
+
 
 
 def test_upsert_twice_is_upsert_once(spark, sf):
@@ -130,15 +179,14 @@ def test_feature_and_snapshot_files(spark, sf, tmp_path):
     rows = listings(spark, sf)
     files.write_features(rows, str(tmp_path / "f"))
     assert files.read_features(spark, str(tmp_path / "f")).count() == markers.located(rows).count()
-    files.write_snapshot(rows, str(tmp_path / "s"), "source")
-    assert files.listings(spark, str(tmp_path / "s")).count() == rows.count()
+    assert files.listings(spark, files.write_snapshot(rows, str(tmp_path / "s"), "source")).count() == rows.count()
     first = spark.createDataFrame([("a", "k1"), ("b", "k2")], "email_canonical string, cluster_key string")
     first.write.parquet(str(tmp_path / "n"))
     more = spark.createDataFrame([("a", "k1"), ("a", "k3"), ("a", "k3")], "email_canonical string, cluster_key string")
     files.append_missing(spark, more, str(tmp_path / "n"), ["email_canonical", "cluster_key"])
     assert spark.read.parquet(str(tmp_path / "n")).count() == 3
     files.write_sitemap(rows, "https://example.org", str(tmp_path / "m"))
-    assert spark.read.text(str(tmp_path / "m")).first()[0].startswith("<url><loc>https://example.org/listing/")
+    assert spark.read.text(str(tmp_path / "m")).collect()[2][0].startswith("<url><loc>https://example.org/listing/")
 
 
 def test_landed_pages(spark, tmp_path):
