@@ -17,14 +17,30 @@ def shared_dir(spark: SparkSession) -> str:
         option = context._jsc.sc().getCheckpointDir()
         folder = option.get() if option.isDefined() else None
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestead-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Paths that this driver has handed out and not cleared.
+WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what was written below the paths from number ``since`` on; nothing that reads them may still be due."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in [p for p in WRITTEN[since:] if p not in keep]:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        WRITTEN.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -35,9 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a URI; plain paths are local."""
+    """(pyarrow file system, path) of a URI; plain paths are local, Hadoop's names of S3 are read as its own."""
     from pyarrow import fs
 
+    for name in ("s3a://", "s3n://"):
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
+
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "", 1) if uri.startswith("file:") else uri)
 
 

@@ -132,6 +132,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(table(spark, sf_dir, "documents"))).drop("n_lines")
 
 
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger as a table of its own; policies and ablations read it, and never the texts again."""
+    ledger(docs).write.mode("error").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the production policy keeps, with their columns unchanged."""
     name = unused("_rules", docs.columns)

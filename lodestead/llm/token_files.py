@@ -26,9 +26,6 @@ from .common import scratch, stored, table
 from .files import RangeFile, listed, placed, ranges
 
 RANGE = 8 << 20
-WIDTH = 2
-#: The id that is free in the vocabulary file.
-SEPARATOR = 50256
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -38,6 +35,14 @@ def default_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def layout(path: str | None = None) -> tuple[int, int]:
+    """(bytes of an id, end-of-document id) of the files of a vocabulary: its first free id, and what all ids fit in."""
+    with open(path or default_path(), "rb") as file:
+        known = {int(line.split()[1]) for line in file if line.strip()}
+    separator = next(k for k in range(len(known) + 1) if k not in known)
+    return 2 if max(*known, separator) < 1 << 16 else 4, separator
+
+
 _ENCODERS: dict[int, object] = {}
 
 
@@ -53,6 +58,7 @@ def _encoder(ranks: bytes):
 
 def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
     """Write every document's tokens to flat files below ``folder``; returns (doc_id, file, document): its place in its file."""
+    width, separator = layout(path)
     with open(path or default_path(), "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -65,7 +71,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
         with placed(folder, name) as out:
             while batch is not None:
                 for text in batch.column(1).to_pylist():
-                    out.write(np.array([*encode(text or ""), SEPARATOR], f"<u{WIDTH}").tobytes())
+                    out.write(np.array([*encode(text or ""), separator], f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * batch.num_rows), pa.array(range(n, n + batch.num_rows), pa.int64())], names=["doc_id", "file", "document"])
                 n += batch.num_rows
                 batch = next(batches, None)
@@ -74,20 +80,25 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
     return stored(rows.mapInArrow(flat, "doc_id long, file string, document long"), "token-places")
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(width: int, separator: int):
     """Per range: its tokens, separators, and the separators' places (in tokens from the start of the file)."""
-    for frame in frames:
-        for r in frame.itertuples():
-            file = RangeFile(r.file)
-            ids = np.frombuffer(file.read(r.start, r.end - r.start), f"<u{WIDTH}")
-            file.close()
-            at = np.flatnonzero(ids == SEPARATOR) + r.start // WIDTH
-            yield pd.DataFrame({"file": [r.file], "block": [r.block], "stop": [r.start // WIDTH + len(ids)], "n": [len(at)], "last": [int(at[-1]) if len(at) else None], "places": [at], "before": [np.append(-1, at[:-1])[: len(at)]]}).astype({"last": "Int64"})
-
-
-def counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, document, first_token, n_tokens, finished) of every document in the token files below ``folder``."""
-    scanned = ranges(spark, listed(folder, ".tokens"), RANGE // WIDTH * WIDTH).mapInPandas(_scan, "file string, block long, stop long, n long, last long, places array<long>, before array<long>")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                file = RangeFile(r.file)
+                ids = np.frombuffer(file.read(r.start, (r.end - r.start) // width * width), f"<u{width}")
+                file.close()
+                at = np.flatnonzero(ids == separator) + r.start // width
+                yield pd.DataFrame({"file": [r.file], "block": [r.block], "stop": [r.start // width + len(ids)], "n": [len(at)], "last": [int(at[-1]) if len(at) else None], "places": [at], "before": [np.append(-1, at[:-1])[: len(at)]]}).astype({"last": "Int64"})
+
+    return run
+
+
+def counts(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    """(file, document, first_token, n_tokens, finished) of every document in the token files of a vocabulary below ``folder``."""
+    width, separator = layout(path)
+    scanned = ranges(spark, listed(folder, ".tokens"), RANGE // width * width).mapInPandas(_scan(width, separator), "file string, block long, stop long, n long, last long, places array<long>, before array<long>")
     scanned = stored(scanned, "token-scan")
     # The prefix scan reads one small row per range, not the places.
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

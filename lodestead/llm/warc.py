@@ -62,7 +62,9 @@ def write(pages: DataFrame, folder: str) -> int:
     groups = rows.where("_sha1 IS NOT NULL").groupBy("_sha1").agg(F.max("page_id").alias("_response"), F.count("*").alias("_n"))
     # Stored, so that the planner knows its size: it is broadcast only if small, and else joined by a shuffle.
     repeated = stored(groups.where("_n > 1 AND _response IS NOT NULL").drop("_n"), "warc-repeated")
-    joined = rows.join(repeated, "_sha1", "left")
+    # Short payloads have no digest here; a number of their own deals them out, where null would be one key.
+    keyed = rows.withColumn("_sha1", F.coalesce("_sha1", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))))
+    joined = keyed.join(repeated, "_sha1", "left")
     revisit = F.col("_response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_response"))
     decided = joined.select("page_id", "url", "html", F.when(revisit, F.col("_response")).alias("refers_to"), revisit.alias("revisit"))
 

@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import assert_same
+from pyspark.sql import functions as F
 from rows import as_rows
 
-from lodestead.llm import files, media, token_files, warc
+from lodestead.llm import files, media, registry, token_files, warc
 from lodestead.llm.common import scratch
 
 
@@ -113,7 +114,7 @@ def test_token_counts(spark, docs, clashing, empty, monkeypatch):
 
 def test_unfinished_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "RANGE", 16)
-    end = token_files.SEPARATOR
+    end = token_files.layout()[1]
     cases = {"a": [1, 2, end, end, *range(50), end, 7], "b": [*range(30)], "c": [end], "d": []}
     for name, ids in cases.items():
         np.array(ids, "<u2").tofile(tmp_path / f"{name}.tokens")
@@ -172,3 +173,45 @@ def test_chains_over_many_ranges(spark, tmp_path):
             reached.append(entry)
             entry = exits[entry]
         assert entry == len(data) and set(reached) <= set(truth) and {t // length for t in truth} == {e // length for e in reached}
+
+
+def test_layout_follows_the_vocabulary(tmp_path):
+    import base64
+
+    def saved(name, ids):
+        path = tmp_path / name
+        path.write_bytes(b"".join(base64.b64encode(bytes([k % 256, k // 256 % 256, k >> 16])) + b" %d\n" % i for k, i in enumerate(ids)))
+        return str(path)
+
+    assert token_files.layout() == (2, 50256)
+    assert token_files.layout(saved("gap", [0, 1, 3])) == (2, 2)
+    assert token_files.layout(saved("large", range(70000))) == (4, 70000)
+
+
+def test_wide_ids_round_trip(spark, docs, tmp_path):
+    """The same counts with a vocabulary whose ids need four bytes."""
+    import base64
+
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([k])) + b" %d\n" % (k + 70000) for k in range(256)))
+    places = token_files.write(docs, str(tmp_path / "wide"), str(path))
+    found = token_files.counts(spark, str(tmp_path / "wide"), str(path)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    rows = places.join(found, ["file", "document"])
+    assert Counter((r.doc_id, r.n_tokens) for r in rows.collect()) == Counter((r.doc_id, len((r.text or "").encode())) for r in docs.collect())
+
+
+def test_token_query(spark, sf):
+    with open(token_files.default_path(), "rb") as file:
+        encode = token_files._encoder(file.read()).encode_ordinary
+    source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = registry.queries()["op4_token_counts"](spark, sf).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {d: len(encode(t or "")) for d, t in source.items()} and len(found) == len(source)
+
+
+def test_media_query(spark, sf):
+    source = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = registry.queries()["op8_media_columns"](spark, sf).collect()
+    assert len(found) == len(source)
+    for r in found:
+        padded = source[r.doc_id].ljust(max(64, -(-len(source[r.doc_id]) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(source[r.doc_id]), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))

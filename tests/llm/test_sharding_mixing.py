@@ -58,6 +58,12 @@ def test_shards(docs, clashing, empty, labelled):
     assert max(load.values()) <= 1.02 * sum(load.values()) / 16
 
 
+def test_sharding_query(spark, sf):
+    rows = registry.queries()["op2_sharding"](spark, sf).collect()
+    check_shards(rows, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+    assert {r.law for r in rows} == {"bytes"}
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 100, 1025):
         p = mixing.Permutation(n, 7)

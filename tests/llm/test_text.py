@@ -66,6 +66,18 @@ def test_quality_stage_keeps_clean_documents(docs, clashing, labelled, empty, sp
     assert base.where("kept").count() >= 0.97 * base.count()
 
 
+def test_rejects_what_is_labelled_bad(spark, labelled, sf):
+    """Documents of the lowest quality go, by the base rules or by the policy."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 0").join(labelled, "doc_id")
+    found = quality_rules.apply_policy(quality_rules.ledger(labels))
+    assert found.where("NOT kept").count() >= 0.95 * found.count() > 0
+
+
+def test_stored_ledger(docs, tmp_path):
+    stored = quality_rules.write_ledger(docs, str(tmp_path / "ledger"))
+    assert as_rows(quality_rules.apply_policy(stored, "v1")) == as_rows(quality_rules.apply_policy(quality_rules.ledger(docs), "v1"))
+
+
 # -- tokens
 
 
