@@ -46,7 +46,7 @@ GRAM = 16
 #: Bytes hashed at a time (arrays that fit a cache), and after which a shard's contexts are sent off.
 BLOCK, PART = 1 << 17, 32 << 20
 #: Positions of a suffix array (three ranks must fit in 63 bits) and, about, of the arrays that a task merges.
-POSITIONS, MERGED = 1 << 16, 1 << 22
+POSITIONS, MERGED = 1 << 18, 1 << 22
 #: Contexts of one anchor, about two million bytes, from which on they are dealt window by window.
 CROWD = (1 << 21) // 85
 #: Bytes of a row group, before compression; each is a shard.
