@@ -57,15 +57,16 @@ def stored_filters(spark, sf):
     return watchdogs(spark, sf).select("id", W.schema_errors(raw).alias("errors"))
 
 
-PRESENT = F.lit("2001-09-01 00:00:00").cast("timestamp_ntz")
+def present():
+    return F.lit("2001-09-01 00:00:00").cast("timestamp_ntz")
 
 
 def batch_ends(spark, sf):
     """The searches after a batch: new ones are in, those that something was sent for are notified."""
     rows = watchdogs(spark, sf)
     wanted = rows.select((F.col("id") + 1_000_000).alias("id"), "email", "filters")
-    after = W.bumped(W.created(rows, wanted, PRESENT), rows.where("id % 5 = 0").select(F.col("id").alias("watchdog_id")), PRESENT)
-    return after.select("id", "active", (F.col("last_notified_at") == PRESENT).alias("told"))
+    after = W.bumped(W.created(rows, wanted, present()), rows.where("id % 5 = 0").select(F.col("id").alias("watchdog_id")), present())
+    return after.select("id", "active", (F.col("last_notified_at") == present()).alias("told"))
 
 
 def summary():
@@ -82,12 +83,12 @@ QUERIES = {
     "watchdog_canonical_email": (lambda spark, sf: watchdogs(spark, sf).select("id", canonical_email(F.col("email")).alias("email_canonical"), looks_like_email(F.col("email")).alias("shaped")), f"{BASE} SELECT id, email_canonical, TRUE AS shaped FROM watchdogs"),
     "watchdog_one_active_per_email": (lambda spark, sf: W.newest_active(watchdogs(spark, sf)), f"{BASE} SELECT email_canonical, max(id) AS id FROM watchdogs WHERE active GROUP BY 1"),
     "watchdog_toggle": (lambda spark, sf: W.toggled(watchdogs(spark, sf), watchdogs(spark, sf).where("id % 2 = 0")).select("id", "active"), f"{BASE} SELECT id, active <> (id % 2 = 0) AS active FROM watchdogs"),
-    "watchdog_delete": (lambda spark, sf: W.deleted(watchdogs(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")), watchdogs(spark, sf).where("id % 3 = 0"), F.lit("2001-09-01 00:00:00").cast("timestamp_ntz")).select("id", "active", F.col("deleted_at").isNotNull().alias("gone")), f"{BASE} SELECT id, active AND id % 3 <> 0 AS active, id % 3 = 0 AS gone FROM watchdogs"),
+    "watchdog_delete": (lambda spark, sf: W.deleted(watchdogs(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")), watchdogs(spark, sf).where("id % 3 = 0"), present()).select("id", "active", F.col("deleted_at").isNotNull().alias("gone")), f"{BASE} SELECT id, active AND id % 3 <> 0 AS active, id % 3 = 0 AS gone FROM watchdogs"),
     "watchdog_unique_guard": (lambda spark, sf: W.taken(watchdogs(spark, sf).where("id % 4 <> 0"), watchdogs(spark, sf).select("id", "email")).select("id"), f"{BASE} SELECT id FROM watchdogs WHERE email_canonical IN (SELECT email_canonical FROM watchdogs WHERE active AND id % 4 <> 0)"),
     "filter_shape_guard": (lambda spark, sf: watchdogs(spark, sf).select("id", W.too_wide(F.col("filters")).alias("too_wide")), f"{BASE} SELECT id, coalesce(price_min > 0 AND price_max / price_min > 10, FALSE) OR coalesce(size_max - size_min > 1000, FALSE) AS too_wide FROM watchdogs"),
     "filter_schema": (stored_filters, f"{BASE} SELECT id, CASE id % 8 WHEN 1 THEN 'colour: unknown' WHEN 2 THEN 'location: type' WHEN 3 THEN 'sw_lng: bounds' WHEN 4 THEN 'not an object' WHEN 6 THEN 'price_min: type; ne_lat: bounds; area: unknown' END AS errors FROM watchdogs"),
     "watchdog_batch_ends": (batch_ends, f"{BASE}, n AS (SELECT id + 1000000 AS id FROM watchdogs WHERE email_canonical NOT IN (SELECT email_canonical FROM watchdogs WHERE active)) SELECT id, active, CASE WHEN id % 5 = 0 THEN TRUE WHEN last_notified_at IS NOT NULL THEN FALSE END AS told FROM watchdogs UNION ALL SELECT id, TRUE, NULL FROM n"),
-    "watchdog_mailbox": (lambda spark, sf: W.of_mailbox(watchdogs(spark, sf).withColumn("deleted_at", F.when(F.col("id") % 7 == 0, PRESENT)).withColumn("email", F.when(F.col("id") % 3 == 0, "U.ser0+a@googlemail.com").otherwise(F.col("email"))), F.lit("user0@gmail.com")).select("id"), f"{BASE} SELECT id FROM watchdogs WHERE id % 3 = 0 AND id % 7 <> 0"),
+    "watchdog_mailbox": (lambda spark, sf: W.of_mailbox(watchdogs(spark, sf).withColumn("deleted_at", F.when(F.col("id") % 7 == 0, present())).withColumn("email", F.when(F.col("id") % 3 == 0, "U.ser0+a@googlemail.com").otherwise(F.col("email"))), F.lit("user0@gmail.com")).select("id"), f"{BASE} SELECT id FROM watchdogs WHERE id % 3 = 0 AND id % 7 <> 0"),
     "watchdog_summary": (lambda spark, sf: watchdogs(spark, sf).select("id", summary().alias("summary")), f"{BASE} SELECT id, {SUMMARY} AS summary FROM watchdogs"),
     "watchdog_subject": (lambda spark, sf: watchdogs(spark, sf).select("id", X.subject(F.col("id") % 7, summary()).alias("subject")), f"{BASE} SELECT id, CAST(id % 7 AS VARCHAR) || CASE WHEN id % 7 = 1 THEN ' nová nabídka' WHEN id % 7 BETWEEN 2 AND 4 THEN ' nové nabídky' ELSE ' nových nabídek' END || ': ' || {SUMMARY} AS subject FROM watchdogs"),
     "watchdog_more_url": (lambda spark, sf: watchdogs(spark, sf).select("id", X.more_url(F.lit("https://example.org//"), X.query_string(F.col("filters"), NAMES)).alias("url")), f"{BASE} SELECT id, 'https://example.org/search' || CASE WHEN {QUERY} <> '' THEN '?' || {QUERY} ELSE '' END AS url FROM watchdogs"),
