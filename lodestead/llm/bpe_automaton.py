@@ -218,10 +218,8 @@ MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_
 ADDED = {"single_word": False, "lstrip": False, "rstrip": False}
 
 
-def load(path: str) -> dict:
-    """Vocabulary, merges and added tokens of a tokenizer file; read on the driver, a few MB whatever the corpus."""
-    with open(path, encoding="utf-8") as file:
-        data = json.load(file)
+def load_data(data: dict, path: str = "the tokenizer file") -> dict:
+    """Vocabulary, merges and added tokens of a tokenizer file's contents."""
     if data.get("normalizer"):
         raise ValueError(f"{path}: the automaton has no normalizer")
     for found, known in [(data.get("pre_tokenizer") or {}, PRE_TOKENIZER), (data["model"], MODEL), *((x, ADDED) for x in data.get("added_tokens", []))]:
@@ -234,6 +232,12 @@ def load(path: str) -> dict:
     return {"vocabulary": data["model"]["vocab"], "merges": merges, "added": {x["content"]: x["id"] for x in data.get("added_tokens", [])}}
 
 
+def load(path: str) -> dict:
+    """The same of a file; read on the driver, a few MB whatever the corpus."""
+    with open(path, encoding="utf-8") as file:
+        return load_data(json.load(file), path)
+
+
 @cache
 def compiled(path: str) -> Automaton:
     """The automaton of a file, compiled on the driver; workers get its arrays, about 10 MB whatever the corpus."""

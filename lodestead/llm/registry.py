@@ -16,6 +16,7 @@ QUERIES = {
     "op8_media_columns": "media",
     "op9_bpe_automaton": "bpe_automaton",
     "op10_warc": "warc",
+    "op11_token_alignment": "alignment",
 }
 
 
