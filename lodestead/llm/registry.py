@@ -17,6 +17,7 @@ QUERIES = {
     "op9_bpe_automaton": "bpe_automaton",
     "op10_warc": "warc",
     "op11_token_alignment": "alignment",
+    "op12_token_archive": "token_archive",
 }
 
 
