@@ -18,6 +18,7 @@ QUERIES = {
     "op10_warc": "warc",
     "op11_token_alignment": "alignment",
     "op12_token_archive": "token_archive",
+    "op13_lexical_search": "lexical_search",
 }
 
 
