@@ -26,6 +26,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,8 @@ LEVEL = 3
 DICTIONARY, SAMPLES, SAMPLE_BYTES = 112 << 10, 2048, 8 << 10
 #: Bytes of id arrays in a partition of the sorted documents, and of frames that a task reads at once.
 PARTITION, BLOCK = 64 << 20, 8 << 20
-#: Chunks of text a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 64
+#: Chunks of text a worker remembers, the longest of them, how many are encoded at once and what stands between them.
+REMEMBERED, LONGEST, TOGETHER, MARK = 800_000, 64, 4096, "\x00"
 
 
 def default_path() -> str:
@@ -66,7 +67,13 @@ def separable(data: dict) -> bool:
 
 
 class Encoder:
-    """Texts to arrays of ids, by a tokenizer file."""
+    """Texts (UTF-8) to arrays of ids, by a tokenizer file.
+
+    Where texts are separable, each chunk between white space is encoded once and remembered. Chunks are told apart without
+    the case of ASCII letters, which the file's normalizer drops, unless the text has combining marks that may compose
+    with such a letter, or an added token in either case. A full stop or comma after an ASCII letter or digit is a
+    piece of its own. New chunks are encoded many at a time, with a separator between them that has an id of its own.
+    """
 
     def __init__(self, file: bytes, end: int = END):
         from tokenizers import Tokenizer
@@ -76,28 +83,71 @@ class Encoder:
         if data.get("truncation") or data.get("padding"):
             raise ValueError("the tokenizer file must not cut or pad texts")
         self.tokenizer = Tokenizer.from_str(file.decode())
-        self.type = f"<u{id_width(data)}"
+        self.width = id_width(data)
+        self.type = f"<u{self.width}"
         self.end = np.array([end], self.type).tobytes()
-        self.separable = separable(data)
+        self.added = [x["content"].lower().encode() for x in data.get("added_tokens", [])]
+        parted = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = parted[0] if len(parted) == 1 else None
+        self.separable = separable(data) and self.mark is not None
         self.known: dict[bytes, bytes] = {}
 
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def bytes_of(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The arrays of a batch; each chunk that is not remembered is encoded once."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The arrays of a batch."""
         if not self.separable:
-            return [x + self.end for x in self.bytes_of(texts)]
-        chunks = [text.encode().split() for text in texts]
-        known = self.known
-        new = list({c for words in chunks for c in words if c not in known})
-        made = dict(zip(new, self.bytes_of([c.decode() for c in new]), strict=True))
+            return [self.bytes_of(text.decode()) + self.end for text in texts]
+        chunks = [self.folded(text).split() for text in texts]
+        known, wanted = self.known, set().union(*chunks)
+        new = wanted - known.keys()
         if len(known) + len(new) > REMEMBERED:
-            made |= {c: known[c] for words in chunks for c in words if c in known}
-            known = self.known = {}
-        known.update((c, x) for c, x in made.items() if len(c) <= LONGEST)
-        found = known if all(len(c) <= LONGEST for c in made) else known | made
-        return [b"".join([found[c] for c in words]) + self.end for words in chunks]
+            known.clear()
+            new = wanted
+        self.learn(new)
+        arrays = [b"".join(map(known.__getitem__, words)) + self.end for words in chunks]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del known[chunk]
+        return arrays
+
+    def folded(self, text: bytes) -> bytes:
+        low = text.lower()
+        return text if b"\xcc" in low or b"\xcd" in low or any(x in low for x in self.added) else low
+
+    def learn(self, chunks: set[bytes]) -> None:
+        known = self.known
+        stems, stopped = set(), []
+        for chunk in chunks:
+            if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum():
+                stopped.append(chunk)
+                stems.add(chunk[:-1])
+                stems.add(chunk[-1:])
+            else:
+                stems.add(chunk)
+        mark = MARK.encode()
+        stems = list(stems)
+        marked = [c for c in stems if mark in c] if mark in b" ".join(stems) else []
+        plain = [c for c in stems if mark not in c] if marked else stems
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + mark + b" ").join(some).decode()], add_special_tokens=False)[0].ids, self.type)
+            at = self.width * np.flatnonzero(ids == self.mark)
+            data = ids.tobytes()
+            known.update(zip(some, map(data.__getitem__, map(slice, [0, *(at + self.width).tolist()], [*at.tolist(), len(data)])), strict=True))
+        known.update((c, self.bytes_of(c.decode())) for c in marked)
+        for chunk in stopped:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1:]]
+        for chunk in stopped:  # what was needed for a chunk's sake goes if it is long
+            if len(chunk) > LONGEST + 1 and chunk[:-1] not in chunks:
+                known.pop(chunk[:-1], None)
+
+
+@cache
+def _encoder(file: bytes) -> Encoder:
+    """One a worker, which keeps its memory from task to task."""
+    return Encoder(file)
 
 
 def id_width(data: dict) -> int:
@@ -116,13 +166,13 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a few MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in batches:
             texts, begin, size = batch.column(1), 0, 0
             for k in range(len(texts) + 1):
                 if k == len(texts) or size > BLOCK:
                     if k > begin:
-                        ids = encoder.encode([t or "" for t in texts[begin:k].to_pylist()])
+                        ids = encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts[begin:k]])
                         arrays = [np.frombuffer(x, encoder.type) for x in ids]
                         yield pa.RecordBatch.from_arrays([batch.column(0)[begin:k], pa.array(ids, pa.binary()), pa.array([len(x) for x in arrays], pa.int64()), pa.array([crc(x) for x in arrays], pa.int64())], names=["doc_id", "ids", "n_tokens", "crc32"])
                     begin, size = k, 0

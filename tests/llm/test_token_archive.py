@@ -87,9 +87,11 @@ def test_pieces_between_white_space(tokenizer):
     with open(token_archive.default_path(), "rb") as file:
         encoder = token_archive.Encoder(file.read())
     assert encoder.separable
-    odd = ["Á é\tİI ΣΑΣ Σ", "<|endoftext|><|startoftext|> x<|endoftext|>y", "don't 'S\x1cx\x85y z　w", "①Ⅷ ﬁ ﬃ 1234", "", " \n\t ", "z" * 300 + " z", "👩‍👩‍👧\r\na\x00b"]
+    odd = ["Á é\tİI ΣΑΣ Σ", "<|endoftext|><|startoftext|> x<|endoftext|>y", "don't 'S\x1cx\x85y z　w", "①Ⅷ ﬁ ﬃ 1234", "", " \n\t ", "z" * 300 + " z", "👩‍👩‍👧\r\na\x00b \x00 \x00\x00", "Word, word. WORD., it's. 3.5, é. É, .", "H\u0331 I\u0307 K\u0301 Á", "<|ENDOFTEXT|> <|EndOfText|>", "q" * 300 + ".", "q" * 300]
     wanted = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], encoder.type).tobytes() for t in odd]
-    assert encoder.encode(odd) == wanted == encoder.encode(odd)
+    raw = [t.encode() for t in odd]
+    assert encoder.encode(raw) == wanted == encoder.encode(raw) == [encoder.encode([x])[0] for x in raw]
+    assert max(map(len, encoder.known)) <= token_archive.LONGEST
 
 
 def test_registered_query(spark, sf, tokenizer):
