@@ -31,6 +31,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,8 +47,10 @@ LEVEL = 3
 DICTIONARY, SAMPLES, SAMPLE_BYTES = 112 << 10, 2048, 8 << 10
 #: Bytes of id arrays in a partition of the sorted documents, and of frames that a task reads at once.
 PARTITION, BLOCK = 64 << 20, 8 << 20
+#: Bytes of text that are encoded together.
+TEXTS = 4 << 20
 #: Chunks of text a worker remembers, the longest of them, how many are encoded at once and what stands between them.
-REMEMBERED, LONGEST, TOGETHER, MARK = 800_000, 64, 4096, "\x00"
+REMEMBERED, LONGEST, TOGETHER, MARK = 700_000, 64, 2048, "\x00"
 
 
 def default_path() -> str:
@@ -91,6 +94,7 @@ class Encoder:
         self.mark = parted[0] if len(parted) == 1 else None
         self.separable = separable(data) and self.mark is not None
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def bytes_of(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -99,35 +103,40 @@ class Encoder:
         """The arrays of a batch."""
         if not self.separable:
             return [self.bytes_of(text.decode()) + self.end for text in texts]
-        chunks = [self.folded(text).split() for text in texts]
-        known, wanted = self.known, set().union(*chunks)
-        new = wanted - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = wanted
-        self.learn(new)
-        arrays = [b"".join(map(known.__getitem__, words)) + self.end for words in chunks]
-        for chunk in new:
-            if len(chunk) > LONGEST:
-                del known[chunk]
-        return arrays
+        parted = pc.ascii_split_whitespace(pa.array([self.folded(t) for t in texts], pa.large_binary()).cast(pa.large_string()))
+        words = parted.flatten().dictionary_encode()
+        distinct, places = words.dictionary.cast(pa.large_binary()).to_pylist(), words.indices.to_numpy()
+        self.learn(distinct)
+        arrays = list(map(self.known.__getitem__, distinct))
+        # Every word's ids, gathered from those of the distinct words.
+        ids, lengths = np.frombuffer(b"".join(arrays), self.type), np.fromiter(map(len, arrays), np.int64, len(arrays)) // self.width
+        n = lengths[places]
+        until = np.append(0, np.cumsum(n))
+        flat = ids[np.arange(until[-1]) + np.repeat((np.cumsum(lengths) - lengths)[places] - until[:-1], n)]
+        ends = until[parted.offsets.to_numpy()].tolist()
+        self.forget(distinct)
+        return [flat[a:b].tobytes() + self.end for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def folded(self, text: bytes) -> bytes:
         low = text.lower()
         return text if b"\xcc" in low or b"\xcd" in low or any(x in low for x in self.added) else low
 
-    def learn(self, chunks: set[bytes]) -> None:
-        known = self.known
+    def learn(self, chunks: list[bytes]) -> None:
+        """Put all of ``chunks`` into memory. What the older half has moves to the newer one."""
+        known, older = self.known, self.older
+        chunks = [c for c in chunks if c not in known]
+        known.update((c, older[c]) for c in chunks if c in older)
         stems, stopped = set(), []
         for chunk in chunks:
+            if chunk in known:
+                continue
             if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum():
                 stopped.append(chunk)
-                stems.add(chunk[:-1])
-                stems.add(chunk[-1:])
+                stems |= {chunk[:-1], chunk[-1:]}
             else:
                 stems.add(chunk)
         mark = MARK.encode()
-        stems = list(stems)
+        stems = [c for c in stems if c not in known]
         marked = [c for c in stems if mark in c] if mark in b" ".join(stems) else []
         plain = [c for c in stems if mark not in c] if marked else stems
         for k in range(0, len(plain), TOGETHER):
@@ -139,9 +148,14 @@ class Encoder:
         known.update((c, self.bytes_of(c.decode())) for c in marked)
         for chunk in stopped:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1:]]
-        for chunk in stopped:  # what was needed for a chunk's sake goes if it is long
-            if len(chunk) > LONGEST + 1 and chunk[:-1] not in chunks:
-                known.pop(chunk[:-1], None)
+
+    def forget(self, chunks: list[bytes]) -> None:
+        """Long chunks are not remembered; half of the memory goes when it is full."""
+        for chunk in [c for c in chunks if len(c) > LONGEST]:
+            self.known.pop(chunk, None)
+            self.known.pop(chunk[:-1], None)
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
 
 
 @cache
@@ -170,7 +184,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             texts, begin, size = batch.column(1), 0, 0
             for k in range(len(texts) + 1):
-                if k == len(texts) or size > BLOCK:
+                if k == len(texts) or size > TEXTS:
                     if k > begin:
                         ids = encoder.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts[begin:k]])
                         arrays = [np.frombuffer(x, encoder.type) for x in ids]
