@@ -48,7 +48,7 @@ DICTIONARY, SAMPLES, SAMPLE_BYTES = 112 << 10, 2048, 8 << 10
 #: Bytes of id arrays in a partition of the sorted documents, and of frames that a task reads at once.
 PARTITION, BLOCK = 64 << 20, 8 << 20
 #: Bytes of text that are encoded together.
-TEXTS = 4 << 20
+TEXTS = 8 << 20
 #: Chunks of text a worker remembers, the longest of them, how many are encoded at once and what stands between them.
 REMEMBERED, LONGEST, TOGETHER, MARK = 700_000, 64, 2048, "\x00"
 
@@ -112,7 +112,7 @@ class Encoder:
         ids, lengths = np.frombuffer(b"".join(arrays), self.type), np.fromiter(map(len, arrays), np.int64, len(arrays)) // self.width
         n = lengths[places]
         until = np.append(0, np.cumsum(n))
-        flat = ids[np.arange(until[-1]) + np.repeat((np.cumsum(lengths) - lengths)[places] - until[:-1], n)]
+        flat = ids[np.arange(until[-1]) + np.repeat((np.cumsum(lengths) - lengths)[places] - until[:-1], n)] if len(n) else ids
         ends = until[parted.offsets.to_numpy()].tolist()
         self.forget(distinct)
         return [flat[a:b].tobytes() + self.end for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -124,19 +124,19 @@ class Encoder:
     def learn(self, chunks: list[bytes]) -> None:
         """Put all of ``chunks`` into memory. What the older half has moves to the newer one."""
         known, older = self.known, self.older
-        chunks = [c for c in chunks if c not in known]
-        known.update((c, older[c]) for c in chunks if c in older)
+        chunks = set(chunks).difference(known)
+        held = list(chunks.intersection(older))
+        known.update(zip(held, map(older.__getitem__, held), strict=True))
         stems, stopped = set(), []
-        for chunk in chunks:
-            if chunk in known:
-                continue
+        for chunk in chunks.difference(held):
             if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum():
                 stopped.append(chunk)
-                stems |= {chunk[:-1], chunk[-1:]}
+                stems.add(chunk[:-1])
             else:
                 stems.add(chunk)
+        stems.update((b".", b","))
         mark = MARK.encode()
-        stems = [c for c in stems if c not in known]
+        stems = list(stems.difference(known))
         marked = [c for c in stems if mark in c] if mark in b" ".join(stems) else []
         plain = [c for c in stems if mark not in c] if marked else stems
         for k in range(0, len(plain), TOGETHER):
