@@ -1,9 +1,7 @@
-"""Matches by title, follow-up lists, and clusters of points by distance."""
+"""Matches by title, follow-up lists."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,38 +59,5 @@ def leftover(params: Column, used: list[str]) -> Column:
     return F.map_filter(params, lambda k, _: ~k.isin(*used))
 
 
-RADIUS, TILE = 40.0, 512.0
-
-
-def projected(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
-    """Web-mercator pixels at a zoom, in tiles of 512."""
-    size = TILE * 2**zoom
-    s = F.sin(F.radians(lat))
-    return (lng / 360 + 0.5) * size, (F.lit(0.5) - F.lit(0.25) * F.log((1 + s) / (1 - s)) / F.lit(float(np.pi))) * size
-
-
-def greedy_clusters(listings: DataFrame, zoom: int, radius: float = RADIUS) -> DataFrame:
-    """Point clusters: in each tile, the first point by id takes all points within the radius, and so on.
-
-    Points that share a place are one weighted point first, so a tile holds places, not listings.
-    """
-    x, y = projected(F.col("latitude"), F.col("longitude"), zoom)
-    places = listings.where("is_active AND latitude IS NOT NULL AND longitude IS NOT NULL").groupBy("latitude", "longitude").agg(F.count("*").alias("weight"), F.min("id").alias("id"))
-    tiled = places.withColumns({"x": x, "y": y}).withColumns({"tx": F.floor(F.col("x") / TILE), "ty": F.floor(F.col("y") / TILE)})
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        xs, ys, w = rows["x"].to_numpy(), rows["y"].to_numpy(), rows["weight"].to_numpy()
-        free, out = np.ones(len(rows), bool), []
-        for k in range(len(rows)):
-            if free[k]:
-                near = free & ((xs - xs[k]) ** 2 + (ys - ys[k]) ** 2 <= radius**2)
-                free &= ~near
-                out.append((int(rows["id"][k]), int(w[near].sum()), float(np.average(xs[near], weights=w[near])), float(np.average(ys[near], weights=w[near]))))
-        return pd.DataFrame(out, columns=["id", "cnt", "x", "y"])
-
-    return tiled.groupBy("tx", "ty").applyInPandas(cluster, "id long, cnt long, x double, y double")
-
-
 def position(rows: DataFrame, by: str, *order: Column) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import grouped
 from ..operators import matching as M
+from ..operators import point_clusters as P
 from ..operators.lifecycle import last_of_batch
 from ..operators.search import card
 from ..sources.adapter import listings, now
+from ..sources.staging import shared_folder
 from ..streaming import ingest
 from .lifecycle import incoming
 from .oracle import LISTINGS
@@ -21,17 +23,6 @@ def titles(spark, sf):
     return M.by_title(cards, offers)
 
 
-def shared_folder(spark) -> str:
-    """The folder all executors share; a temporary one only where driver and executors are one machine."""
-    import tempfile
-
-    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="lodestead-")
-
-
 def streamed(spark, sf):
     """The scan of ``lifecycle_upsert`` landed as files and taken in by the stream."""
     import uuid
@@ -57,6 +48,9 @@ def codes(spark, sf):
     return rows.select("id", M.property_type(F.when(i % 5 != 0, i % 5), path).alias("kind"), F.array_join(flags, ",").alias("flags"), F.array_join(F.map_keys(params), ",").alias("left_over"))
 
 
+#: South, west, north, east.
+BOX = (49.0, 13.0, 50.5, 17.0)
+
 QUERIES = {
     "card_title_match": (titles, f"""{LISTINGS}, c AS (SELECT title, min(id) AS id FROM listings WHERE id % 2 = 0 GROUP BY 1), o AS (SELECT CASE WHEN id % 3 = 0 THEN title || ' - novinka' ELSE title END AS title, id FROM (SELECT title, min(id) AS id FROM listings WHERE id % 2 = 1 GROUP BY 1)),
 m AS (SELECT c.id AS card_id, o.id AS offer_id, CASE WHEN c.title = o.title THEN 0 ELSE 1 END AS rank FROM c JOIN o ON c.title = o.title OR starts_with(c.title, o.title) OR starts_with(o.title, c.title))
@@ -66,7 +60,10 @@ SELECT card_id, offer_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY c
     "latest_with_images": (lambda spark, sf: M.latest_with_images(listings(spark, sf), listings(spark, sf).where("thumbnail_url IS NULL")), f"{LISTINGS} SELECT id FROM (SELECT * FROM listings WHERE is_active AND is_canonical ORDER BY listed_at DESC NULLS LAST, id LIMIT 28) WHERE thumbnail_url IS NOT NULL ORDER BY listed_at DESC NULLS LAST, id LIMIT 20"),
     "codes_and_flags": (codes, f"{LISTINGS} SELECT id, CASE id % 5 WHEN 1 THEN 'flat' WHEN 2 THEN 'house' WHEN 3 THEN 'land' WHEN 4 THEN 'commercial' ELSE (['flat', 'garage', 'other', 'cottage'])[id % 4 + 1] END AS kind, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'balcony' END, CASE WHEN id % 2 = 0 THEN 'lift' END) AS flags, 'a' AS left_over FROM listings"),
     "marker_cards": (lambda spark, sf: card(listings(spark, sf)).select("id", "address", grouped(F.col("price")).alias("price_shown")), f"{LISTINGS} SELECT id, coalesce(address, city) AS address, replace(format('{{:,}}', CAST(floor(price + 0.5) AS BIGINT)), ',', chr(160)) AS price_shown FROM listings"),
-    "hierarchical_clusters_total": (lambda spark, sf: M.greedy_clusters(listings(spark, sf), 9).agg(F.sum("cnt").alias("total")), f"{LISTINGS} SELECT count(*) AS total FROM listings WHERE is_active AND latitude IS NOT NULL"),
-    "hierarchical_clusters": (lambda spark, sf: M.greedy_clusters(listings(spark, sf), 9), None),
+    "hierarchical_clusters_total": (lambda spark, sf: P.hierarchy(listings(spark, sf), 12).groupBy("zoom").agg(F.sum("cnt").alias("total")), f"{LISTINGS} SELECT CAST(z AS INTEGER) AS zoom, CAST(count(*) AS BIGINT) AS total FROM listings, range(13) r(z) WHERE is_active AND latitude IS NOT NULL GROUP BY z"),
+    "hierarchical_clusters": (lambda spark, sf: P.hierarchy(listings(spark, sf)), None),
+    "map_view_listings": (lambda spark, sf: P.shown(listings(spark, sf), BOX, 17), f"{LISTINGS} SELECT 'listing' AS kind, id, 1::BIGINT AS cnt, latitude, longitude FROM listings WHERE is_active AND latitude BETWEEN 49 AND 50.5 AND longitude BETWEEN 13 AND 17 ORDER BY id LIMIT 5000"),
+    "map_view_few": (lambda spark, sf: P.shown(listings(spark, sf).where("source = 'high' AND id <= 160"), BOX, 5), f"{LISTINGS} SELECT 'listing' AS kind, id, 1::BIGINT AS cnt, latitude, longitude FROM listings WHERE is_active AND source = 'high' AND id <= 160 AND latitude BETWEEN 49 AND 50.5 AND longitude BETWEEN 13 AND 17"),
+    "map_view_clusters": (lambda spark, sf: P.shown(listings(spark, sf).where("transaction_type = 'sale'"), BOX, 13), None),
     "stream_ingest_equals_batch": (streamed, f"{LISTINGS} SELECT external_id, price + CASE WHEN id % 6 = 0 THEN 2 WHEN id % 3 = 0 THEN 1 ELSE 0 END AS price, CASE WHEN id % 3 = 0 THEN TRUE ELSE is_active END AS is_active FROM listings UNION ALL SELECT 'new_' || id, price, TRUE FROM listings WHERE id % 3 = 0"),
 }
