@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import dedup, extras, lifecycle, markers, scalars, search, watchdogs
+from .plans import dedup, extras, lifecycle, markers, readers, scalars, search, watchdogs
 
-TABLE = {**search.QUERIES, **dedup.QUERIES, **markers.QUERIES, **watchdogs.QUERIES, **lifecycle.QUERIES, **scalars.QUERIES, **extras.QUERIES}
+TABLE = {**search.QUERIES, **dedup.QUERIES, **markers.QUERIES, **watchdogs.QUERIES, **lifecycle.QUERIES, **scalars.QUERIES, **extras.QUERIES, **readers.QUERIES}
 
 
 def queries() -> dict:
