@@ -101,7 +101,7 @@ MINED = {
     "total_floors": [r"(?:se|má|o)\s+(\d+)\s+podlaží", r"(\d+)\s*podlažní"],
 }
 MINED_WORDS = {
-    "ownership": [(r"\bosobní(?:m|ho)?\s+vlastnictví\b|\bosobní\s+\d\+", "osobní"), (r"\bdružstevní(?:m|ho)?\s+(?:vlastnictví\b|byt)|\bdružstevní\s+\d\+", "družstevní"), (r"\bstátní(?:m|ho)?\s+vlastnictví\b", "státní")],
+    "ownership": [(r"\bosobní(?:m|ho)?\s+vlastnictví\b|\bosobní\s+\d\+|(?-i:\bOV\b)", "osobní"), (r"\bdružstevní(?:m|ho)?\s+(?:vlastnictví\b|byt)|\bdružstevní\s+\d\+", "družstevní"), (r"\bstátní(?:m|ho)?\s+vlastnictví\b", "státní")],
     "construction": [(r"\bpanel(?:ový|ové|ová|ového|ovém)?\s+(?:budov|dom|dům|byt)|\bv\s+panel(?:ový|ové|ová|ovém|ového)?\b", "panel"), (r"\bcihlov(?:ý|é|á|ém|ého)?\s+(?:budov|dom|dům|byt)|\bv\s+cihlov(?:ý|é|á|ém|ého)?\b", "cihla"), (r"\bdřevostavb", "dřevostavba")],
     "condition": [(r"\bnovostavb", "novostavba"), (r"\bpo\s+(?:kompletní\s+)?rekonstrukci\b", "po rekonstrukci"), (r"\bpřed\s+rekonstrukcí\b", "před rekonstrukcí"), (r"\bvelmi\s+dobr(?:ý|ém)\s+stavu?\b", "velmi dobrý"), (r"\bdobr(?:ý|ém)\s+stavu?\b", "dobrý")],
     "furnishing": [(r"\bplně\s+(?:za|vy)baven|\bkompletně\s+(?:za|vy)baven", "vybavený"), (r"\bčástečně\s+(?:za|vy)baven", "částečně"), (r"\bnev(?:y)?baven", "nevybavený")],

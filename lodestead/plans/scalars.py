@@ -26,7 +26,7 @@ RAW = {
     "floor": ["3. podlaží z 8", "2/5", "přízemí", "10. z celkem 12", "-1. z 4"],
     "sizes": ["Prodej bytu 4+1 118 m²", "pozemek 18 363 m², dům", "2+1,56 m²", "84,7 m2", "bez výměry", "sklad 100000 m²"],
 }
-DESCRIPTIONS = ["Byt v osobním vlastnictví, před rekonstrukcí, v panelovém domě. Nachází se ve 2. patře, dům má 8 podlaží.", "Družstevní byt po kompletní rekonstrukci, PENB: B. Cihlový dům, 3. NP.", "Novostavba, energetická třída: Třída C, plně vybavený, 12podlažní dům", "Státní vlastnictví. Částečně vybaven. Velmi dobrý stav."]
+DESCRIPTIONS = ["Byt v osobním vlastnictví, před rekonstrukcí, v panelovém domě. Nachází se ve 2. patře, dům má 8 podlaží.", "Družstevní byt po kompletní rekonstrukci, PENB: B. Cihlový dům, 3. NP.", "Novostavba, energetická třída: Třída C, plně vybavený, 12podlažní dům", "Státní vlastnictví. Částečně vybaven. Velmi dobrý stav.", "Prodej 2+1 OV, po rekonstrukci, ve 4. patře", "dům ov, družstevní 3+1 u parku, OVčárna"]
 
 
 def raw(spark, sf, kind, *also):
@@ -113,7 +113,7 @@ QUERIES = {
     "extract_city": (mapped("place", city=lambda c: E.place(c)["city"], district=lambda c: E.place(c)["district"]), given(5, city=["Praha", "Lhota", "Brno", None, "Plzeň"], district=[None, "Kolín", None, "Beroun", "Plzeň-město"])),
     "extract_date": (mapped("date", day=E.czech_date), given(4, day=["2024-03-01", "2023-11-12", None, None])),
     "extract_floor": (mapped("floor", floor=lambda c: E.floors(c)["floor"], total=lambda c: E.floors(c)["total_floors"]), given(5, floor=[3, 2, None, 10, -1], total=[8, 5, None, 12, 4])),
-    "extract_description": (mined, given(4, energy_rating=[None, "B", "C", None], ownership=["osobní", "družstevní", None, "státní"], construction=["panel", "cihla", None, None], condition=["před rekonstrukcí", "po rekonstrukci", "novostavba", "velmi dobrý"], furnishing=[None, None, "vybavený", "částečně"], floor=[2, 3, None, None], total_floors=[8, None, 12, None])),
+    "extract_description": (mined, given(6, energy_rating=[None, "B", "C", None, None, None], ownership=["osobní", "družstevní", None, "státní", "osobní", "družstevní"], construction=["panel", "cihla", None, None, None, None], condition=["před rekonstrukcí", "po rekonstrukci", "novostavba", "velmi dobrý", "po rekonstrukci", None], furnishing=[None, None, "vybavený", "částečně", None, None], floor=[2, 3, None, None, 4, None], total_floors=[8, None, 12, None, None, None])),
     "extract_page_facts": (page_facts, "SELECT page_id, CAST(page_id AS VARCHAR) AS price, CAST('50.' || page_id AS DOUBLE) AS latitude, CAST('14.' || page_id AS DOUBLE) AS longitude, '/a' || page_id || '.jpg,/b.jpg' AS photos, page_id || ' m2' AS area, 1000000 + page_id AS total, CAST(ceil((1000000 + page_id) / 20) AS BIGINT) AS pages FROM pages"),
     "extract_pages_host": (lambda spark, sf: pages(spark, sf).select("page_id", E.host(F.col("url")).alias("host"), E.covered(F.col("url"), ["example.org", "ththth.example.com"]).alias("covered")), f"SELECT page_id, {HOST} AS host, ({HOST} = 'example.org' OR {HOST} LIKE '%.example.org' OR {HOST} = 'ththth.example.com' OR {HOST} LIKE '%.ththth.example.com') AS covered FROM pages"),
     "extract_page_title": (lambda spark, sf: pages(spark, sf).select("page_id", X.unescaped(E.part(F.col("html"), "(?is)<title>(.*?)</title>")).alias("title")), "SELECT page_id, replace(replace(replace(replace(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages"),
