@@ -11,10 +11,10 @@ coordinates at a time, and a pair goes as soon as the rest cannot bring it to th
 that are already linked, are skipped. What is retained is confirmed on the full sets.
 
 No list emits all its pairs. Short lists give the pairs over the threshold. Long ones first give those of their most
-central member; where components are left apart, members outside the largest one meet all members by their fingerprints:
-common fingerprints are counted by merging their posting lists, and one link per pair of components that meets the
-similarity is given. Lists are dealt in tiles, so that a group is bounded; members outside the largest component go to each
-tile of their list. Thus every pair of different components that shares a list and meets the threshold is tested.
+central member; where components are left apart, members outside the largest one meet all members: sizes and collisions
+are compared first, then fingerprints, and one link per pair of components that meets the similarity is given. Both sides
+are dealt to tiles and meet by pairs of tiles, so that a group holds about two tiles even where all members of a list stay apart. Thus
+every pair of different components that shares a list, collides often enough and meets the similarity is found.
 
 A pair at similarity 0.8 has fewer collisions than the threshold with probability below 1e-6.
 
@@ -177,17 +177,14 @@ def _central(comp, size, low, similarity) -> tuple[int, np.ndarray]:
     return k, near[colliding(low, near, np.full(len(near), k))]
 
 
-def _links(comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, similarity: int) -> list[tuple[int, int]]:
-    """Pairs that join components: for each member that asks, fingerprints in common with all others."""
+def _links(comp: np.ndarray, size: np.ndarray, low: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, turn: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Pairs that join components, of rows that ask with rows that do not.
+
+    Sizes and collisions leave few pairs; of these, fingerprints in common are counted, unless the components are joined by
+    then. ``turn`` orders rows that stand on both sides of a list: such a pair is looked at once.
+    """
+    held = np.flatnonzero(~asks)
     names, member = np.unique(comp, return_inverse=True)
-    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    owner = np.repeat(np.arange(len(sets)), lengths)
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    posted = owner[order]
-    counts = np.bincount(where, minlength=len(values))
-    starts = np.cumsum(counts) - counts
-    ends = np.cumsum(lengths)
     root = np.arange(len(names))
 
     def find(x: int) -> int:
@@ -198,17 +195,12 @@ def _links(comp: np.ndarray, size: np.ndarray, sets: list[np.ndarray], asks: np.
 
     out = []
     for k in np.flatnonzero(asks).tolist():
-        mine = where[ends[k] - lengths[k] : ends[k]]
-        n = counts[mine]
-        stops = np.cumsum(n)
-        merged = posted[np.repeat(starts[mine] - (stops - n), n) + np.arange(stops[-1])]
-        common = np.bincount(merged, minlength=len(sets))
-        near = np.flatnonzero((member != member[k]) & (100 * common >= similarity * (size[k] + size - common)))
-        for c, first in zip(*np.unique(member[near], return_index=True), strict=True):
-            a, b = find(member[k]), find(c)
-            if a != b:
+        near = held[(comp[held] != comp[k]) & ((turn[held] < 0) | (turn[held] >= turn[k])) & (100 * np.minimum(size[held], size[k]) >= similarity * np.maximum(size[held], size[k]))]
+        for j in near[colliding(low, near, np.full(len(near), k))].tolist():
+            a, b = find(member[k]), find(member[j])
+            if a != b and 100 * (common := int(np.isin(sets[k], sets[j]).sum())) >= similarity * (size[k] + size[j] - common):
                 root[a] = b
-                out.append((k, int(near[first])))
+                out.append((k, j))
     return out
 
 
@@ -257,21 +249,40 @@ def first_pairs(similarity: int):
 
 
 def last_links(similarity: int):
-    """Links between the components that are left in long lists."""
+    """Links between the components that are left in long lists, within each pair of tiles."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        key, comp, size, node, prints, asks = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash", "prints", "asks"))
+        key, comp, size, node, prints, asks, turn = (frame[c].to_numpy() for c in ("key", "comp", "n_shingles", "set_hash", "prints", "asks", "turn"))
+        low = np.frombuffer(b"".join(frame["low"]), np.uint8).reshape(len(frame), -1)
         out = []
         for start, length in zip(*_runs(key), strict=True):
             rows = slice(start, start + length)
-            if (comp[rows] != comp[start]).any():
-                found = _links(comp[rows], size[rows], [np.frombuffer(x, np.uint32) for x in prints[rows]], asks[rows], similarity)
+            if asks[rows].any() and not asks[rows].all():
+                found = _links(comp[rows], size[rows], low[rows], [np.frombuffer(x, np.uint32) for x in prints[rows]], asks[rows], turn[rows], similarity)
                 out += [(node[start + a], node[start + b]) for a, b in found]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return _by_list(work)
 
 
+def tiled(rows: DataFrame, apart: DataFrame) -> DataFrame:
+    """Members of long lists, as those that ask and those that are asked, under the pairs of tiles in which they meet.
+
+    ``rows`` has (key, count, set_hash, comp, ...); ``apart`` the lists with several components: (key, salt, largest, asking),
+    the last the number of members outside the largest component. Those that ask are dealt to tiles of their own, all members to
+    tiles of their list, so that a group holds about two tiles, however many of a list's members are apart.
+    """
+    tiles, askers = F.ceil(F.col("count") / TILE), F.ceil(F.col("asking") / TILE)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("set_hash"), F.lit(SALTS)).cast("int")).join(apart, ["key", "salt"]).withColumn("outside", F.col("comp") != F.col("largest"))
+    turn = F.when(F.col("outside"), F.shiftrightunsigned(F.xxhash64("set_hash"), 1)).otherwise(-1)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    asked = F.transform(every(askers), lambda a: F.struct(a.alias("x"), F.pmod(F.xxhash64("set_hash", "key"), tiles).cast("long").alias("y"), F.lit(False).alias("asks")))
+    asking = F.transform(every(tiles), lambda t: F.struct(F.pmod(F.xxhash64("key", "set_hash"), askers).cast("long").alias("x"), t.alias("y"), F.lit(True).alias("asks")))
+    places = F.when(F.col("outside"), F.concat(asked, asking)).otherwise(asked)
+    rows = rows.withColumns({"turn": turn, "at": F.explode(places)})
+    return rows.withColumns({"key": F.when(tiles * askers > 1, F.xxhash64("key", "at.x", "at.y")).otherwise(F.col("key")), "asks": F.col("at.asks")})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, of each node in ``edges`` (a, b), by large-star and small-star steps."""
     both = lambda e: e.union(e.select("b", "a")).toDF("u", "v")
@@ -331,22 +342,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     comps = stored(components(edges), "near-components")
 
     # Long lists whose members are not one component yet.
-    facts = members.join(comps, members.rep == comps.node, "left").select("set_hash", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    facts = members.join(comps, members.rep == comps.node, "left").select("set_hash", "n_shingles", "low", F.coalesce("comp", "rep").alias("comp"))
     rows = posted.where(F.col("count") > SHORT).join(facts, "set_hash")
-    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("largest"), F.count("*").alias("comps"))
+    sizes = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("largest"), F.count("*").alias("comps"), (F.sum("count") - F.max("count")).alias("asking"))
     each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    apart = sizes.where("comps > 1").select("key", "largest", each)
+    apart = sizes.where("comps > 1").select("key", "largest", "asking", each)
 
     @F.pandas_udf("binary")
     def brief(found: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in found], dtype=object)
 
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("set_hash"), F.lit(SALTS)).cast("int")).join(apart, ["key", "salt"]).withColumn("asks", F.col("comp") != F.col("largest")).join(sets.select("set_hash", brief("shingles").alias("prints")), "set_hash")
-    # Every member stands in one tile of its list; those that ask go to all.
-    every = F.sequence(F.lit(0).cast("long"), tiles - 1)
-    rows = rows.withColumn("tile", F.explode(F.when(F.col("asks"), every).otherwise(F.array(tile.cast("long")))))
-    rows = rows.withColumn("key", F.when(tiles > 1, F.xxhash64("key", "tile")).otherwise(F.col("key")))
-    rows = rows.select("key", "set_hash", "comp", "n_shingles", "prints", "asks").repartition("key").sortWithinPartitions("key", "set_hash")
+    rows = tiled(rows, apart).join(sets.select("set_hash", brief("shingles").alias("prints")), "set_hash")
+    rows = rows.select("key", "set_hash", "comp", "n_shingles", "low", "prints", "asks", "turn").repartition("key").sortWithinPartitions("key", "set_hash")
     more = _confirmed(rows.mapInPandas(last_links(similarity), "a binary, b binary"), sets, members, similarity)
     # What is linked already counts as one edge each.
     edges = stored(comps.select("node", "comp").union(more), "near-links").toDF("a", "b")

@@ -231,3 +231,36 @@ def test_components(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert found == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_lists_that_stay_apart_make_bounded_groups(spark, monkeypatch):
+    """A list of many members, all components of their own: groups stay at two tiles, and all pairs meet once."""
+    monkeypatch.setattr(near_dedup, "TILE", 64)
+    n = 1500
+    rows = spark.range(n).selectExpr("7L AS key", f"{n}L AS count", "sha2(string(id), 256) AS set_hash", "id AS comp")
+    apart = spark.range(near_dedup.SALTS).selectExpr("7L AS key", "int(id) AS salt", "3L AS largest", f"{n - 1}L AS asking")
+    found = near_dedup.tiled(rows, apart).select("key", "comp", "asks", "turn").collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.key, []).append(r)
+    assert max(map(len, groups.values())) <= 4 * 64
+    met = {}
+    for members in groups.values():
+        held = [r for r in members if not r.asks]
+        for a in (r for r in members if r.asks):
+            for b in held:
+                if b.comp != a.comp and (b.turn < 0 or b.turn >= a.turn):
+                    pair = (min(a.comp, b.comp), max(a.comp, b.comp))
+                    met[pair] = met.get(pair, 0) + 1
+    assert len(met) == n * (n - 1) // 2 and set(met.values()) == {1}
+
+
+def test_links_between_tiles(spark, monkeypatch):
+    """Chains of near copies among texts that share half their words and stay apart, over many tiles."""
+    monkeypatch.setattr(near_dedup, "SHORT", 4)
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(k, f"{shared} " + " ".join(f"t{k}_{j}" for j in range(45))) for k in range(60)]
+    rows += [(100 + k, f"{rows[k][1]} tail{k}") for k in range(0, 60, 7)]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: d - 100 if d >= 100 else d for d in found}
