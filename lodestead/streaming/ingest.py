@@ -1,7 +1,15 @@
-"""Continuous ingest: micro-batches of landed listings become snapshots, each deduplicated as it arrives."""
+"""Continuous ingest: micro-batches of landed listings become snapshots, each deduplicated as it arrives.
+
+Several sources are one loop: their streams are united, each at its own rate, and a cycle takes in what they bring, clusters
+it and sweeps. A cycle's snapshot has the cycle's number and depends on the one before alone, so a loop that stops at its
+deadline, or fails in mid-cycle, goes on from its checkpoint to the same tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +43,35 @@ def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, now:
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+Sweep = Callable[[DataFrame, Column], DataFrame]
+
+
+def united(spark: SparkSession, landing: str, rates: dict[str, int], schema) -> DataFrame:
+    """The streams of the sources below ``landing``, a folder each; ``rates`` are landed files a cycle."""
+    each = [spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(f"{landing}/{source}") for source, n in sorted(rates.items())]
+    return reduce(DataFrame.unionByName, each)
+
+
+def watch(spark: SparkSession, landing: str, rates: dict[str, int], folder: str, checkpoint: str, schema, now: Callable[[int], Column], sweeps: tuple[Sweep, ...] = (), deadline: float | None = None, period: str | None = None) -> bool:
+    """Run cycles over all sources until nothing new has landed or the deadline (seconds) is over; whether all was taken in.
+
+    ``now`` gives a cycle's time, ``sweeps`` are (state, now) -> state, run in order after the clusters. With ``period`` cycles
+    start that often and the loop goes on until its deadline.
+    """
+
+    def cycle(batch: DataFrame, number: int) -> None:
+        at = now(number)
+        state = apply(batch.sparkSession.read.parquet(snapshot(folder, number)), batch, at)
+        reduce(lambda rows, sweep: sweep(rows, at), sweeps, state).write.mode("overwrite").parquet(snapshot(folder, number + 1))
+
+    writer = united(spark, landing, rates, schema).writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=period) if period else writer.trigger(availableNow=True)).start()
+    try:
+        return query.awaitTermination(deadline) if deadline is not None else query.awaitTermination() is None
+    finally:
+        query.stop()
+
+
 def idempotent_keys(stream: DataFrame, keys: list[str], moment: str, delay: str) -> DataFrame:
     """A stream whose repeated keys pass once within the delay; older state is dropped."""
     return stream.withWatermark(moment, delay).dropDuplicatesWithinWatermark(keys)
