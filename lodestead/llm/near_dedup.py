@@ -180,11 +180,17 @@ def _central(comp, size, low, similarity) -> tuple[int, np.ndarray]:
 def _links(comp: np.ndarray, size: np.ndarray, low: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, turn: np.ndarray, similarity: int) -> list[tuple[int, int]]:
     """Pairs that join components, of rows that ask with rows that do not.
 
-    Sizes and collisions leave few pairs; of these, fingerprints in common are counted, unless the components are joined by
-    then. ``turn`` orders rows that stand on both sides of a list: such a pair is looked at once.
+    Sizes and collisions come first. Where they leave a row of a component that is not joined yet, fingerprints in common
+    are counted by merging posting lists. ``turn`` orders rows that stand on both sides of a list: such a pair is looked at
+    once.
     """
     held = np.flatnonzero(~asks)
     names, member = np.unique(comp, return_inverse=True)
+    lengths = np.fromiter((len(sets[j]) for j in held), np.int64, len(held))
+    values, where = np.unique(np.concatenate([sets[j] for j in held]), return_inverse=True)
+    posted = np.repeat(np.arange(len(held)), lengths)[np.argsort(where, kind="stable")]
+    counts = np.bincount(where, minlength=len(values))
+    starts = np.cumsum(counts) - counts
     root = np.arange(len(names))
 
     def find(x: int) -> int:
@@ -195,12 +201,24 @@ def _links(comp: np.ndarray, size: np.ndarray, low: np.ndarray, sets: list[np.nd
 
     out = []
     for k in np.flatnonzero(asks).tolist():
-        near = held[(comp[held] != comp[k]) & ((turn[held] < 0) | (turn[held] >= turn[k])) & (100 * np.minimum(size[held], size[k]) >= similarity * np.maximum(size[held], size[k]))]
-        for j in near[colliding(low, near, np.full(len(near), k))].tolist():
-            a, b = find(member[k]), find(member[j])
-            if a != b and 100 * (common := int(np.isin(sets[k], sets[j]).sum())) >= similarity * (size[k] + size[j] - common):
+        mine = find(member[k])
+        near = np.flatnonzero((comp[held] != comp[k]) & ((turn[held] < 0) | (turn[held] >= turn[k])) & (100 * np.minimum(size[held], size[k]) >= similarity * np.maximum(size[held], size[k])))
+        near = near[colliding(low, held[near], np.full(len(near), k))]
+        apart = {c for c in np.unique(member[held[near]]).tolist() if find(c) != mine}
+        if not apart:
+            continue
+        near = near[np.isin(member[held[near]], list(apart))]
+        at = np.minimum(np.searchsorted(values, sets[k]), len(values) - 1)
+        at = at[values[at] == sets[k]]
+        stops = np.cumsum(counts[at])
+        merged = posted[np.repeat(starts[at] - (stops - counts[at]), counts[at]) + np.arange(stops[-1] if len(at) else 0)]
+        common = np.bincount(merged, minlength=len(held))[near]
+        near = near[100 * common >= similarity * (size[k] + size[held[near]] - common)]
+        for c, first in zip(*np.unique(member[held[near]], return_index=True), strict=True):
+            a, b = find(member[k]), find(c)
+            if a != b:
                 root[a] = b
-                out.append((k, j))
+                out.append((k, int(held[near[first]])))
     return out
 
 
