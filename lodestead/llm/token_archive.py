@@ -50,7 +50,7 @@ PARTITION, BLOCK = 64 << 20, 8 << 20
 #: Bytes of text that are encoded together.
 TEXTS = 8 << 20
 #: Chunks of text a worker remembers, the longest of them, how many are encoded at once and what stands between them.
-REMEMBERED, LONGEST, TOGETHER, MARK = 700_000, 64, 2048, "\x00"
+REMEMBERED, LONGEST, TOGETHER, MARK = 640_000, 64, 4096, "\x00"
 
 
 def default_path() -> str:
@@ -106,7 +106,7 @@ class Encoder:
         parted = pc.ascii_split_whitespace(pa.array([self.folded(t) for t in texts], pa.large_binary()).cast(pa.large_string()))
         words = parted.flatten().dictionary_encode()
         distinct, places = words.dictionary.cast(pa.large_binary()).to_pylist(), words.indices.to_numpy()
-        self.learn(distinct)
+        long = self.learn(distinct)
         arrays = list(map(self.known.__getitem__, distinct))
         # Every word's ids, gathered from those of the distinct words.
         ids, lengths = np.frombuffer(b"".join(arrays), self.type), np.fromiter(map(len, arrays), np.int64, len(arrays)) // self.width
@@ -114,21 +114,22 @@ class Encoder:
         until = np.append(0, np.cumsum(n))
         flat = ids[np.arange(until[-1]) + np.repeat((np.cumsum(lengths) - lengths)[places] - until[:-1], n)] if len(n) else ids
         ends = until[parted.offsets.to_numpy()].tolist()
-        self.forget(distinct)
+        self.forget(long)
         return [flat[a:b].tobytes() + self.end for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def folded(self, text: bytes) -> bytes:
         low = text.lower()
         return text if b"\xcc" in low or b"\xcd" in low or any(x in low for x in self.added) else low
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Put all of ``chunks`` into memory. What the older half has moves to the newer one."""
+    def learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Put all of ``chunks`` into memory; gives the long ones among the new. What the older half has moves to the newer one."""
         known, older = self.known, self.older
         chunks = set(chunks).difference(known)
         held = list(chunks.intersection(older))
         known.update(zip(held, map(older.__getitem__, held), strict=True))
         stems, stopped = set(), []
-        for chunk in chunks.difference(held):
+        new = chunks.difference(held)
+        for chunk in new:
             if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum():
                 stopped.append(chunk)
                 stems.add(chunk[:-1])
@@ -148,10 +149,11 @@ class Encoder:
         known.update((c, self.bytes_of(c.decode())) for c in marked)
         for chunk in stopped:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1:]]
+        return [c for c in new if len(c) > LONGEST]
 
-    def forget(self, chunks: list[bytes]) -> None:
+    def forget(self, long: list[bytes]) -> None:
         """Long chunks are not remembered; half of the memory goes when it is full."""
-        for chunk in [c for c in chunks if len(c) > LONGEST]:
+        for chunk in long:
             self.known.pop(chunk, None)
             self.known.pop(chunk[:-1], None)
         if len(self.known) > REMEMBERED // 2:
@@ -359,9 +361,10 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    work = stored(blocks(spark, folder), "token-runs")
+    work = blocks(spark, folder)
+    runs = max(1, min(100_000, sum(size for _, size in listed(folder, SUFFIX)) // BLOCK + len(listed(folder, SUFFIX))))
     columns = "doc_id long, file string, document long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return work.select("file", "first", "last", "before", "block").repartition(max(1, min(100_000, work.count())), "file", "block").mapInPandas(run, columns)
+    return work.select("file", "first", "last", "before", "block").repartition(runs, "file", "block").mapInPandas(run, columns)
 
 
 def lookup(places: DataFrame, folder: str) -> DataFrame:
