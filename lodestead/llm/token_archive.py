@@ -50,7 +50,7 @@ PARTITION, BLOCK = 64 << 20, 8 << 20
 #: Bytes of text that are encoded together.
 TEXTS = 8 << 20
 #: Chunks of text a worker remembers, the longest of them, how many are encoded at once and what stands between them.
-REMEMBERED, LONGEST, TOGETHER, MARK = 640_000, 64, 4096, "\x00"
+REMEMBERED, LONGEST, TOGETHER, MARK = 1_200_000, 64, 2048, "\x00"
 
 
 def default_path() -> str:
@@ -75,7 +75,9 @@ class Encoder:
     Where texts are separable, each chunk between white space is encoded once and remembered. Chunks are told apart without
     the case of ASCII letters, which the file's normalizer drops, unless the text has combining marks that may compose
     with such a letter, or an added token in either case. A full stop or comma after an ASCII letter or digit is a
-    piece of its own. New chunks are encoded many at a time, with a separator between them that has an id of its own.
+    piece of its own, so the chunk is remembered without it. New chunks are encoded many at a time, with a mark between
+    them that has an id of its own. The memory is one Arrow array of chunks and one array of their ids; the older
+    half goes when it is full.
     """
 
     def __init__(self, file: bytes, end: int = END):
@@ -90,74 +92,80 @@ class Encoder:
         self.type = f"<u{self.width}"
         self.end = np.array([end], self.type).tobytes()
         self.added = [x["content"].lower().encode() for x in data.get("added_tokens", [])]
-        parted = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = parted[0] if len(parted) == 1 else None
-        self.separable = separable(data) and self.mark is not None
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        single = [self.ids_of(x) for x in (MARK, ".", ",")]
+        self.separable = separable(data) and all(len(x) == 1 for x in single)
+        self.mark, *self.stops = [x[0] for x in single if len(x)]
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.lengths = np.empty(0, self.type), np.empty(0, np.int64)
 
-    def bytes_of(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The arrays of a batch."""
         if not self.separable:
-            return [self.bytes_of(text.decode()) + self.end for text in texts]
+            return [self.ids_of(text.decode()).tobytes() + self.end for text in texts]
         parted = pc.ascii_split_whitespace(pa.array([self.folded(t) for t in texts], pa.large_binary()).cast(pa.large_string()))
         words = parted.flatten().dictionary_encode()
-        distinct, places = words.dictionary.cast(pa.large_binary()).to_pylist(), words.indices.to_numpy()
-        long = self.learn(distinct)
-        arrays = list(map(self.known.__getitem__, distinct))
-        # Every word's ids, gathered from those of the distinct words.
-        ids, lengths = np.frombuffer(b"".join(arrays), self.type), np.fromiter(map(len, arrays), np.int64, len(arrays)) // self.width
-        n = lengths[places]
-        until = np.append(0, np.cumsum(n))
-        flat = ids[np.arange(until[-1]) + np.repeat((np.cumsum(lengths) - lengths)[places] - until[:-1], n)] if len(n) else ids
+        ids, lengths = self.of_chunks(words.dictionary)
+        flat, until = _gathered(ids, lengths, words.indices.to_numpy())
         ends = until[parted.offsets.to_numpy()].tolist()
-        self.forget(long)
         return [flat[a:b].tobytes() + self.end for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def folded(self, text: bytes) -> bytes:
         low = text.lower()
         return text if b"\xcc" in low or b"\xcd" in low or any(x in low for x in self.added) else low
 
-    def learn(self, chunks: list[bytes]) -> list[bytes]:
-        """Put all of ``chunks`` into memory; gives the long ones among the new. What the older half has moves to the newer one."""
-        known, older = self.known, self.older
-        chunks = set(chunks).difference(known)
-        held = list(chunks.intersection(older))
-        known.update(zip(held, map(older.__getitem__, held), strict=True))
-        stems, stopped = set(), []
-        new = chunks.difference(held)
-        for chunk in new:
-            if chunk[-1:] in (b".", b",") and chunk[-2:-1].isalnum():
-                stopped.append(chunk)
-                stems.add(chunk[:-1])
-            else:
-                stems.add(chunk)
-        stems.update((b".", b","))
-        mark = MARK.encode()
-        stems = list(stems.difference(known))
-        marked = [c for c in stems if mark in c] if mark in b" ".join(stems) else []
-        plain = [c for c in stems if mark not in c] if marked else stems
-        for k in range(0, len(plain), TOGETHER):
-            some = plain[k : k + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + mark + b" ").join(some).decode()], add_special_tokens=False)[0].ids, self.type)
+    def of_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after another, and how many each has."""
+        stopped = pc.match_substring_regex(chunks, r"[0-9A-Za-z][.,]$").to_numpy(zero_copy_only=False)
+        stems = pc.if_else(pa.array(stopped), pc.utf8_slice_codeunits(chunks, 0, -1), chunks).dictionary_encode()
+        ids, lengths = self.of_stems(stems.dictionary)
+        flat, until = _gathered(ids, lengths, stems.indices.to_numpy(), stopped)
+        comma = pc.ends_with(chunks, ",").to_numpy(zero_copy_only=False)
+        flat[until[1:][stopped] - 1] = np.where(comma[stopped], self.stops[1], self.stops[0])
+        return flat, np.diff(until)
+
+    def of_stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = pc.index_in(stems, value_set=self.known)
+        new = stems.filter(pc.is_null(at))
+        made = self.made(new.to_pylist())
+        lengths = np.fromiter(map(len, made), np.int64, len(made)) // self.width
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), self.type)])
+        places = at.fill_null(0).to_numpy().astype(np.int64)
+        places[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        flat, until = _gathered(ids, np.concatenate([self.lengths, lengths]), places)
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        kept = short.to_numpy(zero_copy_only=False)
+        self.known = pa.concat_arrays([self.known, new.filter(short)])
+        self.ids, self.lengths = np.concatenate([self.ids, np.frombuffer(b"".join([x for x, k in zip(made, kept.tolist(), strict=True) if k]), self.type)]), np.concatenate([self.lengths, lengths[kept]])
+        if (n := len(self.known) // 2) > REMEMBERED // 2:
+            self.known, self.ids, self.lengths = pa.concat_arrays([self.known.slice(n)]), self.ids[self.lengths[:n].sum() :].copy(), self.lengths[n:].copy()
+        return flat, np.diff(until)
+
+    def made(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks as bytes, many encoded at once."""
+        out = []
+        for k in range(0, len(chunks), TOGETHER):
+            some = chunks[k : k + TOGETHER]
+            if MARK in "".join(some):
+                out += [self.ids_of(c).tobytes() for c in some]
+                continue
+            ids = self.ids_of(f" {MARK} ".join(some))
             at = self.width * np.flatnonzero(ids == self.mark)
             data = ids.tobytes()
-            known.update(zip(some, map(data.__getitem__, map(slice, [0, *(at + self.width).tolist()], [*at.tolist(), len(data)])), strict=True))
-        known.update((c, self.bytes_of(c.decode())) for c in marked)
-        for chunk in stopped:
-            known[chunk] = known[chunk[:-1]] + known[chunk[-1:]]
-        return [c for c in new if len(c) > LONGEST]
-
-    def forget(self, long: list[bytes]) -> None:
-        """Long chunks are not remembered; half of the memory goes when it is full."""
-        for chunk in long:
-            self.known.pop(chunk, None)
-            self.known.pop(chunk[:-1], None)
-        if len(self.known) > REMEMBERED // 2:
-            self.known, self.older = {}, self.known
+            out += map(data.__getitem__, map(slice, [0, *(at + self.width).tolist()], [*at.tolist(), len(data)]))
+        return out
+
+
+def _gathered(ids: np.ndarray, lengths: np.ndarray, places: np.ndarray, more: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The runs at ``places`` one after another, each with ``more`` ids behind it that are still to be set, and where they begin and end."""
+    n = lengths[places] + more
+    until = np.append(0, np.cumsum(n))
+    if not len(ids):
+        return np.zeros(until[-1], ids.dtype), until
+    at = np.arange(until[-1]) + np.repeat((np.cumsum(lengths) - lengths)[places] - until[:-1], n)
+    return ids[np.minimum(at, len(ids) - 1, out=at)], until
 
 
 @cache

@@ -91,7 +91,7 @@ def test_pieces_between_white_space(tokenizer):
     wanted = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], encoder.type).tobytes() for t in odd]
     raw = [t.encode() for t in odd]
     assert encoder.encode(raw) == wanted == encoder.encode(raw) == [encoder.encode([x])[0] for x in raw]
-    assert max(map(len, encoder.known)) <= token_archive.LONGEST
+    assert max(len(x.encode()) for x in encoder.known.to_pylist()) <= token_archive.LONGEST
 
 
 def test_registered_query(spark, sf, tokenizer):
