@@ -98,3 +98,13 @@ def sample(rows: DataFrame, n: int, seed: str) -> DataFrame:
 
 def sample_blocks(rows: DataFrame, share: float, seed: int) -> DataFrame:
     return rows.sample(share, seed)
+
+
+def file_blocks(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """A share of the blocks that a table's files are read in, each with all its rows: what a block holds is not looked at.
+
+    ``rows`` are read from files. A block is in or out by its file's name, its start and the seed, so a seed gives the same
+    blocks as long as files are read in blocks of one size.
+    """
+    name, start = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
+    return rows.where(F.pmod(F.xxhash64(name, start, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))

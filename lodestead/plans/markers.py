@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import markers as M
+from ..operators import materialised as I
 from ..operators import stats as T
 from ..sources.adapter import listings, watchdogs
 from .oracle import LISTINGS, WATCHDOGS
@@ -48,7 +49,35 @@ KM2 = f"abs((({d}) - ({a})) * 111 * (({e}) - ({b})) * 111 * cos(radians((({a}) +
 TALL = "SELECT '{0}' AS dimension, {0} AS value, count(*) AS cnt FROM listings WHERE is_active GROUP BY 2"
 ACTIVE = "FROM listings WHERE is_active"
 
+def changed_listings(spark, sf):
+    """Listings after a while: some gone inactive, some at other prices or places, some taken away, and new ones."""
+    rows, i = listings(spark, sf), F.col("id")
+    after = rows.where(i % 13 != 0).withColumns({"is_active": F.col("is_active") & (i % 5 != 0), "price": F.when(i % 3 == 0, F.col("price") + 1000).when(i % 17 == 0, None).otherwise(F.col("price")), "latitude": F.when(i % 7 == 0, F.col("latitude") + 0.25).otherwise(F.col("latitude"))})
+    return rows, after.unionByName(rows.where(i % 11 == 0).withColumns({"id": -i, "city": F.lit("Nová")}))
+
+
+AFTER = f"""{LISTINGS}, a AS (SELECT id, is_active AND id % 5 <> 0 AS is_active, CASE WHEN id % 3 = 0 THEN price + 1000 WHEN id % 17 = 0 THEN NULL ELSE price END AS price, CASE WHEN id % 7 = 0 THEN latitude + CAST(0.25 AS DOUBLE) ELSE latitude END AS latitude, longitude, source, property_type, transaction_type, city FROM listings WHERE id % 13 <> 0
+ UNION ALL SELECT -id, is_active, price, latitude, longitude, source, property_type, transaction_type, 'Nová' FROM listings WHERE id % 11 = 0)"""
+
+
+def refreshed_grid(spark, sf):
+    """The grid of the changed listings, made from the grid before and the changes."""
+    before, after = changed_listings(spark, sf)
+    found = I.refreshed_cells(I.cells(before), I.changes(before, after), after)
+    return found.select("lat", "lng", "cnt", F.round(F.try_divide(F.col("price_sum").cast("double"), "price_cnt"), 4).alias("avg_price"), "min_id")
+
+
+def refreshed_stats(spark, sf):
+    before, after = changed_listings(spark, sf)
+    return I.tall(I.refreshed_counts(I.counts(before), I.changes(before, after)))
+
+
+TALL = " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS cnt FROM a WHERE is_active GROUP BY 2" for c in ("source", "property_type", "transaction_type"))
+
+
 QUERIES = {
+    "refreshed_grid": (refreshed_grid, f"{AFTER} SELECT {CELL.format('latitude', 3)} AS lat, {CELL.format('longitude', 3)} AS lng, {COUNT}, round(avg(price), 4) AS avg_price, min(id) AS min_id FROM a WHERE is_active AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2"),
+    "refreshed_stats": (refreshed_stats, f"{AFTER} {TALL} UNION ALL SELECT * FROM (SELECT 'city', city, count(*) AS n FROM a WHERE is_active AND city IS NOT NULL GROUP BY 2 ORDER BY n DESC, city LIMIT 10) UNION ALL SELECT 'overall', NULL, count(*) FROM a WHERE is_active UNION ALL SELECT 'inactive', NULL, count(*) FROM a WHERE NOT is_active"),
     "stats_total": (lambda spark, sf: T.totals(listings(spark, sf)), f"{LISTINGS} SELECT count(*) AS total_all, count(*) FILTER (WHERE is_active) AS total_active, count(*) FILTER (WHERE NOT is_active) AS inactive FROM listings"),
     "stats_by_source": (counted("source"), f"{LISTINGS} SELECT source, {COUNT} {ACTIVE} GROUP BY 1"),
     "stats_by_type": (counted("property_type"), f"{LISTINGS} SELECT property_type, {COUNT} {ACTIVE} GROUP BY 1"),
