@@ -72,12 +72,12 @@ def refreshed_stats(spark, sf):
     return I.tall(I.refreshed_counts(I.counts(before), I.changes(before, after)))
 
 
-TALL = " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS cnt FROM a WHERE is_active GROUP BY 2" for c in ("source", "property_type", "transaction_type"))
+AFTER_TALL = " UNION ALL ".join(f"SELECT '{c}' AS dimension, {c} AS value, count(*) AS cnt FROM a WHERE is_active GROUP BY 2" for c in ("source", "property_type", "transaction_type"))
 
 
 QUERIES = {
     "refreshed_grid": (refreshed_grid, f"{AFTER} SELECT {CELL.format('latitude', 3)} AS lat, {CELL.format('longitude', 3)} AS lng, {COUNT}, round(avg(price), 4) AS avg_price, min(id) AS min_id FROM a WHERE is_active AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1, 2"),
-    "refreshed_stats": (refreshed_stats, f"{AFTER} {TALL} UNION ALL SELECT * FROM (SELECT 'city', city, count(*) AS n FROM a WHERE is_active AND city IS NOT NULL GROUP BY 2 ORDER BY n DESC, city LIMIT 10) UNION ALL SELECT 'overall', NULL, count(*) FROM a WHERE is_active UNION ALL SELECT 'inactive', NULL, count(*) FROM a WHERE NOT is_active"),
+    "refreshed_stats": (refreshed_stats, f"{AFTER} {AFTER_TALL} UNION ALL SELECT * FROM (SELECT 'city', city, count(*) AS n FROM a WHERE is_active AND city IS NOT NULL GROUP BY 2 ORDER BY n DESC, city LIMIT 10) UNION ALL SELECT 'overall', NULL, count(*) FROM a WHERE is_active UNION ALL SELECT 'inactive', NULL, count(*) FROM a WHERE NOT is_active"),
     "stats_total": (lambda spark, sf: T.totals(listings(spark, sf)), f"{LISTINGS} SELECT count(*) AS total_all, count(*) FILTER (WHERE is_active) AS total_active, count(*) FILTER (WHERE NOT is_active) AS inactive FROM listings"),
     "stats_by_source": (counted("source"), f"{LISTINGS} SELECT source, {COUNT} {ACTIVE} GROUP BY 1"),
     "stats_by_type": (counted("property_type"), f"{LISTINGS} SELECT property_type, {COUNT} {ACTIVE} GROUP BY 1"),
