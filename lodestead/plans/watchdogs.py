@@ -85,7 +85,7 @@ QUERIES = {
     "watchdog_toggle": (lambda spark, sf: W.toggled(watchdogs(spark, sf), watchdogs(spark, sf).where("id % 2 = 0")).select("id", "active"), f"{BASE} SELECT id, active <> (id % 2 = 0) AS active FROM watchdogs"),
     "watchdog_delete": (lambda spark, sf: W.deleted(watchdogs(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")), watchdogs(spark, sf).where("id % 3 = 0"), present()).select("id", "active", F.col("deleted_at").isNotNull().alias("gone")), f"{BASE} SELECT id, active AND id % 3 <> 0 AS active, id % 3 = 0 AS gone FROM watchdogs"),
     "watchdog_unique_guard": (lambda spark, sf: W.taken(watchdogs(spark, sf).where("id % 4 <> 0"), watchdogs(spark, sf).select("id", "email")).select("id"), f"{BASE} SELECT id FROM watchdogs WHERE email_canonical IN (SELECT email_canonical FROM watchdogs WHERE active AND id % 4 <> 0)"),
-    "filter_shape_guard": (lambda spark, sf: watchdogs(spark, sf).select("id", W.too_wide(F.col("filters")).alias("too_wide")), f"{BASE} SELECT id, coalesce(price_min > 0 AND price_max / price_min > 10, FALSE) OR coalesce(size_max - size_min > 1000, FALSE) AS too_wide FROM watchdogs"),
+    "filter_shape_guard": (lambda spark, sf: watchdogs(spark, sf).select("id", W.too_wide(F.col("filters")).alias("too_wide")), f"{BASE} SELECT id, coalesce(abs((ne_lat - sw_lat) * 111 * (ne_lng - sw_lng) * 111 * cos(radians((sw_lat + ne_lat) / 2))) > 1000, FALSE) OR coalesce(price_min > 0 AND price_max / price_min > 10, FALSE) OR coalesce(size_max - size_min > 1000, FALSE) AS too_wide FROM watchdogs"),
     "filter_schema": (stored_filters, f"{BASE} SELECT id, CASE id % 8 WHEN 1 THEN 'colour: unknown' WHEN 2 THEN 'location: type' WHEN 3 THEN 'sw_lng: bounds' WHEN 4 THEN 'not an object' WHEN 6 THEN 'price_min: type; ne_lat: bounds; area: unknown' END AS errors FROM watchdogs"),
     "watchdog_batch_ends": (batch_ends, f"{BASE}, n AS (SELECT id + 1000000 AS id FROM watchdogs WHERE email_canonical NOT IN (SELECT email_canonical FROM watchdogs WHERE active)) SELECT id, active, CASE WHEN id % 5 = 0 THEN TRUE WHEN last_notified_at IS NOT NULL THEN FALSE END AS told FROM watchdogs UNION ALL SELECT id, TRUE, NULL FROM n"),
     "watchdog_mailbox": (lambda spark, sf: W.of_mailbox(watchdogs(spark, sf).withColumn("deleted_at", F.when(F.col("id") % 7 == 0, present())).withColumn("email", F.when(F.col("id") % 3 == 0, "U.ser0+a@googlemail.com").otherwise(F.col("email"))), F.lit("user0@gmail.com")).select("id"), f"{BASE} SELECT id FROM watchdogs WHERE id % 3 = 0 AND id % 7 <> 0"),

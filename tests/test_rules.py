@@ -250,3 +250,11 @@ def test_siblings_join_two_listings_of_a_source(spark, sf):
     for r in every:
         others = {s: min((x for x in every if x.source == s and x.id != r.id), key=key).id for s in {x.source for x in every if x.id != r.id}}
         assert found[r.id] == others
+
+
+def test_box_of_a_stored_search(spark, sf):
+    """A box of some 30 km a side passes, a wide one and one the wrong way round of that size do not, one without all corners does."""
+    boxes = [(50.0, 14.0, 50.25, 14.4), (50.0, 14.0, 50.5, 15.0), (50.5, 15.0, 50.0, 14.0), (50.0, 14.0, 59.0, None)]
+    schema = "sw_lat double, sw_lng double, ne_lat double, ne_lng double, price_min double, price_max double, size_min double, size_max double"
+    rows = spark.createDataFrame([(*b, None, None, None, None) for b in boxes], schema).select(F.struct("*").alias("f"))
+    assert [r[0] for r in rows.select(watchdogs.too_wide(F.col("f"))).collect()] == [False, True, True, False]
