@@ -2,28 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import Stage
+
+
+#: Rows of the sweep: ``part`` is the range of titles that a row lies in.
+SWEPT = "title string, own long, near long"
+
 
 def by_title(cards: DataFrame, offers: DataFrame) -> DataFrame:
-    """(card_id, offer_id): the same title, else one a prefix of the other; the first of the best rank wins.
+    """(card_id, offer_id, rank): the same title, else one a prefix of the other; the first of the best rank wins.
 
-    Both directions are equi-joins of whole titles with the proper prefixes of the other side's distinct titles, of any
-    length. Prefixes are grouped before they are joined, so each title meets one row.
+    Sorted, titles that begin alike lie side by side: a title's extensions follow it at once. So both sides' distinct titles
+    are dealt to ranges and each range is read once in order, with a stack of the titles that are prefixes of the current one.
+    What lies before a range and reaches into it can only be a prefix of the range's first title: these few rows are looked
+    up and put before the range, and a title that reaches over several ranges is settled by the least of what they found.
+    No title is multiplied and no key is hot, however many titles share a beginning.
     """
-    first = offers.where("title IS NOT NULL").groupBy("title").agg(F.min("id").alias("offer_id"))
-    titles = cards.where("title IS NOT NULL").select("title").distinct()
-    prefixes = F.explode(F.transform(F.sequence(F.lit(0), F.length("title") - 1), lambda n: F.substring("title", F.lit(1), n)))
-    longer = first.where("length(title) > 0").select("offer_id", prefixes.alias("title")).groupBy("title").agg(F.min("offer_id").alias("offer_id"))
-    shorter = titles.where("length(title) > 0").select(F.col("title").alias("whole"), prefixes.alias("title"))
-    same = titles.join(first, "title").select("title", "offer_id", F.lit(0).alias("rank"))
-    found = same.unionByName(titles.join(longer, "title").select("title", "offer_id", F.lit(1).alias("rank")))
-    found = found.unionByName(shorter.join(first, "title").select(F.col("whole").alias("title"), "offer_id", F.lit(1).alias("rank")))
-    best = found.groupBy("title").agg(F.min_by("offer_id", F.struct("rank", "offer_id")).alias("offer_id"), F.min("rank").alias("rank"))
+    spark = cards.sparkSession
+    stage = Stage(spark, "titles")
+    sides = cards.select("title", F.lit(True).alias("card"), F.lit(None).cast("long").alias("offer"))
+    sides = sides.unionByName(offers.select("title", F.lit(False).alias("card"), F.col("id").cast("long").alias("offer"))).where("title IS NOT NULL")
+    titles = sides.groupBy("title").agg(F.bool_or("card").alias("card"), F.min("offer").alias("offer"))
+    ranged = stage.put(titles.repartitionByRange("title").withColumn("part", F.spark_partition_id()))
+    starts = ranged.groupBy("part").agg(F.min("title").alias("first"))  # a row a range
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("first") - 1), lambda n: F.substring("first", F.lit(1), n))
+    reaching = starts.where("length(first) > 0").select(F.col("part").alias("into"), F.explode(prefixes).alias("title"))
+    carried = ranged.join(reaching, "title").where("part < into").select("title", "card", "offer", F.col("into").alias("part"))
+    rows = ranged.unionByName(carried).repartition("part").sortWithinPartitions("part", "title")
+    found = rows.select("part", "title", "card", "offer").mapInArrow(_sweep, SWEPT)
+    best = found.groupBy("title").agg(F.min("own").alias("own"), F.min("near").alias("near")).where("own IS NOT NULL OR near IS NOT NULL")
+    best = best.select("title", F.coalesce("own", "near").alias("offer_id"), F.when(F.col("own").isNotNull(), 0).otherwise(1).alias("rank"))
     return cards.select(F.col("id").alias("card_id"), "title").join(best, "title").select("card_id", "offer_id", "rank")
 
 
+def _least(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else min(a, b)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cards of sorted ranges with the least offer of their own title, and of titles above and below them on the stack."""
+    stack, at = [], None  # [title, card, own offer, least offer of its prefixes, least offer of its extensions]
+    for batch in batches:
+        done = []
+        for part, title, card, offer in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            while stack and (part != at or not title.startswith(stack[-1][0])):
+                _close(stack, done)
+            above = _least(stack[-1][2], stack[-1][3]) if stack else None
+            stack.append([title, card, offer, above, None])
+            at = part
+        yield _closed(done)
+    done = []
+    while stack:
+        _close(stack, done)
+    yield _closed(done)
+
+
+def _close(stack: list, done: list) -> None:
+    title, card, own, above, below = stack.pop()
+    if stack:
+        stack[-1][4] = _least(stack[-1][4], _least(own, below))
+    if card:
+        done.append((title, own, _least(above, below)))
+
+
+def _closed(done: list) -> pa.RecordBatch:
+    columns = list(zip(*done, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["title", "own", "near"])
+
+
 def needs_detail(page: DataFrame, known: DataFrame) -> DataFrame:
     """Listings of a page that are unknown, or known without description and seller."""
     facts = known.select("external_id", F.lit(True).alias("_known"), F.col("description").alias("_d"), F.col("seller_name").alias("_s"))

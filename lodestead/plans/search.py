@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import search as S
 from ..operators.markers import cards_page
+from ..sources import files
 from ..sources.adapter import listings
+from ..sources.staging import shared_folder
 from .oracle import LISTINGS
 
 COLUMNS = ["id", "price", "size_m2", "city", "source"]
@@ -27,6 +33,16 @@ def found_sql(where, visible=VISIBLE):
     return f"{LISTINGS} SELECT id FROM listings WHERE {visible} AND {where}"
 
 
+def stored(spark, sf):
+    """The listings as a snapshot of their own, ordered by place."""
+    folder = f"{shared_folder(spark)}/listings-{uuid.uuid4().hex}"
+    files.write_snapshot(listings(spark, sf), folder, area=AREA)
+    return files.snapshot(spark, folder)
+
+
+#: South, west, north, east of the places that occur.
+AREA = (48.5, 12.0, 51.1, 18.9)
+
 BOX = {"sw_lat": 49.0, "sw_lng": 13.0, "ne_lat": 50.0, "ne_lng": 15.5}
 BOX_SQL = "latitude BETWEEN 49.0 AND 50.0 AND longitude BETWEEN 13.0 AND 15.5"
 
@@ -51,6 +67,8 @@ QUERIES = {
     "filter_incomplete_bbox": (found({"sw_lat": 49.0, "location": "NATION_3"}), found_sql("(city = 'NATION_3' OR district = 'NATION_3' OR region = 'NATION_3' OR city ILIKE 'NATION_3%' OR district ILIKE 'NATION_3%')")),
     "filter_include_inactive": (found({"city": "NATION_4"}, True), found_sql("city = 'NATION_4'", "TRUE")),
     "filter_combined": (found({**BOX, "price_max": 60000, "furnishing": "furnished,partially", "energy_rating": "A,B,G", "ownership": "personal", "construction": "brick,wood"}), found_sql(f"{BOX_SQL} AND price <= 60000 AND furnishing IN ('furnished', 'partially') AND energy_rating IN ('A', 'B', 'G') AND ownership = 'personal' AND construction IN ('brick', 'wood')")),
+    "snapshot_box": (lambda spark, sf: S.matching(stored(spark, sf), BOX).select("id", "latitude", "longitude"), f"{LISTINGS} SELECT id, latitude, longitude FROM listings WHERE {VISIBLE} AND {BOX_SQL}"),
+    "snapshot_counts": (lambda spark, sf: stored(spark, sf).groupBy("source", F.col("latitude").isNotNull().alias("placed")).agg(F.count("*").alias("n")), f"{LISTINGS} SELECT source, latitude IS NOT NULL AS placed, count(*) AS n FROM listings GROUP BY 1, 2"),
     "search_capped_count": (lambda spark, sf: S.capped_count(listings(spark, sf), {"transaction_type": "sale"}, 500), f"{LISTINGS} SELECT count(*) AS total FROM (SELECT 1 FROM listings WHERE {VISIBLE} AND transaction_type = 'sale' LIMIT 500)"),
     "search_total_pages": (lambda spark, sf: S.total_pages(S.capped_count(listings(spark, sf), {})), f"{LISTINGS} SELECT total, greatest(1, ceil(total / 20.0))::BIGINT AS total_pages FROM (SELECT count(*) AS total FROM (SELECT 1 FROM listings WHERE {VISIBLE} LIMIT 100000))"),
     "marker_cards_page": (lambda spark, sf: cards_page(listings(spark, sf)).select("id", "title", "address", "price"), f"{LISTINGS} SELECT id, title, coalesce(address, city) AS address, price FROM listings WHERE is_active AND latitude IS NOT NULL ORDER BY price DESC NULLS LAST, id LIMIT 20"),

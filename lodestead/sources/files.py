@@ -57,17 +57,47 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEATURE).json(path).select("properties.*", F.get("geometry.coordinates", F.lit(1)).alias("latitude"), F.get("geometry.coordinates", F.lit(0)).alias("longitude"))
 
 
-def write_snapshot(df: DataFrame, path: str, *by: str) -> str:
+#: South, west, north, east of all places, and bits of each axis of the curve.
+WORLD, BITS = (-90.0, -180.0, 90.0, 180.0), 16
+
+
+def curve(latitude: Column, longitude: Column, area: tuple[float, float, float, float] = WORLD) -> Column:
+    """The place on a space-filling (Z-order) curve: near places have near numbers. Outside the area, its edge; null without a place."""
+
+    def spread(x: Column, low: float, high: float) -> Column:
+        top = (1 << BITS) - 1
+        x = F.least(F.lit(top), F.greatest(F.lit(0), F.floor((x - low) / (high - low) * (top + 1)))).cast("long")
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):  # a zero before every bit
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return x
+
+    south, west, north, east = area
+    at = F.shiftleft(spread(latitude, south, north), 1).bitwiseOR(spread(longitude, west, east))
+    return F.when(latitude.isNotNull() & longitude.isNotNull(), at)
+
+
+def placed(df: DataFrame, *by: str, area: tuple[float, float, float, float] = WORLD) -> DataFrame:
+    """Rows dealt to tasks and sorted by ``by`` and then along the curve, so that files and their row groups are small areas.
+
+    Rows without a place follow a hash of their own numbers below all places, so that they are not one task's.
+    """
+    nowhere = -1 - F.pmod(F.xxhash64("id" if "id" in df.columns else F.struct(*df.columns)), F.lit(1 << 31))
+    out = df.withColumn("_curve", F.coalesce(curve(F.col("latitude"), F.col("longitude"), area), nowhere))
+    return out.repartitionByRange(*by, "_curve").sortWithinPartitions(*by, "_curve").drop("_curve")
+
+
+def write_snapshot(df: DataFrame, path: str, *by: str, area: tuple[float, float, float, float] = WORLD, block_bytes: int | None = None) -> str:
     """A new snapshot beside the old ones, named by its number; readers take the last one that is complete.
 
-    Sorted by place, so that row groups prune. A task that fails leaves a folder without the mark of completion, which
-    ``snapshot`` passes over.
+    Where rows have a place they are ordered along a curve, so that a box reads few files and row groups. ``area`` is where
+    the places are (the curve is finer in a small one), ``block_bytes`` the size of a row group. A task that fails leaves a
+    folder without the mark of completion, which ``snapshot`` passes over; a number that another writer took is an error.
     """
-    places = [c for c in ("latitude", "longitude") if c in df.columns]
-    out = df.sortWithinPartitions(*places) if places else df
+    out = placed(df, *by, area=area) if {"latitude", "longitude"} <= set(df.columns) else df.repartition(*by) if by else df
     numbers = [int(name) for name, _ in _snapshots(df.sparkSession, path)]
     target = f"{path}/{max(numbers, default=0) + 1:08d}"
-    out.write.partitionBy(*by).parquet(target)
+    writer = out.write.partitionBy(*by)
+    (writer.option("parquet.block.size", block_bytes) if block_bytes else writer).parquet(target)
     return target
 
 
