@@ -86,6 +86,66 @@ def test_ranges_of_a_tar_find_each_member_once(tmp_path):
         assert names == [f"m{k}" for k in range(40)]
 
 
+def tar_of(path, format_, *members):
+    with tarfile.open(path, mode="w", format=format_) as tar:
+        for name, data in members:
+            info = tarfile.TarInfo(name)
+            if data is None:
+                info.type = tarfile.DIRTYPE
+            info.size = len(data or b"")
+            tar.addfile(info, io.BytesIO(data or b""))
+    return path
+
+
+@pytest.mark.parametrize("format_", [tarfile.USTAR_FORMAT, tarfile.GNU_FORMAT, tarfile.PAX_FORMAT])
+def test_headers_of_all_formats(spark, tmp_path, format_):
+    """Directories, long names, archives in payloads, ranges shorter than members; with an index and without."""
+    r, long = random.Random(3), "d" * 90 + "/" + "n" * 60 if format_ == tarfile.USTAR_FORMAT else "n" * 300 + "ž"
+    inner = tar_of(tmp_path / "inner", format_, ("a", b"x" * 600), ("b", b"y" * 700)).read_bytes()
+    given = [("dir", None), *[(f"m{k}", r.randbytes(r.randint(0, 4000))) for k in range(20)], ("inner.tar", inner), (long, b"long"), ("last", b"")]
+    tar_of(tmp_path / "a.tar", format_, *given)
+    (tmp_path / "none.tar").write_bytes(b"")
+    tar_of(tmp_path / "blank.tar", format_)
+    expected = sorted((name, data) for name, data in given if data is not None)
+    for length in (512, 3000, 1 << 20):
+        rows = media.read(spark, str(tmp_path), length)
+        assert sorted((x.member, bytes(x.payload)) for x in rows.collect()) == expected
+    plain = spark.read.format("tar_ranges").option("path", str(tmp_path)).option("range_bytes", "2048").load()
+    assert sorted((x.member, bytes(x.payload)) for x in plain.collect()) == expected
+
+
+def test_sizes_as_binary_numbers():
+    block = bytearray(tarfile.TarInfo("big").tobuf(tarfile.USTAR_FORMAT))
+    block[124:136] = bytes([0x80]) + (10**12).to_bytes(11, "big")
+    block[148:156] = b" " * 8
+    block[148:156] = b"%06o\0 " % sum(block)
+    assert media.heading(bytes(block)) == ("big", 10**12, b"0")
+    assert media.extended(b"x", b"12 path=a=b\n13 size=1234\n") == {"path": "a=b", "size": "1234"}
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Nothing after a damage is lost unseen: an error, or what is before it and a row that tells where."""
+    whole = tar_of(tmp_path / "whole", tarfile.USTAR_FORMAT, *[(f"m{k}", bytes([k]) * 1500) for k in range(12)]).read_bytes()
+    at = 5 * 2048  # the sixth header
+    cases = {
+        "header": (whole[:at] + b"\1" + whole[at + 1 :], at, "no header", 5),
+        "cut": (whole[: at + 1000], at, "member cut short", 5),
+        "cut-header": (whole[: at + 100], at, "no header", 5),
+        "more": (whole + b"x" * 512, 12 * 2048, "data after the end", 12),
+        "start": (b"x" * 700, 0, "no header", 0),
+    }
+    for name, (data, offset, reason, before) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.tar").write_bytes(data)
+        (tmp_path / name / "whole.tar").write_bytes(whole)
+        with pytest.raises(ValueError, match=f"{reason} at {offset}"):
+            media.read(spark, str(tmp_path / name), 4096)
+        kept = Counter(r.archive[-9:] for r in media.read(spark, str(tmp_path / name), 4096, "keep").collect())
+        assert sum(kept.values()) == before + 12 and kept["whole.tar"] == 12, name
+        told = media.index(spark, str(tmp_path / name), 4096).where("reason IS NOT NULL").collect()
+        assert [(r.archive[-5:], r.offset, r.reason) for r in told] == [("a.tar", offset, reason)]
+
+
 # -- token files
 
 
@@ -149,6 +209,25 @@ def test_warc(spark, duck, monkeypatch):
     assert warc.write(pages.limit(0), nothing) == 0 and warc.read(spark, nothing).collect() == []
 
 
+def test_damaged_and_foreign_warc(spark, tmp_path):
+    """What is no chain of records is an error that tells where; other types and ids are no error."""
+    records = [warc.record(k, f"http://x/{k}", b"p" * 300, None, False) for k in range(8)]
+    whole, at = b"".join(records), sum(map(len, records[:4]))
+    cases = {"start": (b"x" + whole, "no record at 0"), "cut": (whole[:-10], f"record cut short at {len(whole) - len(records[-1])}"), "broken": (whole[:at] + b"?" + whole[at:], f"no record at {at}"), "text": (b"no archive", "no record at 0")}
+    for name, (data, told) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(Exception, match=told):
+            warc.read(spark, str(tmp_path / name)).collect()
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 9\r\n\r\nsoftware:\r\n\r\n"
+    foreign = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabcd\r\n\r\n"
+    (tmp_path / "ok").mkdir()
+    (tmp_path / "ok" / "a.warc").write_bytes(info + foreign + whole)
+    rows = warc.read(spark, str(tmp_path / "ok")).collect()
+    assert Counter(r.page_id for r in rows) == Counter([None, *range(8)])
+    assert [(r.payload_bytes, r.payload_digest) for r in rows if r.page_id is None] == [(4, hashlib.sha1(b"abcd").hexdigest())]
+
+
 def test_chains_over_many_ranges(spark, tmp_path):
     """Local jumps against a plain walk, ranges far shorter than records."""
     r = random.Random(2)
