@@ -10,6 +10,8 @@ what is reachable. Only records on the chain from a file's start are parsed.
 
 Defined results: a null html is an empty payload, always a response; a null url is left out; a null id is the smallest, and
 reads back as null; rows that repeat the largest id are all responses; an empty table writes no archive and gives no rows.
+Records of other types than the two are passed over, and foreign record ids are null. A file that does not start with a
+record, a chain that leads to something else and a record that is cut short are errors that name file and offset.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ HEAD = 1 << 16
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.IGNORECASE)
 ID = "urn:lodestead:page:"
+PAGE = re.compile(f"<{ID}(-?\\d+)>")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -131,25 +134,33 @@ def _records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             file, at, end, base, data, rows = RangeFile(r.file), r.entry, (r.entry // RANGE + 1) * RANGE, 0, b"", []
             base, data = at, file.read(at, end - at + HEAD)
             while at < min(end, file.size):
-                head, start, length = header(file, data, base, at)
+                found = header(file, data, base, at) if MAGIC.match(data, at - base) else None
+                if found is None:
+                    raise ValueError(f"{r.file}: no record at {at}")
+                head, start, length = found
+                if start + length + 4 > file.size:
+                    raise ValueError(f"{r.file}: record cut short at {at}")
                 block = data[start - base : start - base + length]
                 if len(block) < length:
                     block = file.read(start, length)
-                rows.append(parsed(head, block))
+                if (row := parsed(head, block)) is not None:
+                    rows.append(row)
                 at = start + length + 4
             file.close()
-            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
 
-def parsed(head: bytes, block: bytes) -> tuple:
+def parsed(head: bytes, block: bytes) -> tuple | None:
+    """A record's row; None for types that hold no page."""
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    id_of = lambda x: int(x[len(ID) + 1 : -1] or 0) if x[len(ID) + 1 : -1] else None
-    kind, http = fields["WARC-Type"], block.index(b"\r\n\r\n") + 4
+    id_of = lambda name: int(found[1]) if (found := PAGE.fullmatch(fields.get(name, ""))) else None
+    kind, (http, _, payload) = fields.get("WARC-Type"), block.partition(b"\r\n\r\n")
     if kind == "revisit":
-        size = int(LENGTH.search(block[:http])[1])
-        digest = base64.b32decode(fields["WARC-Payload-Digest"].split(":", 1)[1]).hex()
-        return id_of(fields["WARC-Record-ID"]), size, digest, kind, id_of(fields["WARC-Refers-To"])
-    return id_of(fields["WARC-Record-ID"]), len(block) - http, hashlib.sha1(block[http:]).hexdigest(), kind, None
+        size, digest = LENGTH.search(b"\r\n" + http + b"\r\n"), fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+        return id_of("WARC-Record-ID"), int(size[1]) if size else None, base64.b32decode(digest).hex() if len(digest) == 32 else None, kind, id_of("WARC-Refers-To")
+    if kind == "response":
+        return id_of("WARC-Record-ID"), len(payload), hashlib.sha1(payload).hexdigest(), kind, None
+    return None
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +174,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         reached = stored(reached.join(hops, ["file", "entry"]).select("file", F.col("exit").alias("entry")).union(reached).distinct(), "warc-reached")
         ahead = hops.select("file", F.col("entry").alias("exit"), F.col("exit").alias("beyond"))
         hops = stored(hops.join(ahead, ["file", "exit"]).select("file", "entry", F.col("beyond").alias("exit")), "warc-hops")
-    entries = reached.join(chains, ["file", "entry"], "left_semi").where("entry >= 0")
+    # What was reached and is no record is an error of the task that reads it, so that no record is lost unseen.
+    entries = reached
     count = max(1, sum(-(-size // RANGE) for _, size in files))
     return entries.repartition(min(count, 100_000), "file", "entry").mapInPandas(_records, RECORD)
 
