@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import dedup, extras, lifecycle, markers, readers, scalars, search, streams, watchdogs
+from .plans import dedup, extras, lifecycle, markers, readers, scalars, search, simple, streams, watchdogs
 
-TABLE = {**search.QUERIES, **dedup.QUERIES, **markers.QUERIES, **watchdogs.QUERIES, **lifecycle.QUERIES, **scalars.QUERIES, **extras.QUERIES, **readers.QUERIES, **streams.QUERIES}
+TABLE = {**search.QUERIES, **dedup.QUERIES, **markers.QUERIES, **watchdogs.QUERIES, **lifecycle.QUERIES, **scalars.QUERIES, **extras.QUERIES, **readers.QUERIES, **streams.QUERIES, **simple.QUERIES}
 
 
 def queries() -> dict:

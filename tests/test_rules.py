@@ -258,3 +258,18 @@ def test_box_of_a_stored_search(spark, sf):
     schema = "sw_lat double, sw_lng double, ne_lat double, ne_lng double, price_min double, price_max double, size_min double, size_max double"
     rows = spark.createDataFrame([(*b, None, None, None, None) for b in boxes], schema).select(F.struct("*").alias("f"))
     assert [r[0] for r in rows.select(watchdogs.too_wide(F.col("f"))).collect()] == [False, True, True, False]
+
+
+def test_parts_of_names_take_their_cities(spark):
+    """A part of a city's name, in any case; without one every listing, also those without a city."""
+    from lodestead.operators import simple
+
+    cities = ["Brno", "Brno-venkov", "Zlín", "ostrava", None, ""]
+    new = spark.createDataFrame([(k, c, "flat", "sale", "s", "1+1", float(k), 50.0) for k, c in enumerate(cities)], "id long, city string, property_type string, transaction_type string, source string, layout string, price double, size_m2 double")
+    filters = "struct<city:string,property_type:string,transaction_type:string,source:string,layout:string,price_min:double,price_max:double,size_min:double,size_max:double>"
+    wanted = {1: "BRNO", 2: "lí", 3: "r", 4: None, 5: "", 6: "xyz", 7: "o-v"}
+    made = [(k, (c, *[None] * 8), True) for k, c in wanted.items()] + [(8, (None, None, "lease", *[None] * 6), True), (9, (None,) * 9, False), (10, ("r", "flat", "sale", "s", "1+1", 1.0, 2.0, 50.0, 50.0), True)]
+    found = {}
+    for r in simple.matches(new, spark.createDataFrame(made, f"id long, filters {filters}, active boolean")).collect():
+        found.setdefault(r.watchdog_id, []).append(r.id)
+    assert {k: sorted(v) for k, v in found.items()} == {1: [0, 1], 2: [2], 3: [0, 1, 3], 4: [*range(6)], 5: [*range(6)], 7: [1], 10: [1]}
