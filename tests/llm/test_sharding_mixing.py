@@ -1,10 +1,15 @@
+import hashlib
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from rows import as_rows
 
 from lodestead.llm import mixing, registry, sharding
+from lodestead.llm.common import spread
 
 
 def naive_best_fit(sizes, capacity):
@@ -64,6 +69,63 @@ def test_sharding_query(spark, sf):
     assert {r.law for r in rows} == {"bytes"}
 
 
+def naive_into(sizes, capacities):
+    free, out = list(capacities), []
+    for size in sizes:
+        fits = [(f, k) for k, f in enumerate(free) if f >= size]
+        _, k = min(fits) if fits else max((f, k) for k, f in enumerate(free))
+        free[k] -= size
+        out.append(k)
+    return out, free
+
+
+def hashed(*values):
+    """The engine's 64-bit hash of integers or one text, as a number below 2 ** 64."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def naive_assign(rows, shards=16):
+    """{(doc_id, size, crc, shard, slot)} by plain lists: large groups first, then the cells one by one, then rows in order."""
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[text or ""].append(doc_id)
+    known = [(len(ids) * (len(t.encode()) + 1), hashlib.md5(t.encode()).hexdigest(), t, len(ids)) for t, ids in groups.items()]
+    total, n_rows = sum(b for b, *_ in known), len(rows)
+    known.sort(key=lambda g: (-g[0], g[1]))
+    large = [g for g in known if g[0] * sharding.LARGE > total or g[3] * sharding.LARGE > n_rows]
+    bins, free = naive_into([g[0] for g in large], [-(-total // shards)] * shards)
+    of_text = {g[2]: k for g, k in zip(large, bins, strict=True)}
+    rest, cells = max(1, sum(max(f, 0) for f in free)), defaultdict(list)
+    for g in known:
+        if g[2] not in of_text:
+            cells[hashed(g[1]) % max(64, -(-len(known) // sharding.CELL))].append(g)
+    for cell in cells.values():
+        size = sum(g[0] for g in cell)
+        bins, _ = naive_into([g[0] for g in cell], [math.ceil(max(f, 0) / rest * size) for f in free])
+        of_text |= {g[2]: k for g, k in zip(cell, bins, strict=True)}
+    placed = defaultdict(list)
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        row = (doc_id, zlib.crc32(data), len(data) + 1)
+        placed[of_text[text or ""]].append((hashed(*row) % spread(n_rows), *row))
+    return {(doc_id, size, crc, shard, slot) for shard, of_shard in placed.items() for slot, (_, doc_id, crc, size) in enumerate(sorted(of_shard))}, len(cells)
+
+
+def test_shards_equal_plain_packing(spark, sf, labelled, monkeypatch):
+    """The registered query, and the operator with parameters that put most groups into cells, row by row."""
+    shown = lambda rows: {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows}
+    documents = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert shown(registry.queries()["op2_sharding"](spark, sf).collect()) == naive_assign(documents)[0]
+    for large, cell in ((8, 100_000), (1, 3), (40, 2)):
+        monkeypatch.setattr(sharding, "LARGE", large)
+        monkeypatch.setattr(sharding, "CELL", cell)
+        expected, n_cells = naive_assign([(r.doc_id, r.text) for r in labelled.collect()])
+        assert n_cells > 10 and shown(sharding.assign(labelled).collect()) == expected
+
+
 def test_permutation():
     for n in (1, 2, 3, 5, 100, 1025):
         p = mixing.Permutation(n, 7)
