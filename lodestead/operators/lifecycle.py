@@ -132,9 +132,13 @@ def verdict(source: Column, status: Column, location: Column, body: Column) -> C
     return F.when(gone, "dead").when(status.isin(301, 302), moved).when(page, F.when(F.coalesce(removed, F.lit(False)), "dead").otherwise("alive")).otherwise("unknown")
 
 
-def stamped_checked(listings: DataFrame, ids: DataFrame, now: Column, stamp: str = "last_image_checked_at") -> DataFrame:
-    """A check of these ids was made, whatever it found, so that the queue moves on."""
-    return marked(listings, ids, "_checked", "id").withColumn(stamp, F.when(F.col("_checked"), now).otherwise(F.col(stamp))).select(*listings.columns)
+def stamped_checked(listings: DataFrame, ids: DataFrame, now: Column, stamp: str = "last_image_checked_at", flag: str | None = None) -> DataFrame:
+    """A check of these ids was made, whatever it found, so that the queue moves on.
+
+    ``flag`` names a column that says which rows were stamped; a stamp of old may be of this very moment.
+    """
+    name = flag or "_checked"
+    return marked(listings, ids, name, "id").withColumn(stamp, F.when(F.col(name), now).otherwise(F.col(stamp))).select(*listings.columns, *[flag] * bool(flag))
 
 
 def queue(listings: DataFrame, stamp: str, per_source: int, nulls: str = "first") -> DataFrame:

@@ -273,3 +273,10 @@ def test_parts_of_names_take_their_cities(spark):
     for r in simple.matches(new, spark.createDataFrame(made, f"id long, filters {filters}, active boolean")).collect():
         found.setdefault(r.watchdog_id, []).append(r.id)
     assert {k: sorted(v) for k, v in found.items()} == {1: [0, 1], 2: [2], 3: [0, 1, 3], 4: [*range(6)], 5: [*range(6)], 7: [1], 10: [1]}
+
+
+def test_stamped_rows_are_told_from_stamps_of_this_moment(spark):
+    rows = spark.sql("SELECT id, CASE WHEN id < 3 THEN TIMESTAMP_NTZ '2001-09-01 00:00:00' END AS last_image_checked_at FROM range(4)")
+    done = lifecycle.stamped_checked(rows, spark.range(2, 4), now(), flag="stamped")
+    assert {r.id: (r.stamped, r.last_image_checked_at is None) for r in done.collect()} == {0: (False, False), 1: (False, False), 2: (True, False), 3: (True, False)}
+    assert lifecycle.stamped_checked(rows, spark.range(2), now()).columns == rows.columns
