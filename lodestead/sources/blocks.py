@@ -1,6 +1,6 @@
 """Landed pages as trees of elements, and selections from them.
 
-A page is parsed once, in Arrow batches, into a column of two arrays: its pieces of text in order, and its elements with
+A page is parsed once, a few pages of an Arrow batch at a time, into a column of two arrays: its pieces of text in order, and its elements with
 their tags, classes, attributes, and the ranges of elements and text that lie within them. Selections are built-in
 functions on that column.
 """
@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 HIDDEN = frozenset(("script", "style"))
 NO_NESTING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: The shape of TREE in Arrow, and the characters of pages whose trees are held at once (a page of its own, if longer).
+ARROW = pa.struct({
+    "texts": pa.list_(pa.string()),
+    "nodes": pa.list_(pa.struct({"at": pa.int32(), "tag": pa.string(), "classes": pa.list_(pa.string()), "attrs": pa.map_(pa.string(), pa.string()), "last": pa.int32(), "text_from": pa.int32(), "text_to": pa.int32()})),
+})
+HELD = 1 << 20
+
 
 class _Reader(HTMLParser):
     def __init__(self):
@@ -34,7 +42,7 @@ class _Reader(HTMLParser):
         if self.open and self.nodes[self.open[-1]][1] in NO_NESTING.get(tag, ()):
             self.close_last()
         named = {k: v or "" for k, v in reversed(attrs)}  # the first of a name counts
-        self.nodes.append([len(self.nodes), tag, named.get("class", "").split(), named, len(self.nodes), len(self.texts), len(self.texts)])
+        self.nodes.append([len(self.nodes), tag, named.get("class", "").split(), list(named.items()), len(self.nodes), len(self.texts), len(self.texts)])
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -70,14 +78,28 @@ def _tree(html: str | None) -> dict | None:
     return {"texts": reader.texts, "nodes": [dict(zip(names, n, strict=True)) for n in reader.nodes]}
 
 
+def _slices(batch: pa.Array, held: int) -> Iterator[pa.Array]:
+    """The batch in order, in parts of about so many bytes."""
+    begin = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
+        if size and size + n > held:
+            yield batch.slice(begin, k - begin)
+            begin, size = k, 0
+        size += n + 1
+    yield batch.slice(begin)
+
+
 def tree(html: Column) -> Column:
-    """The page as texts and nodes; null fields for a null page."""
+    """The page as texts and nodes; null fields for a null page.
+
+    Trees are many times as large as their pages, so they leave the task part by part, not batch by batch.
+    """
 
-    @F.pandas_udf(TREE)
-    def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(TREE)
+    def parsed(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in pages:
-            trees = [_tree(x) or {"texts": None, "nodes": None} for x in batch]
-            yield pd.DataFrame({"texts": [t["texts"] for t in trees], "nodes": [t["nodes"] for t in trees]})
+            for some in _slices(batch, HELD):
+                yield pa.array([_tree(x) or {"texts": None, "nodes": None} for x in some.to_pylist()], ARROW)
 
     return parsed(html)
 

@@ -1,5 +1,6 @@
 """Detail pages, linked data and nested documents, case by case."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,12 @@ def test_enriched_keeps_what_a_detail_does_not_say(spark):
     rows = spark.createDataFrame([("<p>nothing</p>", "old", ["a"]), (box("Stav:", "nový"), "old", ["a"])], "html string, condition string, image_urls array<string>")
     read_rows = D.page_details(rows)
     assert [tuple(r) for r in D.enriched(read_rows, F.col("detail")).select("condition", "image_urls").collect()] == [("old", ["a"]), ("nový", ["a"])]
+
+
+def test_trees_leave_a_task_part_by_part(monkeypatch):
+    """Of a batch of many pages, few have their trees at once; the rows stay whole and in order."""
+    pages = [None, "", "<p>a</p>" * 40, *["<p class='b c' id='x'>%d</p>" % k for k in range(50)], None]
+    parts = list(B._slices(pa.array(pages, pa.string()), 100))
+    assert [x for p in parts for x in p.to_pylist()] == pages and len(parts) > 10
+    assert all(len(p) == 1 or sum(len(x or "") for x in p.to_pylist()) <= 100 for p in parts)
+    assert [len(p) for p in B._slices(pa.array([], pa.string()), 100)] == [0]
