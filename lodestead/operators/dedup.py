@@ -34,20 +34,22 @@ def full_counts(listings: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clustered"), F.count("*").alias("clusters"))
 
 
-def incremental(listings: DataFrame) -> DataFrame:
-    """(id, cluster_id, is_canonical, existing_cluster) of the listings that join or form a cluster; clustered rows stay."""
+def incremental(listings: DataFrame, *also: str) -> DataFrame:
+    """(id, cluster_id, is_canonical, existing_cluster) of the listings that join or form a cluster; clustered rows stay.
+
+    Other columns can be asked for."""
     open_ = F.col("cluster_id").isNull()
-    rows = candidates(listings).select("id", "cluster_id", "effective_hash")
+    rows = candidates(listings).select("id", *also, "cluster_id", "effective_hash")
     groups = rows.groupBy("effective_hash").agg(F.bool_or(~open_).alias("existing_cluster"), F.min(F.when(open_, F.col("id"))).alias("new_canonical_id"), F.count_if(open_).alias("n"))
     groups = groups.where((F.col("n") > 0) & (F.col("existing_cluster") | (F.col("n") >= 2)))
     found = rows.where(open_).drop("cluster_id").join(groups, "effective_hash")
-    return found.select("id", F.col("effective_hash").alias("cluster_id"), (~F.col("existing_cluster") & (F.col("id") == F.col("new_canonical_id"))).alias("is_canonical"), "existing_cluster")
+    return found.select("id", *also, F.col("effective_hash").alias("cluster_id"), (~F.col("existing_cluster") & (F.col("id") == F.col("new_canonical_id"))).alias("is_canonical"), "existing_cluster")
 
 
-def assigned(listings: DataFrame, clusters: DataFrame) -> DataFrame:
+def assigned(listings: DataFrame, clusters: DataFrame, key: str = "id") -> DataFrame:
     """The listings with new cluster columns where ``clusters`` has them."""
-    new = clusters.select("id", F.col("cluster_id").alias("_cluster"), F.col("is_canonical").alias("_canonical"), F.lit(True).alias("_new"))
-    joined = listings.join(new, "id", "left")
+    new = clusters.select(key, F.col("cluster_id").alias("_cluster"), F.col("is_canonical").alias("_canonical"), F.lit(True).alias("_new"))
+    joined = listings.join(new, key, "left")
     changed = F.coalesce("_new", F.lit(False))
     return joined.withColumns({"cluster_id": F.when(changed, F.col("_cluster")).otherwise(F.col("cluster_id")), "is_canonical": F.when(changed, F.col("_canonical")).otherwise(F.col("is_canonical"))}).drop("_cluster", "_canonical", "_new").select(*listings.columns)
 

@@ -15,6 +15,8 @@ FOREIGN = ("spanelsko", "spain", "espana", "nemecko", "germany", "deutschland",
 
 #: Buckets in which new listings are numbered.
 BUCKETS = 4096
+#: The column by which an upsert deals rows out: the external id, or the id behind a zero byte where there is none.
+KEY = "_key"
 
 
 def ago(now: Column, days: int = 0, hours: int = 0) -> Column:
@@ -38,21 +40,35 @@ def upsert(listings: DataFrame, batch: DataFrame, now: Column, policy: str = "ov
     New rows are numbered after the largest id without gaps, bucket by bucket of their external ids' hash, so that no task
     numbers them all. A listing that is seen again is active.
     """
-    incoming = [c for c in batch.columns if c not in KEPT]
-    new = batch.select("external_id", F.col("source").alias("_source"), F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in incoming])
-    joined = listings.join(new, "external_id", "full_outer")
-    arrived = F.coalesce("_new", F.lit(False))
+    return keyed_upsert(listings, batch, now, policy).drop(KEY)
+
+
+def keyed_upsert(listings: DataFrame, batch: DataFrame, now: Column, policy: str = "overwrite") -> DataFrame:
+    """``upsert`` with the key by which its rows are dealt out, so that what joins by it moves no whole row again.
+
+    Rows of new ids stand among the listings, empty but for their number, before the batch meets them: whole rows of either
+    side are dealt out once.
+    """
+    incoming = [c for c in batch.columns if c not in KEPT and c in listings.columns]
     top = listings.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
     bucket = F.pmod(F.xxhash64("external_id"), F.lit(BUCKETS)).cast("int")
-    fresh = batch.select("external_id").join(listings.select("external_id"), "external_id", "left_anti").withColumn("_bucket", bucket)
+    fresh = batch.where("external_id IS NOT NULL").select("external_id").join(listings.select("external_id"), "external_id", "left_anti").withColumn("_bucket", bucket)
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     starts = fresh.groupBy("_bucket").count().select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = fresh.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy("external_id")))
-    numbered = within.join(F.broadcast(starts), "_bucket").join(F.broadcast(top)).select("external_id", (F.col("_top") + F.col("_start") + F.col("_at")).alias("_id"))
-    joined = joined.join(numbered, "external_id", "left")
-    value = {c: F.when(arrived, F.col(f"_{c}") if policy == "overwrite" else F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in incoming if c in listings.columns}
-    value |= {"id": F.coalesce("id", "_id"), "source": F.coalesce("source", "_source"), "created_at": F.coalesce("created_at", now), "is_active": F.when(arrived, F.lit(True)).otherwise(F.col("is_active"))}
-    return joined.select(*[value[c].alias(c) if c in value else F.col(c) for c in listings.columns])
+    numbered = within.join(F.broadcast(starts), "_bucket").join(F.broadcast(top)).select("external_id", (F.col("_top") + F.col("_start") + F.col("_at")).alias("id"))
+    # What comes without an external id meets nothing, and is a row of its own without a number.
+    nameless = batch.where("external_id IS NULL").select("external_id", "source", *incoming)
+    if "is_active" in listings.columns:
+        nameless = nameless.withColumn("is_active", F.lit(True))
+    whole = listings.unionByName(numbered, allowMissingColumns=True).unionByName(nameless, allowMissingColumns=True)
+    whole = whole.withColumn(KEY, F.coalesce("external_id", F.concat(F.lit("\0"), F.col("id").cast("string"))))
+    new = batch.where("external_id IS NOT NULL").select(F.col("external_id").alias(KEY), F.col("source").alias("_source"), F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in incoming])
+    joined = whole.join(new, KEY, "left")
+    arrived = F.coalesce("_new", F.lit(False))
+    value = {c: F.when(arrived, F.col(f"_{c}") if policy == "overwrite" else F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in incoming}
+    value |= {"source": F.coalesce("source", "_source"), "created_at": F.coalesce("created_at", now), "is_active": F.when(arrived, F.lit(True)).otherwise(F.col("is_active"))}
+    return joined.select(KEY, *[value[c].alias(c) if c in value else F.col(c) for c in listings.columns])
 
 
 def batch_counts(listings: DataFrame, batch: DataFrame) -> DataFrame:

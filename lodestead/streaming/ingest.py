@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import assigned, incremental
-from ..operators.lifecycle import last_of_batch, upsert
+from ..operators.lifecycle import KEY, keyed_upsert, last_of_batch
 from ..sources.schemas import LISTING
 
 
 def apply(listings: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """One cycle: last write of the batch, upsert, incremental clusters. A batch that comes twice changes nothing more."""
-    state = upsert(listings, last_of_batch(batch) if "arrival" in batch.columns else batch, now)
-    return assigned(state, incremental(state))
+    state = keyed_upsert(listings, last_of_batch(batch) if "arrival" in batch.columns else batch, now)
+    return assigned(state, incremental(state, KEY), KEY).drop(KEY)
 
 
 def snapshot(folder: str, version: int) -> str:

@@ -10,6 +10,7 @@ from lodestead.operators import dedup, lifecycle, markers, matching, search, wat
 from lodestead.sources import files
 from lodestead.sources.adapter import listings, notifications, now
 from lodestead.sources.adapter import watchdogs as dogs
+from lodestead.streaming import ingest
 
 
 def values(spark, column, inputs, kind="string"):
@@ -280,3 +281,25 @@ def test_stamped_rows_are_told_from_stamps_of_this_moment(spark):
     done = lifecycle.stamped_checked(rows, spark.range(2, 4), now(), flag="stamped")
     assert {r.id: (r.stamped, r.last_image_checked_at is None) for r in done.collect()} == {0: (False, False), 1: (False, False), 2: (True, False), 3: (True, False)}
     assert lifecycle.stamped_checked(rows, spark.range(2), now()).columns == rows.columns
+
+
+def test_a_cycle_deals_whole_rows_out_once(spark, sf, tmp_path):
+    """Only exchanges of single columns besides one of the listings and one of the batch; rows without an external id stay."""
+    rows = listings(spark, sf).withColumn("external_id", F.when(F.col("id") != 7, F.col("external_id")))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    new = rows.where("id % 5 = 2").withColumn("external_id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("n"), "external_id")).otherwise(F.col("external_id")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ingest.apply(rows, new, now())
+        whole, todo = 0, [out._jdf.queryExecution().executedPlan().initialPlan()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    while todo:
+        node = todo.pop()
+        whole += node.nodeName() == "Exchange" and node.output().size() > 25
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    found = {r.id: r for r in out.select("id", "external_id", "city").collect() if r.id is not None}
+    assert whole == 2
+    assert found[7].external_id is None and len(found) == rows.count() + new.where("external_id LIKE 'n%'").count()
+    assert out.where("id IS NULL").count() == new.where("external_id IS NULL").count() == 1 and out.where("city IS NULL").isEmpty()
