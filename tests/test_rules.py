@@ -303,3 +303,16 @@ def test_a_cycle_deals_whole_rows_out_once(spark, sf, tmp_path):
     assert whole == 2
     assert found[7].external_id is None and len(found) == rows.count() + new.where("external_id LIKE 'n%'").count()
     assert out.where("id IS NULL").count() == new.where("external_id IS NULL").count() == 1 and out.where("city IS NULL").isEmpty()
+
+
+def test_no_pair_is_shuffled(spark, sf, monkeypatch):
+    """Listings and searches are dealt out, the pairs are not; keys that many mailboxes were sent are left out all the same."""
+    plan = watchdogs.counts(watchdogs.matches(listings(spark, sf), dogs(spark, sf)))._jdf.queryExecution().optimizedPlan().toString()
+    last = next(x for x in plan.split("\n") if "Join" in x)
+    assert "key#" in last and "w_amenities" in last and "watchdog_id#" not in last
+    told = lambda: sorted(watchdogs.matches(listings(spark, sf), dogs(spark, sf), sent).select("watchdog_id", "id").collect())
+    every = watchdogs.matches(listings(spark, sf), dogs(spark, sf))
+    sent = spark.createDataFrame(every.where("id % 3 = 0").select("email_canonical", "cluster_key").distinct().collect(), "email_canonical string, cluster_key string")
+    lists = told()
+    monkeypatch.setattr(watchdogs, "LISTED", 2)
+    assert lists == told() == sorted(every.join(sent, ["email_canonical", "cluster_key"], "left_anti").select("watchdog_id", "id").collect())
