@@ -276,6 +276,28 @@ def test_parts_of_names_take_their_cities(spark):
     assert {k: sorted(v) for k, v in found.items()} == {1: [0, 1], 2: [2], 3: [0, 1, 3], 4: [*range(6)], 5: [*range(6)], 7: [1], 10: [1]}
 
 
+def test_matches_are_counted_without_pairs(spark, sf, monkeypatch):
+    """Counts and sums of ids equal those of the pairs, with nulls, not-a-numbers, ties and tiles of a few rows; no pair is joined."""
+    from lodestead.operators import simple
+    from lodestead.plans.simple import QUERIES
+
+    nan = float("nan")
+    pick = lambda k, *values: values[k % len(values)]
+    listed = [(k, pick(k, "Brno", "Zlín", None), pick(k // 3, "flat", "house", None), pick(k // 2, "sale", "rent", "lease", None), pick(k, "a", "b"), pick(k // 5, "1+1", None), pick(k * 7, 1.0, 2.0, 2.0, None, nan, 5.0, -0.0), pick(k * 3, 50.0, None, 60.0, nan, 70.0)) for k in range(400)]
+    new = spark.createDataFrame(listed, "id long, city string, property_type string, transaction_type string, source string, layout string, price double, size_m2 double")
+    filters = "struct<city:string,property_type:string,transaction_type:string,source:string,layout:string,price_min:double,price_max:double,size_min:double,size_max:double>"
+    asked = [(k, (pick(k, None, "", "R", "brno", "xyz"), pick(k // 2, None, "flat", "land"), pick(k // 3, None, "sale", "lease"), pick(k // 7, None, "a"), pick(k // 11, None, "1+1", "x"), pick(k, None, 2.0, 0.0, nan), pick(k // 5, None, 2.0, 1.5, nan), pick(k // 4, None, 60.0), pick(k // 6, None, 60.0, 10.0)), k % 9 != 0) for k in range(1500)]
+    dogs = spark.createDataFrame(asked, f"id long, filters {filters}, active boolean")
+    pairs = simple.matches(new, dogs).groupBy("watchdog_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    wanted = sorted(map(tuple, pairs.collect()))
+    assert len(wanted) > 100
+    for tile in (7, 1 << 16):
+        found = simple.match_totals(new, dogs, tile)
+        assert sorted(map(tuple, found.collect())) == wanted
+    monkeypatch.setattr(simple, "matches", None)
+    assert QUERIES["simple_matches"][0](spark, sf).count() > 0
+
+
 def test_stamped_rows_are_told_from_stamps_of_this_moment(spark):
     rows = spark.sql("SELECT id, CASE WHEN id < 3 THEN TIMESTAMP_NTZ '2001-09-01 00:00:00' END AS last_image_checked_at FROM range(4)")
     done = lifecycle.stamped_checked(rows, spark.range(2, 4), now(), flag="stamped")
