@@ -1,97 +1,91 @@
 """Duplicates across time: a stream of new listings, clustered as they arrive, with state by match hash.
 
-What a hash's state holds is small, whatever the number of its listings: whether it is a cluster, the one listing that
-waits for a second, and when the hash was last seen. Timers tell that a hash has been quiet for each of ``HORIZONS``; the
-last of them drops the state, so that it is bounded by the hashes seen within that time.
+What a hash's state holds is one small row, whatever the number of its listings: whether it is a cluster, the one listing that
+waits for a second, when the hash was last seen and for how long its quiet was told. A batch aggregates its listings by hash,
+joins them with the state of the batch before and writes the state that follows. A hash that was quiet for the last of
+``HORIZONS`` is not carried on, so that the state is bounded by the hashes seen within that time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import effective_hash
 
 #: Days without a listing after which a hash is given up, can no longer come back, and is forgotten.
 HORIZONS = (3, 7, 14)
 DAY_MS = 86_400_000
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: By hash; ``told``: the days without a listing that were told last. The rest is what the batch found: whether it brought
+#: listings, whether the hash was a cluster before, which listing waited, the least of it and the batch's, and what had been told.
+STATE = "effective_hash string, formed boolean, waiting long, seen long, told int, brought boolean, existing boolean, waited long, least long, was_told int"
 #: kind: ``member`` (a listing joins or forms a cluster) or ``quiet`` (``days`` without a listing).
 OUT = "kind string, id long, cluster_id string, is_canonical boolean, existing_cluster boolean, days int"
-NAMES = [c.split()[0] for c in OUT.split(", ")]
-
-
-class Duplicates(StatefulProcessor):
-    def __init__(self, horizons: tuple[int, ...]):
-        self.horizons = horizons
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("cluster", "formed boolean, waiting long, seen long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        formed, least, seen = self.state.get() if self.state.exists() else (False, None, 0)
-        existing = formed
-        for frame in rows:
-            seen = max(seen, int(frame["seen_ms"].max()))
-            ids = [int(x) for x in frame["id"] if least is None or int(x) != least]
-            if existing:
-                yield self.members(key, ids, True)
-                continue
-            # The least listing so far is held back: it is the canonical one of a cluster that forms.
-            held = sorted({*ids} | ({least} if least is not None else set()))
-            if len(held) > 1:
-                formed = True
-                yield self.members(key, held[1:], False)
-            least = held[0] if held else least
-        if formed and not existing:
-            yield pd.DataFrame([("member", least, key[0], True, False, None)], columns=NAMES)
-            least = None
-        self.state.update((formed, least, seen))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        for days in self.horizons:
-            self.handle.registerTimer(seen + days * DAY_MS)
-
-    def members(self, key, ids: list[int], existing: bool) -> pd.DataFrame:
-        return pd.DataFrame([("member", x, key[0], False, existing, None) for x in ids], columns=NAMES)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        _, _, seen = self.state.get()
-        days = (expiredTimerInfo.getExpiryTimeInMs() - seen) // DAY_MS
-        if days == self.horizons[-1]:
-            self.state.clear()
-        yield pd.DataFrame([("quiet", None, key[0], None, None, days)], columns=NAMES)
 
-    def close(self) -> None:
-        pass
+def followed(state: DataFrame, rows: DataFrame, watermark: Column, horizons: tuple[int, ...]) -> DataFrame:
+    """The state after a batch's rows (effective_hash, id, seen_ms), with the hashes that are forgotten at the watermark (ms)."""
+    fresh = rows.groupBy("effective_hash").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max("seen_ms").alias("last"))
+    old = state.where(F.col("told") < horizons[-1]).select("effective_hash", F.col("formed").alias("existing"), F.col("waiting").alias("waited"), F.col("seen").alias("since"), F.col("told").alias("was_told"))
+    both = old.join(fresh, "effective_hash", "full").withColumns({
+        "existing": F.coalesce("existing", F.lit(False)), "brought": F.col("least").isNotNull(), "seen": F.greatest("since", "last"),
+        "was_told": F.when(F.col("least").isNull(), F.col("was_told")).otherwise(0),
+        "least": F.least("waited", "least"), "most": F.greatest("waited", "most"),
+    })
+    # The least listing so far is held back: it is the canonical one of a cluster that forms.
+    formed = F.col("existing") | (F.col("least") < F.col("most"))
+    told = F.greatest("was_told", *[F.when(F.col("seen") + days * DAY_MS <= watermark, days) for days in horizons])
+    return both.withColumns({"formed": formed, "waiting": F.when(~formed, F.col("least")), "told": told}).select(*[c.split()[0] for c in STATE.split(", ")])
+
+
+def found(after: DataFrame, rows: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """What a batch tells: the members of clusters that it forms or adds to, and quiet hashes."""
+    grown = after.where("brought AND formed")
+    waited = grown.where("NOT existing AND waited IS NOT NULL").select("effective_hash", F.col("waited").alias("id"))
+    ids = rows.select("effective_hash", "id").unionByName(waited).join(grown.select("effective_hash", "existing", "least"), "effective_hash").distinct()
+    first = ~F.col("existing") & (F.col("id") == F.col("least"))
+    members = ids.select(F.lit("member").alias("kind"), "id", F.col("effective_hash").alias("cluster_id"), first.alias("is_canonical"), F.col("existing").alias("existing_cluster"), F.lit(None).cast("int").alias("days"))
+    days = F.filter(F.array(*map(F.lit, horizons)), lambda d: (d > F.col("was_told")) & (d <= F.col("told")))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    quiet = after.where("told > was_told").select(F.lit("quiet").alias("kind"), nothing("long").alias("id"), F.col("effective_hash").alias("cluster_id"), nothing("boolean").alias("is_canonical"), nothing("boolean").alias("existing_cluster"), F.explode(days).alias("days"))
+    return members.unionByName(quiet)
 
 
-def clustered(stream: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Members and quiet hashes of a stream of new active listings without a cluster; ``seen`` is its event time (timestamp).
+def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, schema: str, horizons: tuple[int, ...] = HORIZONS, late: str = "0 seconds", files: int | None = 1) -> StreamingQuery:
+    """Cluster what has landed and stop; the results of a batch stand under its number, so a batch that is tried again overwrites its own.
 
-    The stream brings each listing once. Its watermark decides when a hash is quiet; rows older than it are late and dropped.
+    The stream brings each listing once; ``scraped_at`` is its event time. The watermark is the latest time of all listings so
+    far less ``late``: rows not after that of the batch before are dropped, rows
+    without a time count as seen at the batch's own, which decides when a hash is quiet.
+    States stand in the checkpoint under the number of the batch that starts from them; older ones are deleted.
     """
-    keyed = stream.where("is_active").withColumn("effective_hash", effective_hash()).where("effective_hash IS NOT NULL")
-    rows = keyed.select("effective_hash", "id", "seen", F.unix_millis("seen").alias("seen_ms"))
-    return rows.groupBy("effective_hash").transformWithStateInPandas(Duplicates(horizons), OUT, "Append", "EventTime")
-
-
-def start(spark: SparkSession, landing: str, folder: str, checkpoint: str, schema: str, horizons: tuple[int, ...] = HORIZONS, late: str = "0 seconds", files: int | None = 1) -> StreamingQuery:
-    """Cluster what has landed and stop; the results of a batch stand under its number, so a batch that is tried again overwrites its own."""
-    session = spark.newSession()
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    reader = session.readStream.schema(schema)
+    horizons = tuple(sorted(horizons))
+    path = lambda name, number: f"{checkpoint}/{name}/{number}"
+
+    def cycle(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        state, before = session.createDataFrame([], STATE), None
+        if number:
+            state = session.read.schema(STATE).parquet(path("hashes", number))
+            before = session.read.parquet(path("watermarks", number)).first()[0]
+        landed = batch.withColumn("seen", F.col("scraped_at").cast("timestamp"))
+        latest = landed.agg(F.unix_millis(F.max("seen") - F.lit(late).cast("interval"))).first()[0]
+        watermark = max((x for x in (before, latest) if x is not None), default=None)
+        late_ones = F.coalesce(F.unix_millis("seen") <= F.lit(before).cast("long"), F.lit(False))
+        seen = F.coalesce(F.unix_millis("seen"), F.lit(watermark).cast("long"))
+        rows = landed.where("is_active").where(~late_ones).select(effective_hash().alias("effective_hash"), "id", seen.alias("seen_ms")).where("effective_hash IS NOT NULL").persist()
+        try:
+            followed(state, rows, F.lit(watermark).cast("long"), horizons).write.mode("overwrite").parquet(path("hashes", number + 1))
+            session.createDataFrame([(watermark,)], "watermark long").write.mode("overwrite").parquet(path("watermarks", number + 1))
+            after = session.read.schema(STATE).parquet(path("hashes", number + 1))
+            found(after, rows, horizons).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            rows.unpersist()
+        for name in ("hashes", "watermarks"):  # the batch before is committed
+            old = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path(name, number - 1))
+            old.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    reader = spark.readStream.schema(schema)
     landed = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(landing)
-    found = clustered(landed.withColumn("seen", F.col("scraped_at").cast("timestamp")).withWatermark("seen", late), horizons)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return found.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return landed.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

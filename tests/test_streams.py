@@ -57,6 +57,37 @@ def test_quiet_hashes_are_told_and_forgotten(spark, tmp_path):
     assert quiet == [3, 3, 7, 7, 14]  # once until it was forgotten, once more after 31
 
 
+def test_duplicates_without_a_time_and_a_batch_tried_again(spark, tmp_path):
+    """A listing without a time counts; a batch that fails after its state was written is tried again to the same rows; nothing calls Python."""
+    schema = "id long, is_active boolean, transaction_type string, latitude double, longitude double, size_m2 double, price double, scraped_at timestamp_ntz"
+    place = lambda k, day: (k, k % 7 != 0, "sale", 50.0 + (k % 10) / 100, 14.0, 50.0, 1.0, day and f"2020-01-{day:02d} 00:00:00")
+    go = lambda: duplicates.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), schema)
+    whole = duplicates.found
+
+    def land(rows):
+        df = spark.createDataFrame(rows, schema.replace("timestamp_ntz", "string")).withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def fails(after, rows, horizons):
+        raise RuntimeError("between the writes")
+
+    land([place(12, 2), place(2, None), place(3, 2), place(7, 2), place(17, 2)])
+    go().awaitTermination()
+    land([place(13, 3), place(22, None), place(23, 4), place(33, 1), place(27, 4)])
+    duplicates.found = fails
+    try:
+        with pytest.raises(Exception, match="between the writes"):
+            go().awaitTermination()
+    finally:
+        duplicates.found = whole
+    go().awaitTermination()
+    rows = {(r.id, r.is_canonical, r.existing_cluster) for r in spark.read.parquet(str(tmp_path / "out")).where("kind = 'member'").collect()}
+    assert rows == {(2, True, False), (12, False, False), (22, False, True), (3, True, False), (13, False, False), (23, False, False), (17, True, False), (27, False, False)}  # 33 is late, 7 inactive
+    rows, state = spark.createDataFrame([], "effective_hash string, id long, seen_ms long"), spark.createDataFrame([], duplicates.STATE)
+    out = whole(duplicates.followed(state, rows, F.lit(0), (3,)), rows, (3,))
+    assert "Python" not in (plan := out._jdf.queryExecution().toString()) and "Pandas" not in plan
+
+
 def test_notifier_fails_between_its_writes_and_runs_again(spark, sf, tmp_path):
     rows, some, sent = listings(spark, sf), dogs(spark, sf).where("id < 60"), notifications(spark, sf).limit(0)
     landed(rows, str(tmp_path / "in"), 2)
