@@ -8,7 +8,8 @@ states are the tokens, and a state's row is all tokens but those that gadgets to
 Compiled form: a gadget that takes ``v`` from a state takes with it the tokens that begin with ``v`` and are born later. In
 the order of a walk over the tree of left halves, the latest born first, these are one interval. A state's row is thus a
 few disjoint intervals of missing arcs, and all rows are flat arrays (starts by state, lows, highs). Encoding a pre-split
-word is a left-to-right run of look-ups in them: every prefix has one correct tokenisation, hence one token that ends there.
+word is a run of look-ups in them, the longest token first: every prefix has one correct tokenisation, so a position that leads
+nowhere is left once and for all.
 Decoding emits the bytes on the arcs.
 
 Defined results: a null text is the empty text (no tokens); repeated rows are encoded one by one; added tokens that stand
@@ -19,13 +20,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +39,8 @@ from .common import table, unused
 #: Fixed value: the pattern of the byte-level pre-tokeniser. ``\\s`` is spelled out as the Unicode White_Space property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 60
-#: Words a worker remembers; beyond it the memory starts afresh, the results stay the same.
-REMEMBERED = 400_000
+#: Words a worker remembers; beyond it those are kept that come again among as many new ones, the results stay the same.
+REMEMBERED = 300_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -130,11 +133,12 @@ class Automaton:
                 self.prefixes.setdefault(spelled[:n], -1)
             self.prefixes[spelled] = token
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("prefixes", "words", "split", "special", "left", "right", "gadget")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("prefixes", "words", "older", "split", "special", "left", "right", "gadget")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -162,50 +166,75 @@ class Automaton:
             last, before = self.right[last], born[last]
 
     def word(self, spelled: bytes) -> list[int]:
-        """The accepted token path over one pre-split word."""
+        """The accepted token path over one pre-split word.
+
+        The longest token goes first; where a path ends before the word does, the next shorter one is tried. Every prefix has
+        one correct tokenisation, so no position is come to twice.
+        """
         n, prefixes, place, starts, low, high = len(spelled), self.prefixes, self.place, self.starts, self.low, self.high
-        ends, begins = [-1] * (n + 1), [0] * (n + 1)
-        first = last = 0
-        for i in range(n):
-            if i:
-                if ends[i] < 0:
-                    continue
-                first, last = starts[ends[i]], starts[ends[i] + 1]
-            for j in range(i + 1, n + 1):
-                token = prefixes.get(spelled[i:j])
+        path: list[int] = []
+        untried: list[list[tuple[int, int]]] = []
+        begin, first, last = 0, 0, 0
+        while True:
+            choices = []
+            for end in range(begin + 1, n + 1):
+                token = prefixes.get(spelled[begin:end])
                 if token is None:
                     break
-                if token < 0 or ends[j] >= 0:
-                    continue
-                if i and first < last:
+                if token >= 0:
+                    choices.append((token, end))
+            while True:
+                while not choices:
+                    if not path:
+                        raise ValueError(f"no tokens of the vocabulary spell {spelled!r}")
+                    path.pop()
+                    choices = untried.pop()
+                    first, last = (starts[path[-1]], starts[path[-1] + 1]) if path else (0, 0)
+                token, end = choices.pop()
+                if first < last:
                     k = bisect_right(low, place[token], first, last) - 1
                     if k >= first and place[token] <= high[k]:
                         continue
-                ends[j], begins[j] = token, i
-        path, at = [], n
-        while at:
-            path.append(ends[at])
-            at = begins[at]
-        return path[::-1]
+                break
+            path.append(token)
+            if end == n:
+                return path
+            untried.append(choices)
+            begin, first, last = end, starts[token], starts[token + 1]
+
+    def remember(self, word: str) -> bytes:
+        """The ids of a word that is not among the recent ones."""
+        ids = self.older.get(word)
+        if ids is None:
+            path = self.word(word.encode("utf-8", "replace"))
+            ids = pack(f"<{len(path)}I", *path)
+        if len(self.words) >= REMEMBERED:
+            self.words, self.older = {}, self.words
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        text = text or ""
+        if not any(x in text for x in self.added):
+            return b"".join(self.pieces(text))
         out: list[bytes] = []
-        for k, piece in enumerate(self.special.split(text or "") if self.special else [text or ""]):
-            if k % 2:
-                out.append(self.added[piece].to_bytes(4, "little"))
-                continue
-            for word in self.split.findall(piece):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = np.array(self.word(word.encode("utf-8", "replace")), "<u4").tobytes()
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    if len(word) <= 64:
-                        self.words[word] = ids
-                out.append(ids)
+        for k, piece in enumerate(self.special.split(text)):
+            out += [self.added[piece].to_bytes(4, "little")] if k % 2 else self.pieces(piece)
         return b"".join(out)
 
+    def pieces(self, text: str) -> list[bytes]:
+        """The ids of the words of a text without added tokens."""
+        words = self.split.findall(text)
+        found = list(map(self.words.get, words))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    ids = self.words.get(words[k])
+                    found[k] = self.remember(words[k]) if ids is None else ids
+        return found
+
     def decode(self, ids: bytes) -> str:
         """The text on the arcs."""
         spelled = self.spelled
@@ -238,10 +267,31 @@ def load(path: str) -> dict:
         return load_data(json.load(file), path)
 
 
-@cache
-def compiled(path: str) -> Automaton:
-    """The automaton of a file, compiled on the driver; workers get its arrays, about 10 MB whatever the corpus."""
-    return Automaton(**load(path))
+class Packed:
+    """A pickled automaton, which whoever unpickles it gets as the automaton."""
+
+    def __init__(self, pickled: bytes):
+        self.pickled = pickled
+
+    def __reduce__(self):
+        return pickle.loads, (self.pickled,)
+
+
+PACKED: dict[str, Packed] = {}
+
+
+def compiled(spark: SparkSession, path: str) -> Packed:
+    """The automaton of a file. A task compiles it, which takes some 150 MB; the driver holds its arrays, about 10 MB whatever the corpus."""
+    if path not in PACKED:
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+
+        def made(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in rows:
+                yield pa.RecordBatch.from_pydict({"pickled": [pickle.dumps(Automaton(**load_data(json.loads(text), path)))]})
+
+        PACKED[path] = Packed(bytes(spark.range(1, numPartitions=1).mapInArrow(made, "pickled binary").first()[0]))
+    return PACKED[path]
 
 
 def default_path() -> str:
@@ -256,7 +306,7 @@ DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha2
 
 def encoder(spark: SparkSession, path: str | None = None):
     """Pandas UDF: text -> (n_tokens, ids as little-endian unsigned 32-bit integers)."""
-    shared = spark.sparkContext.broadcast(compiled(path or default_path()))
+    shared = spark.sparkContext.broadcast(compiled(spark, path or default_path()))
 
     @F.pandas_udf(ENCODED)
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -270,7 +320,7 @@ def encoder(spark: SparkSession, path: str | None = None):
 
 def decoder(spark: SparkSession, path: str | None = None):
     """Pandas UDF: ids -> text."""
-    shared = spark.sparkContext.broadcast(compiled(path or default_path()))
+    shared = spark.sparkContext.broadcast(compiled(spark, path or default_path()))
 
     @F.pandas_udf(StringType())
     def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -283,7 +333,7 @@ def decoder(spark: SparkSession, path: str | None = None):
 
 def digests(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id with token count and digests of the ids and of the text decoded from them."""
-    shared = spark.sparkContext.broadcast(compiled(path or default_path()))
+    shared = spark.sparkContext.broadcast(compiled(spark, path or default_path()))
 
     @F.pandas_udf(DIGESTS)
     def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -160,6 +160,28 @@ def test_workers_get_the_same_automaton(both):
     assert copy.encode(text) == automaton.encode(text) and copy.decode(copy.encode(text)) == text
 
 
+def test_words_that_come_again_are_encoded_once(both, monkeypatch):
+    """A word that keeps coming is not encoded again when the memory of words turns over; unknown bytes are an error."""
+    automaton = bpe_automaton.Automaton(**bpe_automaton.load(bpe_automaton.default_path()))
+    monkeypatch.setattr(bpe_automaton, "REMEMBERED", 8)
+    encoded, word = [], automaton.word
+    automaton.word = lambda spelled: encoded.append(spelled) or word(spelled)
+    text = "".join(f" again x{k}y" for k in map(chr, range(97, 123)))
+    expected = both[1].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(automaton.encode(text), "<u4").tolist() == expected
+    assert encoded.count(b" again") == 1 and len(encoded) == 27
+    with pytest.raises(ValueError, match="no tokens"):
+        bpe_automaton.Automaton({"a": 0, "b": 1, "ab": 2}, [("a", "b")]).word(b"abc")
+
+
+def test_the_driver_holds_the_automaton_packed(both, spark):
+    import pickle
+
+    packed = bpe_automaton.compiled(spark, bpe_automaton.default_path())
+    assert set(vars(packed)) == {"pickled"} and len(packed.pickled) < 12_000_000
+    assert pickle.loads(pickle.dumps(packed)).encode("a <|endoftext|> naïve") == both[0].encode("a <|endoftext|> naïve")
+
+
 def test_other_tokenizer_files_are_refused():
     import public_tokenizers
 
