@@ -157,25 +157,24 @@ def _shape(v: Column) -> Column:
 
 def _plain(v: Column) -> Column:
     """A scalar as text; the value of an object that has one; null for other objects."""
-    scalar = lambda x: F.when(~_shape(x).rlike("^(OBJECT|ARRAY)"), x.try_cast("string"))
-    return F.when(_shape(v).startswith("OBJECT"), F.try_variant_get(v, "$.value", "string")).otherwise(scalar(v))
+    return F.coalesce(F.try_variant_get(v, "$.value", "string"), F.when(~_shape(v).rlike("^(OBJECT|ARRAY)"), v.try_cast("string")))
 
 
-def _item_value(v: Column) -> Column:
-    """Text of an item's value, which is a scalar, an object with a value, or an array of either, whose first one counts."""
-    held = lambda x: F.coalesce(F.when(_shape(x).startswith("OBJECT"), F.try_variant_get(x, "$.value", "variant")), x)
-    # The object's own value may be an array again.
-    def value(x):
-        return F.when(_shape(x).startswith("ARRAY"), F.coalesce(_plain(F.try_variant_get(x, "$[0]", "variant")), F.lit(""))).otherwise(_plain(x))
+def _counted(v: Column) -> Column:
+    """What counts of an item's value, which is a scalar, an object with a value, or an array of either, whose first one counts.
 
-    return N.trimmed(value(held(v)))
+    A path leads nowhere in values of other kinds, so none is asked for its kind.
+    """
+    held = F.coalesce(F.try_variant_get(v, "$.value", "variant"), v)  # the object's own value may be an array again
+    return F.coalesce(F.try_variant_get(held, "$[0]", "variant"), held)
 
 
 def items(document: Column) -> Column:
     """(name, value) of a document's items; those whose value is missing or null are left out."""
     all_items = F.coalesce(F.try_variant_get(document, "$.items", "array<variant>"), F.array().cast("array<variant>"))
     told = F.filter(F.transform(all_items, lambda i: F.struct(N.trimmed(F.coalesce(F.try_variant_get(i, "$.name", "string"), F.lit(""))).alias("name"), F.try_variant_get(i, "$.value", "variant").alias("v"))), lambda p: p["v"].isNotNull() & ~F.is_variant_null(p["v"]))
-    return F.transform(told, lambda p: F.struct(p["name"].alias("name"), F.coalesce(_item_value(p["v"]), F.lit("")).alias("value")))
+    counted = F.transform(told, lambda p: F.struct(p["name"].alias("name"), _counted(p["v"]).alias("v")))
+    return F.transform(counted, lambda p: F.struct(p["name"].alias("name"), F.coalesce(N.trimmed(_plain(p["v"])), F.lit("")).alias("value")))
 
 
 def document_details(rows: DataFrame, json: str = "json") -> DataFrame:

@@ -80,3 +80,14 @@ def test_trees_leave_a_task_part_by_part(monkeypatch):
     assert [x for p in parts for x in p.to_pylist()] == pages and len(parts) > 10
     assert all(len(p) == 1 or sum(len(x or "") for x in p.to_pylist()) <= 100 for p in parts)
     assert [len(p) for p in B._slices(pa.array([], pa.string()), 100)] == [0]
+
+
+def test_item_values_are_asked_for_their_kind_once(spark):
+    """Scalars, objects, arrays and their nestings; the plan asks an item's kind in one place."""
+    from lodestead.sources import details as D
+
+    values = {'"a "': "a", "1": "1", "true": "true", '{"value": " b"}': "b", '{"value": 2}': "2", '{"x": 1}': "", "[]": "", '["c", "d"]': "c", '[{"value": "e"}]': "e", '[{"x": 1}]': "", '{"value": ["f", 1]}': "f", '{"value": [{"value": "g"}]}': "g", '{"value": []}': "", '{"value": {"value": "h"}}': "h", '{"value": {"x": 1}}': "", "[null, 1]": "", '{"value": null}': "", '"{"': "{", '"[1]"': "[1]", "[[1]]": ""}
+    rows = spark.createDataFrame([(k, f'{{"items": [{{"name": "n", "value": {v}}}]}}') for k, v in enumerate(values)], "k int, json string")
+    found = rows.select("k", D.items(F.try_parse_json("json")).alias("i"))
+    assert {r.k: [x.value for x in r.i] for r in found.collect()} == {k: [w] for k, w in enumerate(values.values())}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("schema_of_variant") + found._jdf.queryExecution().optimizedPlan().toString().count("SchemaOfVariant") <= 2
