@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import watchdogs as W
+from ..operators import cells
 
 AUDIT = "email_canonical string, cluster_key string"
 BUMPS = "watchdog_id long, notified_at timestamp_ntz"
@@ -56,8 +56,7 @@ def notify(log: Log, number: int, listings: DataFrame, watchdogs: DataFrame, sen
     if number in log.marked():
         return
     audit = sent.select("email_canonical", "cluster_key").unionByName(log.audit(number)).distinct()
-    found = W.matches(listings, bumped(watchdogs, log.bumps(number)), audit)
-    shown = W.shown(found).join(W.active(watchdogs).select(F.col("id").alias("watchdog_id"), "email_canonical"), "watchdog_id")
+    shown = cells.first(listings, bumped(watchdogs, log.bumps(number)), audit)
     path = f"{log.folder}/messages/{number}"
     shown.write.mode("overwrite").parquet(path)
     messages = log.spark.read.schema(shown.schema).parquet(path)
