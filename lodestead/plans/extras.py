@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.text import grouped
 from ..operators import matching as M
 from ..operators import point_clusters as P
-from ..operators.lifecycle import last_of_batch
 from ..operators.search import card
 from ..sources.adapter import listings, now
 from ..sources.staging import shared_folder
@@ -30,9 +29,10 @@ def streamed(spark, sf):
     folder = shared_folder(spark) + f"/stream-{uuid.uuid4().hex}"
     rows = listings(spark, sf)
     rows.write.parquet(ingest.snapshot(folder + "/state", 0))
-    batch = last_of_batch(incoming(spark, sf)).select(*rows.columns)
-    batch.write.parquet(folder + "/landing")
-    query = ingest.start(spark, folder + "/landing", folder + "/state", folder + "/progress", now(), rows.schema, None)
+    # The scan is of the stored listings and lands with all its writes; the cycle deals it out once, for the last write of each and the upsert.
+    scan = incoming(spark, sf, spark.read.parquet(ingest.snapshot(folder + "/state", 0)))
+    scan.write.parquet(folder + "/landing")
+    query = ingest.start(spark, folder + "/landing", folder + "/state", folder + "/progress", now(), scan.schema, None)
     query.awaitTermination()
     if query.exception():
         raise query.exception()

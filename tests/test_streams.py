@@ -152,3 +152,28 @@ def test_sources_in_one_loop_restart_in_mid_cycle(spark, sf, tmp_path):
     last = lambda name: sorted(map(str, spark.read.parquet(ingest.snapshot(str(tmp_path / name), 2)).select("external_id", "price", "is_active", "deactivation_reason", "cluster_id", "is_canonical").collect()))
     assert last("parts") == last("whole") and any("'ttl'" in x for x in last("whole"))
     assert not os.path.exists(ingest.snapshot(str(tmp_path / "whole"), 3))  # high has both its files in the first cycle, low one in each
+
+
+def test_a_scan_lands_with_all_its_writes(spark, sf, tmp_path, monkeypatch):
+    """No pass over whole rows before they land: the cycle deals a scan out once, for the last write of each id and for the upsert."""
+    from lodestead.plans.extras import QUERIES
+    from lodestead.plans.lifecycle import incoming
+    from lodestead.sources.adapter import now
+
+    landed_as, whole = [], ingest.start
+    monkeypatch.setattr(ingest, "start", lambda *a: landed_as.append(a[1]) or whole(*a))
+    assert QUERIES["stream_ingest_equals_batch"][0](spark, sf).count() > 0
+    scan = spark.read.parquet(landed_as[0])
+    assert scan.count() == incoming(spark, sf).count() > scan.select("external_id").distinct().count()
+    listings(spark, sf).write.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ingest.apply(spark.read.parquet(str(tmp_path / "rows")), scan, now())._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        dealt += node.nodeName() == "Exchange" and node.output().size() > 25
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert dealt <= 3  # the listings, the scan, and of the scan what has no external id
